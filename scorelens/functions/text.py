@@ -35,8 +35,8 @@ def tokens_mask(text, max_length: int) -> Column:
 
 
 def path_part(path, index: int, sep: str = "/") -> Column:
-    """1-based part of a separated path (negative counts from the end)."""
-    return F.element_at(F.split(_c(path), sep, -1), index)
+    """1-based part of a separated path (negative counts from the end); empty if absent."""
+    return F.coalesce(F.try_element_at(F.split(_c(path), sep, -1), F.lit(index)), F.lit(""))
 
 
 def inner_path(path, sep: str = "/") -> Column:

@@ -61,3 +61,29 @@ def stream_line_chart(tracker: DataFrame, y: str, digits: int = 6) -> DataFrame:
 
 def relabel_env(col: str = "env") -> F.Column:
     return relabel(col, ENV_NAMES)
+
+
+def training_report(runs: DataFrame, entries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """One row per run: catalog facts, final training summary, latest evaluation.
+
+    Runs are keyed by run id (the file), not by model name, so a model trained in
+    two environments gives two rows. "Latest" is the largest step with the line
+    keys and values as tie-break, computed as an aggregate (skew-safe).
+    """
+    from scorelens.functions.text import with_unit
+    from scorelens.operators.joins import lookup
+    from scorelens.operators.latest import latest_per_group
+
+    ties = ["step", "l_partkey", "l_suppkey"]
+    train_cols = ["train_runtime", "train_samples_per_second", "train_steps_per_second"]
+    eval_cols = ["eval_accuracy", "eval_f1", "eval_loss", "eval_runtime"]
+    train = latest_per_group(entries.filter(F.col("train_runtime").isNotNull()), ["run_id"],
+                             ties + train_cols, train_cols)
+    evals = latest_per_group(entries.filter(F.col("eval_accuracy").isNotNull()), ["run_id"],
+                             ties + eval_cols, ["step"] + eval_cols)
+    head = lookup(runs, catalog, "position", flag="missing_model", max_rows=10_000).select(
+        "run_id", "model", "env",
+        with_unit("params", "M").alias("params"), with_unit("size", "MB").alias("size"),
+        "total_flos", "missing_model",
+    )
+    return head.join(train, "run_id").join(evals.withColumnRenamed("step", "eval_step"), "run_id")

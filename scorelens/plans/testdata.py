@@ -98,3 +98,45 @@ def labelled_text(spark: SparkSession, d: str) -> DataFrame:
 def labelled_arrays(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings", "vec_id", "embedding", "label")
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("data"), "label")
+
+
+# Run -> catalog position: o_custkey mod this; position 16 has no catalog row,
+# so some runs exercise the "model missing from the catalog" path.
+CATALOG_SLOTS = 17
+# Run environment from the order status ('F' has no env part -> GPU).
+RUN_ENV = {"O": "COLAB_GPU", "P": "COLAB_GPU"}
+DEFAULT_ENV = "GPU"
+
+
+def trainer_runs(spark: SparkSession, d: str) -> DataFrame:
+    """One trainer-state header per run (order): catalog slot, env, sizes."""
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    env = F.coalesce(*[F.when(F.col("o_orderstatus") == k, F.lit(v)) for k, v in RUN_ENV.items()],
+                     F.lit(DEFAULT_ENV))
+    return o.select(
+        F.col("o_orderkey").alias("run_id"),
+        (F.col("o_custkey") % CATALOG_SLOTS).cast("int").alias("position"),
+        env.alias("env"),
+        F.col("o_totalprice").alias("total_flos"),
+    )
+
+
+def trainer_log_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Exploded log history: step = line number; 'R' lines are training summaries,
+    the others evaluations (sparse columns are null, as in trainer logs)."""
+    li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+               "l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    is_train = F.col("l_returnflag") == "R"
+    ev = ~is_train
+    return li.select(
+        F.col("l_orderkey").alias("run_id"),
+        F.col("l_linenumber").cast("double").alias("step"),
+        "l_partkey", "l_suppkey",
+        F.when(is_train, F.col("l_quantity")).alias("train_runtime"),
+        F.when(is_train, F.col("l_extendedprice")).alias("train_samples_per_second"),
+        F.when(is_train, F.col("l_discount")).alias("train_steps_per_second"),
+        F.when(ev, F.lit(1.0) - F.col("l_tax")).alias("eval_accuracy"),
+        F.when(ev, F.lit(1.0) - F.col("l_discount")).alias("eval_f1"),
+        F.when(ev, F.col("l_tax")).alias("eval_loss"),
+        F.when(ev, F.col("l_quantity")).alias("eval_runtime"),
+    )
