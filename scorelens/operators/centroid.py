@@ -22,28 +22,36 @@ SCORE_DIGITS = 9
 MAX_MODEL_ROWS = 1_000  # model names scored in one plan
 
 
-def centroid_table(df: DataFrame, vec: str = "data", label: str = "label") -> DataFrame:
-    """Long form: (label, pos, centroid) = average of position ``pos`` per label."""
-    exploded = df.select(F.col(label).alias("label"), F.posexplode(vec).alias("pos", "v"))
-    return exploded.groupBy("label", "pos").agg(F.avg(F.col("v").cast("double")).alias("centroid"))
+def centroid_table(df: DataFrame, vec: str = "data", label: str = "label",
+                   keys: list[str] | None = None) -> DataFrame:
+    """Long form: (keys..., label, pos, centroid) = mean of position ``pos`` per label."""
+    keys = keys or []
+    exploded = df.select(*keys, F.col(label).alias("label"), F.posexplode(vec).alias("pos", "v"))
+    return exploded.groupBy(*keys, "label", "pos").agg(F.avg(F.col("v").cast("double")).alias("centroid"))
 
 
 def train_centroids(df: DataFrame, vec: str = "data", label: str = "label",
-                    model: str = "centroid") -> DataFrame:
-    """One model row: (model, classes array<struct<label, centroid, half_norm>>)."""
-    long = centroid_table(df, vec, label)
-    per_class = long.groupBy("label").agg(
+                    model: str = "centroid", model_col: str | None = None) -> DataFrame:
+    """Model rows: (model, classes array<struct<label, centroid, half_norm>>).
+
+    With ``model_col`` one model is trained per value of that column (a grid of
+    training sets in one plan); otherwise a single model named ``model``.
+    """
+    keys = [model_col] if model_col else []
+    long = centroid_table(df, vec, label, keys)
+    per_class = long.groupBy(*keys, "label").agg(
         F.array_sort(F.collect_list(F.struct("pos", "centroid"))).alias("_pc")
     ).select(
-        "label",
+        *keys, "label",
         F.transform("_pc", lambda x: x["centroid"]).alias("centroid"),
     ).withColumn(
         "half_norm",
         F.lit(0.5) * F.aggregate("centroid", F.lit(0.0), lambda acc, x: acc + x * x),
     )
-    return per_class.agg(
+    name = F.col(model_col).cast("string") if model_col else F.lit(model)
+    return per_class.groupBy(name.alias("model")).agg(
         F.array_sort(F.collect_list(F.struct("label", "centroid", "half_norm"))).alias("classes")
-    ).select(F.lit(model).alias("model"), "classes")
+    )
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -64,18 +72,23 @@ def class_scores(vec: Column, classes: Column) -> Column:
 
 def predict_centroid(df: DataFrame, model: DataFrame, vec: str = "data",
                      model_name: str | None = None, keep_score: bool = False) -> DataFrame:
-    """Add ``pred`` (and optionally ``score``) to every row of ``df``."""
-    name = model_name or "centroid"
+    """Add ``pred`` (and optionally ``score``) to every row of ``df``.
+
+    Rows are matched to a model by name: ``model_name`` for all rows, or the
+    row's own ``model`` column when ``df`` has one (grids score every point in
+    one plan). The model table is broadcast only after its row count is checked.
+    """
     m = checked_broadcast(model, MAX_MODEL_ROWS)
+    rows = df if (model_name is None and "model" in df.columns) else df.withColumn(
+        "model", F.lit(model_name or "centroid"))
     scored = (
-        df.withColumn("model", F.lit(name))
-        .join(m, "model")
+        rows.join(m, "model")
         .withColumn("_best", F.array_max(class_scores(F.col(vec), F.col("classes"))))
         .withColumn("pred", (-F.col("_best.neg_label")).cast("int"))
     )
     if keep_score:
         scored = scored.withColumn("score", F.col("_best.score"))
-    return scored.drop("_best", "classes", "model")
+    return scored.drop("_best", "classes")
 
 
 def model_matrix(model: DataFrame) -> tuple[list[int], list[list[float]], list[float]]:
