@@ -140,3 +140,56 @@ def trainer_log_entries(spark: SparkSession, d: str) -> DataFrame:
         F.when(ev, F.col("l_tax")).alias("eval_loss"),
         F.when(ev, F.col("l_quantity")).alias("eval_runtime"),
     )
+
+
+# The six image models and three environments of the benchmark files.
+BENCH_MODELS = [
+    "aaraki/vit-base-patch16-224-in21k-finetuned-cifar10",
+    "tzhao3/DeiT-CIFAR10",
+    "ahsanjavid/convnext-tiny-finetuned-cifar10",
+    "facebook/deit-tiny-patch16-224",
+    "facebook/deit-tiny-distilled-patch16-224",
+    "facebook/convnextv2-tiny-22k-224",
+]
+BENCH_ENVS = {"A": "cpu", "N": "mac_cpu", "R": "cuda"}
+
+
+def inference_results(spark: SparkSession, d: str) -> DataFrame:
+    """Image benchmark result rows with real model names (model by part key)."""
+    li = table(spark, d, "lineitem", "l_partkey", "l_returnflag", "l_linenumber", "l_quantity", "l_tax",
+               "l_discount")
+    names = F.array(*[F.lit(m) for m in BENCH_MODELS])
+    env = F.coalesce(*[F.when(F.col("l_returnflag") == k, F.lit(v)) for k, v in BENCH_ENVS.items()])
+    return li.select(
+        F.element_at(names, (F.col("l_partkey") % len(BENCH_MODELS) + 1).cast("int")).alias("model"),
+        F.col("l_quantity").alias("duration"),
+        (F.col("l_quantity") * F.lit(10.0)).alias("total_images"),
+        F.col("l_linenumber").cast("double").alias("batch_size"),
+        F.col("l_tax").alias("average_batch_duration"),
+        (F.lit(100.0) - F.col("l_discount") * F.lit(100.0)).alias("balanced_accuracy"),
+        env.alias("env"),
+    )
+
+
+def trainer_states(spark: SparkSession, d: str) -> DataFrame:
+    """Trainer-state documents, one per run: header fields and the ordered log history.
+
+    Entries are ordered by step and then by the line's values (a total order), so
+    positions are reproducible. A run's history is bounded by its log length.
+    """
+    li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+               "l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    tr, ev = F.col("l_returnflag") == "R", F.col("l_returnflag") != "R"
+    log = F.struct(
+        F.col("l_linenumber").cast("double").alias("step"),
+        F.when(tr, F.col("l_quantity")).alias("train_runtime"),
+        F.when(tr, F.col("l_extendedprice")).alias("train_samples_per_second"),
+        F.when(ev, F.lit(1.0) - F.col("l_tax")).alias("eval_accuracy"),
+        F.when(ev, F.col("l_tax")).alias("eval_loss"),
+    )
+    keyed = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
+                     "l_tax", "l_returnflag", log.alias("log"))
+    hist = li.groupBy(F.col("l_orderkey").alias("run_id")).agg(
+        F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["log"]).alias("log_history"))
+    runs = trainer_runs(spark, d).select("run_id", "total_flos")
+    return runs.join(hist, "run_id")
