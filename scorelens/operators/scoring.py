@@ -55,36 +55,37 @@ def predict_batch_column(model: DataFrame, vec: str = "data", batch_size: int =
     return udf(F.col(vec))
 
 
-SCORED_SCHEMA = StructType([
-    StructField("id", LongType()), StructField("batch_no", IntegerType()),
-    StructField("label", IntegerType()), StructField("pred", IntegerType()),
-    StructField("batch_duration", DoubleType()),
-])
-
-
-def score_batches_in_pandas(batched: DataFrame, model: DataFrame, vec: str = "data") -> DataFrame:
-    """Score each mini-batch with a vectorised scorer and time the model call.
-
-    Input rows carry (id, batch_no, label, vec); batches are co-located first so
-    one batch is scored by one call. The measured seconds are data, not a result
-    to compare exactly.
+def score_batches_in_pandas(batched: DataFrame, model: DataFrame, vec: str = "data",
+                            keys: tuple[str, ...] = ("batch_no",)) -> DataFrame:
+    """Score each mini-batch with one vectorised call and time that call.
+
+    Input rows carry (id, label, vec, *keys); rows of a batch are co-located
+    first (hash on the keys), so one batch is one call. Output rows: (id,
+    *keys, label, pred, batch_duration). The measured seconds are data about the
+    run, not results to compare exactly.
     """
     labels, cents, hns = model_matrix(model)
     predict = centroid_scorer(labels, cents, hns)
+    key_list = list(keys)
+    schema = StructType([StructField("id", LongType())]
+                        + [batched.schema[k] for k in key_list]
+                        + [StructField("label", IntegerType()), StructField("pred", IntegerType()),
+                           StructField("batch_duration", DoubleType())])
 
     def run(it):
         for pdf in it:
             out = []
-            for b, g in pdf.groupby("batch_no", sort=False):
+            for _, g in pdf.groupby(key_list, sort=False):
                 x = np.stack(g[vec].to_numpy())
                 t0 = time.perf_counter()
                 p = predict(x)
                 secs = time.perf_counter() - t0
-                out.append(pd.DataFrame({"id": g["id"].astype("int64"), "batch_no": g["batch_no"].astype("int32"),
-                                         "label": g["label"].astype("int32"), "pred": p,
-                                         "batch_duration": secs}))
+                part = g[["id", *key_list, "label"]].copy()
+                part["pred"] = p
+                part["batch_duration"] = secs
+                out.append(part)
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    colocated = batched.select("id", "batch_no", "label", vec).repartition("batch_no").sortWithinPartitions("batch_no")
-    return colocated.mapInPandas(run, SCORED_SCHEMA)
+    colocated = batched.select("id", *key_list, "label", vec).repartition(*key_list).sortWithinPartitions(*key_list)
+    return colocated.mapInPandas(run, schema)

@@ -51,3 +51,113 @@ def grid_accuracy(labelled: DataFrame, train_pcts: list[int], salt: str = "grid"
     return scored.groupBy(F.col("model").alias("run")).agg(
         F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"),
         F.count(F.lit(1)).alias("n"))
+
+
+def with_batches(shuffled: DataFrame, batch_sizes: list[int], position: str = "position") -> DataFrame:
+    """Every grid batch size at once: rows x grid points, batch_no = position div size."""
+    grid = F.explode(F.array(*[F.lit(b) for b in batch_sizes])).alias("batch_size")
+    return shuffled.select("*", grid).withColumn("batch_no", F.floor(F.col(position) / F.col("batch_size")))
+
+
+def evaluate_arrays(labelled: DataFrame, model: DataFrame, names: DataFrame, batch_sizes: list[int],
+                    model_name: str = "centroid", salt: str = "shuffle") -> DataFrame:
+    """Image-style evaluation for a grid of batch sizes in one plan.
+
+    Shuffle (reproducibly), cut into batches, score each batch with one timed
+    vectorised call, then reduce: class accuracy -> balanced accuracy (3 digits),
+    class mean batch time -> average batch duration (5 digits).
+    """
+    from scorelens.operators.joins import lookup
+    from scorelens.operators.scoring import score_batches_in_pandas
+
+    shuffled = rows.shuffle_positions(labelled, "id", salt=salt)
+    scored = score_batches_in_pandas(with_batches(shuffled, batch_sizes), model, keys=("batch_size", "batch_no"))
+    named = lookup(scored, names, "label", flag=None).withColumn("correct", F.col("label") == F.col("pred"))
+    per_class = named.groupBy("batch_size", F.col("name").alias("class")).agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.lit(100.0) * F.avg(F.col("correct").cast("double"))).alias("accuracy"),
+        F.avg("batch_duration").alias("avg_batch"))
+    per_batch_time = scored.groupBy("batch_size", "batch_no").agg(F.max("batch_duration").alias("_d")).groupBy(
+        "batch_size").agg(F.sum("_d").alias("duration"))
+    summary = per_class.groupBy("batch_size").agg(
+        F.sum("n").alias("total_images"),
+        F.round(F.avg("accuracy"), 3).alias("balanced_accuracy"),
+        F.round(F.avg("avg_batch"), 5).alias("average_batch_duration"))
+    return summary.join(per_batch_time, "batch_size").select(
+        F.lit(model_name).alias("model"), F.round("duration", 3).alias("duration"), "total_images",
+        F.col("batch_size").cast("int"), "average_batch_duration", "balanced_accuracy")
+
+
+def hashed_bag_of_words(text, dims: int = 64):
+    """Text -> word counts in ``dims`` hashed buckets (JVM hash, no Python)."""
+    from scorelens.functions.text import words
+    buckets = F.transform(words(text), lambda w: F.pmod(F.hash(w), F.lit(dims)))
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
+                       lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("float"))
+
+
+def evaluate_texts(prepared: DataFrame, batch_sizes: list[int], dims: int = 64,
+                   model_name: str = "centroid-bow") -> DataFrame:
+    """Text-style evaluation for a grid of batch sizes in one plan.
+
+    Train the centroid model on the train split's hashed word counts, score the
+    test split in timed batches, and reduce per grid point to the unweighted mean
+    of batch accuracies and the time per batch.
+    """
+    from scorelens.operators.centroid import train_centroids
+    from scorelens.operators.scoring import score_batches_in_pandas
+
+    feats = prepared.select(F.col("doc_id").alias("id"), "label", "split", "position",
+                            hashed_bag_of_words("content", dims).alias("data"))
+    model = train_centroids(feats.filter(F.col("split") == "train"))
+    test = rows.with_row_number(feats.filter(F.col("split") == "test"), [F.col("position")], name="test_pos")
+    scored = score_batches_in_pandas(with_batches(test, batch_sizes, "test_pos"), model,
+                                     keys=("batch_size", "batch_no"))
+    per_batch = scored.groupBy("batch_size", "batch_no").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("pred")).cast("double")).alias("acc"),
+        F.max("batch_duration").alias("secs"))
+    return per_batch.groupBy("batch_size").agg(
+        F.lit(model_name).alias("model"),
+        F.round(F.sum("secs"), 5).alias("duration"),
+        F.sum("n").alias("total_texts"),
+        F.round(F.sum("secs") / F.count(F.lit(1)), 5).alias("average_batch_duration"),
+        F.round(F.avg("acc"), 5).alias("accuracy"))
+
+
+def text_batch_scores(prepared: DataFrame, batch_size: int, dims: int = 64) -> DataFrame:
+    """One row per scored text batch: size, mean hit rate, seconds."""
+    from scorelens.operators.centroid import train_centroids
+    from scorelens.operators.scoring import score_batches_in_pandas
+
+    feats = prepared.select(F.col("doc_id").alias("id"), "label", "split", "position",
+                            hashed_bag_of_words("content", dims).alias("data"))
+    model = train_centroids(feats.filter(F.col("split") == "train"))
+    batched = feats.withColumn("batch_no", F.floor(F.col("position") / batch_size))
+    scored = score_batches_in_pandas(batched, model, keys=("batch_no",))
+    return scored.groupBy("batch_no").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"),
+        F.max("batch_duration").alias("seconds"))
+
+
+def text_pipeline_eval(labelled: DataFrame, train_pct: int = 70, salt: str = "s42",
+                       num_features: int = 4096, max_iter: int = 5) -> DataFrame:
+    """Fit tokenizer -> hashed term frequencies -> logistic regression on the
+    train split and report binary metrics on the test split (distributed fit)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+
+    from scorelens.functions.text import WHITESPACE
+    from scorelens.operators.metrics import binary_metrics
+
+    data = splits.hash_split(labelled, "doc_id", train_pct, salt=salt)
+    pipe = Pipeline(stages=[
+        RegexTokenizer(inputCol="content", outputCol="tokens", pattern=WHITESPACE, toLowercase=True),
+        HashingTF(inputCol="tokens", outputCol="features", numFeatures=num_features),
+        LogisticRegression(featuresCol="features", labelCol="label_d", maxIter=max_iter),
+    ])
+    train = data.filter(F.col("split") == "train").withColumn("label_d", F.col("label").cast("double"))
+    fitted = pipe.fit(train)
+    test = data.filter(F.col("split") == "test").withColumn("label_d", F.col("label").cast("double"))
+    pred = fitted.transform(test).select("label", F.col("prediction").cast("int").alias("pred"))
+    return binary_metrics(pred)

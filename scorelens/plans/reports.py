@@ -87,3 +87,50 @@ def training_report(runs: DataFrame, entries: DataFrame, catalog: DataFrame) ->
         "total_flos", "missing_model",
     )
     return head.join(train, "run_id").join(evals.withColumnRenamed("step", "eval_step"), "run_id")
+
+
+# Chart names of trained models, and of benchmarked image models.
+TRAIN_MODEL_NAMES = {
+    "google/vit-base-patch16-224": "ViT",
+    "facebook/deit-tiny-patch16-224": "DeiT",
+    "facebook/convnext-small-224": "ConvNext",
+    "facebook/convnextv2-nano-22k-224": "ConvNextV2",
+}
+IMAGE_MODEL_NAMES = {
+    "aaraki/vit-base-patch16-224-in21k-finetuned-cifar10": "ViT",
+    "tzhao3/DeiT-CIFAR10": "DeiT",
+    "ahsanjavid/convnext-tiny-finetuned-cifar10": "ConvNext",
+    "facebook/convnextv2-tiny-22k-224": "ConvNextV2",
+}
+TRAIN_METRICS = {"total_flos": "flos", "train_runtime": "runtime",
+                 "train_samples_per_second": "batch_per_second", "train_steps_per_second": "step_per_second"}
+
+
+def training_chart(report: DataFrame, digits: int = 9) -> DataFrame:
+    """Bar heights per (env panel, metric, model): relabel, keep charted models,
+    normalise each metric by its maximum, unpivot, average."""
+    from scorelens.operators.metrics import mean_by
+    from scorelens.operators.relabel import normalise_by_max, unpivot
+
+    r = report.select(
+        relabel("model", TRAIN_MODEL_NAMES).alias("model"), relabel("env", TRAIN_ENV_NAMES).alias("env"),
+        *[F.col(c).cast("double").alias(c) for c in TRAIN_METRICS],
+    ).filter(F.col("model").isin(list(TRAIN_MODEL_NAMES.values())))
+    n = normalise_by_max(r, list(TRAIN_METRICS))
+    n = n.select("model", "env", *[F.col(c).alias(a) for c, a in TRAIN_METRICS.items()])
+    return mean_by(unpivot(n, ["model", "env"]), ["env", "category", "model"], "normalized_value", "mean", digits)
+
+
+def batch_size_chart(results: DataFrame, digits: int = 9) -> DataFrame:
+    """Average batch duration by batch size, per model and environment (line + band)."""
+    r = results.select(
+        relabel("model", IMAGE_MODEL_NAMES).alias("model"), relabel_env("env").alias("env"),
+        "batch_size", "average_batch_duration",
+    ).filter(F.col("model").isin(list(IMAGE_MODEL_NAMES.values())))
+    return mean_with_band(r, ["batch_size", "model", "env"], "average_batch_duration", digits)
+
+
+def test_size_chart(results: DataFrame, digits: int = 9) -> DataFrame:
+    """Run duration by test size per environment (line + band)."""
+    r = results.select(F.col("duration"), F.col("total_images").alias("test_size"), relabel_env("env").alias("env"))
+    return mean_with_band(r, ["test_size", "env"], "duration", digits)
