@@ -71,14 +71,16 @@ def class_scores(vec: Column, classes: Column) -> Column:
 
 
 def predict_centroid(df: DataFrame, model: DataFrame, vec: str = "data",
-                     model_name: str | None = None, keep_score: bool = False) -> DataFrame:
+                     model_name: str | None = None, keep_score: bool = False,
+                     size_checked: bool = False) -> DataFrame:
     """Add ``pred`` (and optionally ``score``) to every row of ``df``.
 
     Rows are matched to a model by name: ``model_name`` for all rows, or the
     row's own ``model`` column when ``df`` has one (grids score every point in
-    one plan). The model table is broadcast only after its row count is checked.
+    one plan). The model table is broadcast only after its row count is checked
+    (``size_checked``: the caller already did, e.g. once per stream).
     """
-    m = checked_broadcast(model, MAX_MODEL_ROWS)
+    m = model if size_checked else checked_broadcast(model, MAX_MODEL_ROWS)
     rows = df if (model_name is None and "model" in df.columns) else df.withColumn(
         "model", F.lit(model_name or "centroid"))
     scored = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,11 +91,22 @@ def evaluate_arrays(labelled: DataFrame, model: DataFrame, names: DataFrame, bat
 
 
 def hashed_bag_of_words(text, dims: int = 64):
-    """Text -> word counts in ``dims`` hashed buckets (JVM hash, no Python)."""
+    """Text -> word counts in ``dims`` hashed buckets.
+
+    Words are hashed in the JVM (one pass over the whole text); the per-row
+    bucket counts are one vectorised ``bincount`` per row in an Arrow batch.
+    """
     from scorelens.functions.text import words
     buckets = F.transform(words(text), lambda w: F.pmod(F.hash(w), F.lit(dims)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
-                       lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("float"))
+    return _bincount_udf(dims)(buckets)
+
+
+def _bincount_udf(dims: int):
+    @F.pandas_udf("array<float>")
+    def bincount(buckets: pd.Series) -> pd.Series:
+        return buckets.map(lambda b: np.bincount(np.asarray(b, dtype=np.int64), minlength=dims)
+                           .astype(np.float32))
+    return bincount
 
 
 def evaluate_texts(prepared: DataFrame, batch_sizes: list[int], dims: int = 64,

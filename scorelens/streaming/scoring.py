@@ -16,16 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scorelens.operators.centroid import predict_centroid
+from scorelens.operators.centroid import MAX_MODEL_ROWS, predict_centroid
+from scorelens.operators.joins import checked_broadcast
 from scorelens.streaming.microbatch import IMAGE_SCHEMA
 
 
-def score_micro_batch(batch_df: DataFrame, epoch_id: int, model: DataFrame, tracker_dir: str) -> int:
+def score_micro_batch(batch_df: DataFrame, epoch_id: int, model: DataFrame, tracker_dir: str,
+                      size_checked: bool = False) -> int:
     """Score one micro-batch and record its per-batch results; returns rows written."""
     start = time.time()
     valid = batch_df.filter(F.col("data").isNotNull() & F.col("label").isNotNull())
     ident = F.coalesce(F.nullif(F.col("idx"), F.lit(0)), F.lit(int(epoch_id)).cast("int"))
-    scored = predict_centroid(valid.withColumn("batch_id", ident), model, vec="data", model_name="centroid")
+    scored = predict_centroid(valid.withColumn("batch_id", ident), model, vec="data", model_name="centroid",
+                              size_checked=size_checked)
     summary = scored.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("pred") == F.col("label")).cast("int")).alias("hits"))
     # One row per micro-batch in this trigger: a bounded result, not the data.
@@ -48,10 +51,12 @@ def run_scoring_stream(spark: SparkSession, input_dir: str, model: DataFrame, tr
     if archive_dir:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
     stream = reader.json(input_dir)
-    model = model.cache()  # tiny (one row per model); reused by every trigger
+    # Tiny (one row per model) and reused by every trigger: cache it and check
+    # its size once, not per trigger.
+    model = checked_broadcast(model.cache(), MAX_MODEL_ROWS)
 
     def process(batch_df: DataFrame, epoch_id: int) -> None:
-        score_micro_batch(batch_df, epoch_id, model, tracker_dir)
+        score_micro_batch(batch_df, epoch_id, model, tracker_dir, size_checked=True)
 
     query = (stream.writeStream.foreachBatch(process)
              .option("checkpointLocation", checkpoint_dir)
