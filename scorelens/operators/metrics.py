@@ -134,6 +134,18 @@ def consistency_rows(df: DataFrame, key: str, env: str, value: str, digits: int
     ).distinct()
 
 
+def consistency_sets(df: DataFrame, key: str, env: str, value: str, digits: int = 3,
+                     key_name: str | None = None) -> DataFrame:
+    """Per key the set of (environment, rounded value), exploded back to rows.
+
+    ``collect_set`` is combined map-side (each task keeps distinct pairs only).
+    """
+    pair = F.struct(F.col(env).alias("environment"),
+                    F.round(F.col(value).cast("double"), digits).alias("accuracy"))
+    sets = df.groupBy(F.col(key).alias(key_name or key)).agg(F.array_sort(F.collect_set(pair)).alias("detail"))
+    return sets.select(key_name or key, F.inline("detail"))
+
+
 def consistency_verdict(df: DataFrame, key: str, value: str, digits: int = 3) -> DataFrame:
     """Per key: true when every row has the same rounded value."""
     r = F.round(F.col(value).cast("double"), digits)

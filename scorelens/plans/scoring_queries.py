@@ -261,3 +261,13 @@ def select_best_run(spark, d):
     best = F.max(F.struct("accuracy", "run"))
     return runs.agg(best["run"].alias("best_run"), F.round(best["accuracy"], 9).alias("accuracy"),
                     F.count(F.lit(1)).alias("runs"))
+
+
+@query("consistency_detail", BENCH_SQL + """
+SELECT DISTINCT model AS model_name, env AS environment, round(balanced_accuracy, 3) AS accuracy FROM b""")
+def consistency_detail(spark, d):
+    """The reference's grouped form: per key a set of (env, rounded value) pairs,
+    re-exploded. A set holds distinct pairs only, so it is bounded by the number
+    of environments times the distinct rounded values, not by the rows."""
+    return metrics.consistency_sets(testdata.benchmark_rows(spark, d), "model", "env", "balanced_accuracy",
+                                    key_name="model_name")

@@ -6,16 +6,21 @@ from pyspark.sql import functions as F
 
 from scorelens.operators.centroid import train_centroids
 from scorelens.plans import testdata
-from scorelens.plans.prepare_queries import GROWTH_STEP
 from scorelens.plans.registry import query
 from scorelens.plans.scoring_queries import CENTROID_SQL
 from scorelens.session import scratch_path
 from scorelens.streaming import IMAGE_SCHEMA, produce_micro_batches, run_scoring_stream, tracker_view
+from scorelens.streaming.microbatch import growth_step_for
 from scorelens.streaming.scoring import score_micro_batch
 
+# The reference's replayed run pushes 16 micro-batches of growing size.
+PUSHES = 16
+
 BATCHES_SQL = f"""
-, r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings),
-b AS (SELECT vec_id, CAST(ceil((sqrt(8.0::DOUBLE * rn / {GROWTH_STEP}.0::DOUBLE + 1.0) - 1.0) / 2.0) AS INTEGER)
+, r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn,
+               (SELECT greatest(1, CAST(ceil(2.0 * count(*) / {PUSHES * (PUSHES + 1)}.0) AS BIGINT)) FROM embeddings)
+               AS step FROM embeddings),
+b AS (SELECT vec_id, CAST(ceil((sqrt(8.0::DOUBLE * rn / CAST(step AS DOUBLE) + 1.0) - 1.0) / 2.0) AS INTEGER)
              AS batch_id FROM r)
 """
 
@@ -29,7 +34,8 @@ def _produce(spark, d):
     base = scratch_path(spark, "stream")
     data = testdata.labelled_arrays(spark, d)
     model = train_centroids(data)
-    produce_micro_batches(data, f"{base}/input", f"{base}/tracker", [F.col("id")], "increasing", GROWTH_STEP)
+    step = growth_step_for(data.count(), PUSHES)
+    produce_micro_batches(data, f"{base}/input", f"{base}/tracker", [F.col("id")], "increasing", step)
     return base, model
 
 
@@ -61,3 +67,15 @@ def stream_replay_idempotent(spark, d):
         replay = spark.read.schema(IMAGE_SCHEMA).json(f"{base}/input").filter(F.col("idx") == epoch0["batch_id"])
         score_micro_batch(replay, 0, model, f"{base}/tracker")
     return tracker_view(spark, f"{base}/tracker").select("batch_id", "batch_size", "scored", "accuracy")
+
+
+@query("src_json_array_stream", BATCHES_SQL.replace(", r AS", "WITH r AS", 1) + """
+SELECT e.vec_id AS id, b.batch_id AS idx, e.label, len(e.embedding) AS dims FROM embeddings e JOIN b USING (vec_id)""")
+def src_json_array_stream(spark, d):
+    """Micro-batch JSON-array files read as a stream, one file per trigger, rows
+    appended per epoch (overwrite by epoch id, so a replay cannot duplicate)."""
+    from scorelens.streaming.scoring import stream_to_table
+    base, _ = _produce(spark, d)
+    stream_to_table(spark, f"{base}/input", f"{base}/rows", f"{base}/checkpoint")
+    got = spark.read.parquet(f"{base}/rows")
+    return got.select("id", "idx", "label", F.size("data").alias("dims"))

@@ -13,12 +13,13 @@ import time
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StructField, StructType
 
 from scorelens.operators import rows
 from scorelens.sources.sinks import write_json_array_files
 
 IMAGE_SCHEMA = StructType([
+    StructField("id", LongType(), True),
     StructField("idx", IntegerType(), True),
     StructField("data", ArrayType(FloatType()), True),
     StructField("label", IntegerType(), True),
@@ -27,6 +28,12 @@ IMAGE_SCHEMA = StructType([
 CHUNK_ROWS = 10_000
 
 
+def growth_step_for(n_rows: int, pushes: int) -> int:
+    """Growth step so that ``pushes`` growing micro-batches (step, 2 step, ...)
+    cover ``n_rows``: the smallest step with step * pushes (pushes + 1) / 2 >= n."""
+    return max(1, -(-2 * n_rows // (pushes * (pushes + 1))))
+
+
 def schedule(df: DataFrame, order: list[Column], kind: str, size: int = 5, lo: int = 50,
              hi: int = 200) -> DataFrame:
     """Add ``batch_id`` (from 1) and ``rn`` by the producer's schedule."""
@@ -50,6 +57,7 @@ def produce_micro_batches(df: DataFrame, input_dir: str, tracker_dir: str, order
     sched = schedule(df, order, kind, size)
     files = sched.select(
         "batch_id", F.floor(F.col("rn") / F.lit(chunk_rows)).alias("_chunk"), "rn",
+        F.col("id").cast("bigint").alias("id"),
         F.col("batch_id").alias("idx"), F.col("data").cast("array<float>").alias("data"),
         F.col("label").cast("int").alias("label"),
     )

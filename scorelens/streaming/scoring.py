@@ -68,3 +68,21 @@ def run_scoring_stream(spark: SparkSession, input_dir: str, model: DataFrame, tr
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
     return query
+
+
+def stream_to_table(spark: SparkSession, input_dir: str, out_dir: str, checkpoint_dir: str,
+                    max_files_per_trigger: int = 1, timeout_s: float = 600.0) -> StreamingQuery:
+    """Land micro-batch files as a table: each epoch writes ``epoch=<id>`` with
+    overwrite, so a replayed epoch replaces its rows (exactly-once result)."""
+    stream = spark.readStream.schema(IMAGE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).json(input_dir)
+
+    def land(batch_df: DataFrame, epoch_id: int) -> None:
+        batch_df.write.mode("overwrite").parquet(f"{out_dir}/epoch={int(epoch_id)}")
+
+    query = (stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint_dir)
+             .trigger(availableNow=True).start())
+    query.awaitTermination(timeout_s)
+    if query.isActive:
+        query.stop()
+        raise TimeoutError(f"stream did not finish within {timeout_s}s")
+    return query
