@@ -2,9 +2,10 @@
 
 Training is ``posexplode`` + a (label, position) average (map-side combined), so
 a label holding a third of all rows is reduced in every task first. The model
-is one row per model name holding K class centroids of D values; it is joined to
-the vectors by model name behind a size check, and scoring is a per-row array
-expression (no shuffle, no Python).
+is one row per model name holding K class centroids of D values; after a size
+check it is attached to every vector (scalar subquery, or a broadcast join by
+model name for grids), and scoring is a per-row array expression (no shuffle,
+no Python).
 
 Score of class c for vector v: ``sum(v * c) - 0.5 * sum(c * c)`` (equivalent to
 the smallest Euclidean distance), rounded to 9 digits; the arg-max takes the
@@ -16,10 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelens.operators.joins import checked_broadcast
-
 SCORE_DIGITS = 9
 MAX_MODEL_ROWS = 1_000  # model names scored in one plan
+MAX_MODEL_VALUES = 10_000_000  # class x dimension values of one model
 
 
 def centroid_table(df: DataFrame, vec: str = "data", label: str = "label",
@@ -70,27 +70,43 @@ def class_scores(vec: Column, classes: Column) -> Column:
     )
 
 
+def check_model_size(model: DataFrame, max_models: int = MAX_MODEL_ROWS,
+                     max_values: int = MAX_MODEL_VALUES) -> None:
+    """Fail fast unless the model table is small enough to ship to every task."""
+    r = model.agg(
+        F.count(F.lit(1)).alias("models"),
+        F.max(F.aggregate("classes", F.lit(0), lambda acc, c: acc + F.size(c["centroid"]))).alias("values"),
+    ).first()
+    if r["models"] > max_models or (r["values"] or 0) > max_values:
+        raise ValueError(f"model table too large to broadcast: {r['models']} models, {r['values']} values")
+
+
 def predict_centroid(df: DataFrame, model: DataFrame, vec: str = "data",
                      model_name: str | None = None, keep_score: bool = False,
                      size_checked: bool = False) -> DataFrame:
     """Add ``pred`` (and optionally ``score``) to every row of ``df``.
 
-    Rows are matched to a model by name: ``model_name`` for all rows, or the
-    row's own ``model`` column when ``df`` has one (grids score every point in
-    one plan). The model table is broadcast only after its row count is checked
+    A single model (``model_name``, default "centroid") is attached as a scalar
+    subquery: computed once, shipped to every task, no join. When ``df`` has its
+    own ``model`` column (a grid), rows are matched to their model by a
+    broadcast hash join on the name. Either way the model's size is checked first
     (``size_checked``: the caller already did, e.g. once per stream).
     """
-    m = model if size_checked else checked_broadcast(model, MAX_MODEL_ROWS)
-    rows = df if (model_name is None and "model" in df.columns) else df.withColumn(
-        "model", F.lit(model_name or "centroid"))
+    if not size_checked:
+        check_model_size(model)
+    if model_name is None and "model" in df.columns:
+        rows = df.join(F.broadcast(model), "model").withColumnRenamed("classes", "_classes")
+    else:
+        name = model_name or "centroid"
+        classes = model.filter(F.col("model") == F.lit(name)).select("classes").scalar()
+        rows = df.withColumn("_classes", classes)
     scored = (
-        rows.join(m, "model")
-        .withColumn("_best", F.array_max(class_scores(F.col(vec), F.col("classes"))))
+        rows.withColumn("_best", F.array_max(class_scores(F.col(vec), F.col("_classes"))))
         .withColumn("pred", (-F.col("_best.neg_label")).cast("int"))
     )
     if keep_score:
         scored = scored.withColumn("score", F.col("_best.score"))
-    return scored.drop("_best", "classes")
+    return scored.drop("_best", "_classes")
 
 
 def model_matrix(model: DataFrame) -> tuple[list[int], list[list[float]], list[float]]:

@@ -99,12 +99,17 @@ def binary_metrics(df: DataFrame, label: str = "label", pred: str = "pred",
 
 
 def per_class_metrics(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
-    """Per class: support n, true positives, times predicted, precision, recall, F1."""
-    truth = df.groupBy(F.col(label).alias("cls")).agg(
-        F.count(F.lit(1)).alias("support"),
-        F.sum((F.col(label) == F.col(pred)).cast("int")).alias("tp"),
+    """Per class: support n, true positives, times predicted, precision, recall, F1.
+
+    Everything derives from one confusion table (one shuffle of the predictions,
+    at most classes x classes rows), so the predictions are computed once.
+    """
+    conf = confusion_counts(df, label, pred)
+    truth = conf.groupBy(F.col(label).alias("cls")).agg(
+        F.sum("n").alias("support"),
+        F.sum(F.when(F.col(label) == F.col(pred), F.col("n")).otherwise(F.lit(0))).alias("tp"),
     )
-    predicted = df.groupBy(F.col(pred).alias("cls")).agg(F.count(F.lit(1)).alias("predicted"))
+    predicted = conf.groupBy(F.col(pred).alias("cls")).agg(F.sum("n").alias("predicted"))
     # One row per class on each side; the left join keeps true classes never predicted.
     m = truth.join(predicted, "cls", "left").fillna(0, ["predicted"])
     prec = _ratio(F.col("tp"), F.col("predicted"))

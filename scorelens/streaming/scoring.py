@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scorelens.operators.centroid import MAX_MODEL_ROWS, predict_centroid
-from scorelens.operators.joins import checked_broadcast
+from scorelens.operators.centroid import check_model_size, predict_centroid
 from scorelens.streaming.microbatch import IMAGE_SCHEMA
 
 
@@ -53,7 +52,8 @@ def run_scoring_stream(spark: SparkSession, input_dir: str, model: DataFrame, tr
     stream = reader.json(input_dir)
     # Tiny (one row per model) and reused by every trigger: cache it and check
     # its size once, not per trigger.
-    model = checked_broadcast(model.cache(), MAX_MODEL_ROWS)
+    model = model.cache()
+    check_model_size(model)
 
     def process(batch_df: DataFrame, epoch_id: int) -> None:
         score_micro_batch(batch_df, epoch_id, model, tracker_dir, size_checked=True)

@@ -20,9 +20,18 @@ def test_class_accuracy_single_shuffle(spark):
 def test_centroid_scoring_stays_in_jvm(spark):
     data = testdata.labelled_arrays(spark, SF)
     p = _plan(centroid.predict_centroid(data, centroid.train_centroids(data)))
-    for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
+    for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas",
+                 "BroadcastNestedLoopJoin", "CartesianProduct", "SortMergeJoin"):
         assert node not in p
-    assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
+    assert "Subquery" in p  # the model is attached once as a scalar subquery
+
+
+def test_grid_models_join_by_name(spark):
+    from pyspark.sql import functions as F
+    data = testdata.labelled_arrays(spark, SF).withColumn("model", F.concat(F.lit("m"), (F.col("label") % 2).cast("string")))
+    models = centroid.train_centroids(data, model_col="model")
+    p = _plan(centroid.predict_centroid(data, models))
+    assert "BroadcastHashJoin" in p and "BroadcastNestedLoopJoin" not in p
 
 
 def test_scan_prunes_columns_and_pushes_filters(spark):
