@@ -67,26 +67,30 @@ def training_report(runs: DataFrame, entries: DataFrame, catalog: DataFrame) ->
     """One row per run: catalog facts, final training summary, latest evaluation.
 
     Runs are keyed by run id (the file), not by model name, so a model trained in
-    two environments gives two rows. "Latest" is the largest step with the line
-    keys and values as tie-break, computed as an aggregate (skew-safe).
+    two environments gives two rows. The log is read once: one aggregation per
+    run keeps both the latest training summary and the latest evaluation
+    (largest step, line keys and values as tie-break) as conditional struct
+    maxima, combined map-side (skew-safe).
     """
     from scorelens.functions.text import with_unit
     from scorelens.operators.joins import lookup
-    from scorelens.operators.latest import latest_per_group
+    from scorelens.operators.latest import latest_struct
 
     ties = ["step", "l_partkey", "l_suppkey"]
     train_cols = ["train_runtime", "train_samples_per_second", "train_steps_per_second"]
     eval_cols = ["eval_accuracy", "eval_f1", "eval_loss", "eval_runtime"]
-    train = latest_per_group(entries.filter(F.col("train_runtime").isNotNull()), ["run_id"],
-                             ties + train_cols, train_cols)
-    evals = latest_per_group(entries.filter(F.col("eval_accuracy").isNotNull()), ["run_id"],
-                             ties + eval_cols, ["step"] + eval_cols)
+    latest = entries.groupBy("run_id").agg(
+        latest_struct(ties + train_cols, train_cols, F.col("train_runtime").isNotNull()).alias("_t"),
+        latest_struct(ties + eval_cols, ["step"] + eval_cols, F.col("eval_accuracy").isNotNull()).alias("_e"),
+    ).filter(F.col("_t").isNotNull() & F.col("_e").isNotNull()).select(
+        "run_id", *[F.col(f"_t.{c}").alias(c) for c in train_cols], F.col("_e.step").alias("eval_step"),
+        *[F.col(f"_e.{c}").alias(c) for c in eval_cols])
     head = lookup(runs, catalog, "position", flag="missing_model", max_rows=10_000).select(
         "run_id", "model", "env",
         with_unit("params", "M").alias("params"), with_unit("size", "MB").alias("size"),
         "total_flos", "missing_model",
     )
-    return head.join(train, "run_id").join(evals.withColumnRenamed("step", "eval_step"), "run_id")
+    return head.join(latest, "run_id")
 
 
 # Chart names of trained models, and of benchmarked image models.

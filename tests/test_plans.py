@@ -40,3 +40,12 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
     p = _plan(li.filter(F.col("l_linestatus") == "F").select("l_orderkey"))
     assert "PushedFilters: [IsNotNull(l_linestatus), EqualTo(l_linestatus,F)]" in p
     assert "ReadSchema: struct<l_orderkey:bigint,l_linestatus:string>" in p
+
+
+def test_training_report_scans_the_log_once(spark):
+    from scorelens.plans import reports
+    from scorelens.sources import dims
+    rep = reports.training_report(testdata.trainer_runs(spark, SF), testdata.trainer_log_entries(spark, SF),
+                                  dims.catalog(spark))
+    p = _plan(rep)
+    assert p.count("lineitem.parquet") == 1

@@ -43,3 +43,29 @@ def test_interleaved_producer_appends_lose_nothing(spark):
     produce_micro_batches(b, f"{base}/in_b", f"{base}/tr", [F.col("id")], "constant", 100)
     view = tracker_view(spark, f"{base}/tr")
     assert view.agg(F.sum("batch_size")).first()[0] == data.count()
+
+
+def test_batch_identity_falls_back_to_epoch_and_skips_empty(spark):
+    import json
+    import os
+
+    base = scratch_path(spark, "t-ident")
+    os.makedirs(f"{base}/in")
+    vec = [0.1] * 64
+    files = [
+        [{"id": 1, "idx": 0, "data": vec, "label": 1}, {"id": 2, "idx": 0, "data": vec, "label": 2}],
+        [],
+        [{"id": 3, "idx": None, "data": vec, "label": 3}, {"id": 4, "idx": 7, "label": 3}],
+    ]
+    for i, recs in enumerate(files):
+        with open(f"{base}/in/batch_{i}.json", "w") as f:
+            json.dump(recs, f)
+        os.utime(f"{base}/in/batch_{i}.json", (1_000 + i, 1_000 + i))
+    model = train_centroids(testdata.labelled_arrays(spark, SF))
+    run_scoring_stream(spark, f"{base}/in", model, f"{base}/tr", f"{base}/ck", timeout_s=300)
+    res = spark.read.parquet(f"{base}/tr/results").select("batch_id", "epoch", "n").collect()
+    got = sorted((r["batch_id"], r["epoch"], r["n"]) for r in res)
+    # idx 0 and null fall back to the epoch id; the record without data is dropped;
+    # the empty file's epoch writes nothing.
+    assert [n for _, _, n in got] == [2, 1]
+    assert all(b == e for b, e, _ in got)
