@@ -23,6 +23,8 @@ LOG_ENTRY = StructType([StructField(n, DoubleType()) for n in
                         ("step", "train_runtime", "train_samples_per_second", "eval_accuracy", "eval_loss")])
 TRAINER_STATE = StructType([
     StructField("run_id", LongType(), False),
+    StructField("segment", LongType(), False),
+    StructField("offset", LongType(), False),
     StructField("total_flos", DoubleType(), False),
     StructField("log_history", ArrayType(LOG_ENTRY), False),
 ])
@@ -36,7 +38,7 @@ def _trainer_state_files(spark, d) -> str:
     n_files = max(1, -(-table(spark, d, "orders", "o_orderkey").count() // RUNS_PER_FILE))
     path = scratch_path(spark, "trainer-state")
     sinks.write_json_array_files(states.withColumn("file", md5_bucket(F.col("run_id"), n_files, "file")),
-                                 path, "file", order=["run_id"])
+                                 path, "file", order=["run_id", "segment"])
     return path
 
 
@@ -45,7 +47,8 @@ SELECT o_orderkey AS run_id, o_totalprice AS total_flos, count(*) AS entries
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice""")
 def src_json_nested(spark, d):
     states = files.read_json_nested(spark, _trainer_state_files(spark, d), TRAINER_STATE)
-    return states.select("run_id", "total_flos", F.size("log_history").cast("bigint").alias("entries"))
+    return states.groupBy("run_id").agg(F.first("total_flos").alias("total_flos"),
+                                        F.sum(F.size("log_history")).cast("bigint").alias("entries"))
 
 
 @query("explode_log_history", """
@@ -57,8 +60,9 @@ SELECT l_orderkey AS run_id,
 FROM lineitem""")
 def explode_log_history(spark, d):
     states = files.read_json_nested(spark, _trainer_state_files(spark, d), TRAINER_STATE)
-    logs = explode_with_position(states, "log_history", ["run_id"])
-    return logs.select("run_id", "pos", "log.step", "log.train_runtime", "log.eval_accuracy")
+    logs = explode_with_position(states, "log_history", ["run_id", "offset"])
+    return logs.select("run_id", (F.col("offset") + F.col("pos")).cast("int").alias("pos"), "log.step",
+                       "log.train_runtime", "log.eval_accuracy")
 
 
 @query("src_json_lines", tracker_sql() + """

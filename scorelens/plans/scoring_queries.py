@@ -175,20 +175,30 @@ def wall_time_per_batch(spark, d):
                     F.round("average_batch_duration", 9).alias("average_batch_duration"))
 
 
-@query("explode_batch_predictions", LINES_SQL + """
-SELECT batch_no, class, CAST(hit AS BOOLEAN) AS correct,
-       max(batch_duration) OVER (PARTITION BY batch_no) AS batch_duration FROM lp""")
+PRED_BATCH = 64
+
+
+@query("explode_batch_predictions", f"""
+WITH n AS (SELECT l_returnflag AS class, l_discount > 0.05 AS correct, l_tax,
+                  CAST((row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag,
+                                           l_discount, l_tax) - 1) // {PRED_BATCH} AS INTEGER) AS batch_no
+           FROM lineitem)
+SELECT batch_no, class, correct, max(l_tax) OVER (PARTITION BY batch_no) AS batch_duration FROM n""")
 def explode_batch_predictions(spark, d):
     from scorelens.operators.generators import explode_batches
     lp = testdata.line_predictions(spark, d)
-    # One row per batch, as a batch scorer returns it: item lists plus one duration.
-    # A batch holds at most one batch size of items, so each list is bounded.
-    items = F.collect_list(F.struct("class", "correct"))
-    per_batch = lp.groupBy("batch_no").agg(
+    order = [F.col(c) for c in ("batch_no", "l_linenumber", "l_partkey", "l_suppkey", "class", "l_discount",
+                                "batch_duration")]
+    # One row per fixed-size mini-batch, as a batch scorer returns it: item lists
+    # plus one duration. Lists are bounded by the batch size.
+    batched = rows.with_row_number(lp, order).withColumn("mb", rows.constant_batch(F.col("rn"), PRED_BATCH))
+    items = F.array_sort(F.collect_list(F.struct("rn", "class", "correct")))
+    per_batch = batched.groupBy("mb").agg(
         F.transform(items, lambda x: x["class"]).alias("classes"),
         F.transform(items, lambda x: x["correct"]).alias("hits"),
         F.max("batch_duration").alias("batch_duration"))
-    return explode_batches(per_batch, {"class": "classes", "correct": "hits"}, ["batch_no", "batch_duration"])
+    out = explode_batches(per_batch, {"class": "classes", "correct": "hits"}, ["mb", "batch_duration"])
+    return out.select(F.col("mb").alias("batch_no"), "class", "correct", "batch_duration")
 
 
 BENCH_SQL = """
@@ -239,7 +249,7 @@ SELECT vec_id, list_transform(embedding, lambda x: CAST(((CAST(trunc(CAST(x AS D
        AS pixels FROM embeddings""")
 def array_wrap_uint8(spark, d):
     e = table(spark, d, "embeddings", "vec_id", "embedding")
-    scaled = F.transform("embedding", lambda x: F.trunc_scale(x) if False else (x * F.lit(1000.0)).cast("int"))
+    scaled = F.transform("embedding", lambda x: (x.cast("double") * F.lit(1000.0)).cast("int"))
     return e.select("vec_id", wrap_uint8(scaled).alias("pixels"))
 
 

@@ -69,7 +69,7 @@ def line_predictions(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_returnflag").alias("class"),
         (F.col("l_discount") > HIT_DISCOUNT).alias("correct"),
         F.col("l_tax").alias("batch_duration"),
-        "l_linenumber", "l_partkey", "l_suppkey",
+        "l_linenumber", "l_partkey", "l_suppkey", "l_discount",
     )
 
 
@@ -171,14 +171,25 @@ def inference_results(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def trainer_states(spark: SparkSession, d: str) -> DataFrame:
-    """Trainer-state documents, one per run: header fields and the ordered log history.
+# Largest number of log entries in one trainer-state document (longer runs are
+# split into consecutive segments, each with its offset in the run).
+LOG_SEGMENT = 1_000
 
-    Entries are ordered by step and then by the line's values (a total order), so
-    positions are reproducible. A run's history is bounded by its log length.
+
+def trainer_states(spark: SparkSession, d: str, segment: int = LOG_SEGMENT) -> DataFrame:
+    """Trainer-state documents: (run_id, segment, offset, total_flos, log_history).
+
+    Entries are ordered by step and then by the line's values (a total order, so
+    positions are reproducible) and numbered globally without a per-run window;
+    a run's history is cut into segments of at most ``segment`` entries, so no
+    document or group grows with a hot run.
     """
+    from scorelens.operators.rows import with_row_number
+
     li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                "l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+             "l_discount", "l_tax", "l_returnflag"]
     tr, ev = F.col("l_returnflag") == "R", F.col("l_returnflag") != "R"
     log = F.struct(
         F.col("l_linenumber").cast("double").alias("step"),
@@ -187,9 +198,12 @@ def trainer_states(spark: SparkSession, d: str) -> DataFrame:
         F.when(ev, F.lit(1.0) - F.col("l_tax")).alias("eval_accuracy"),
         F.when(ev, F.col("l_tax")).alias("eval_loss"),
     )
-    keyed = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
-                     "l_tax", "l_returnflag", log.alias("log"))
-    hist = li.groupBy(F.col("l_orderkey").alias("run_id")).agg(
-        F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["log"]).alias("log_history"))
+    numbered = with_row_number(li.select(*order, log.alias("log")), [F.col(c) for c in order])
+    segs = numbered.groupBy(F.col("l_orderkey").alias("run_id"), F.floor(F.col("rn") / segment).alias("segment")).agg(
+        F.min("rn").alias("_first"), F.array_sort(F.collect_list(F.struct("rn", "log"))).alias("_items"))
+    run_first = segs.groupBy("run_id").agg(F.min("_first").alias("_run_first"))
+    docs = segs.join(run_first, "run_id").select(
+        "run_id", F.col("segment").cast("bigint"), (F.col("_first") - F.col("_run_first")).alias("offset"),
+        F.transform("_items", lambda x: x["log"]).alias("log_history"))
     runs = trainer_runs(spark, d).select("run_id", "total_flos")
-    return runs.join(hist, "run_id")
+    return runs.join(docs, "run_id")
