@@ -60,7 +60,8 @@ def score_batches_in_pandas(batched: DataFrame, model: DataFrame, vec: str = "da
     """Score each mini-batch with one vectorised call and time that call.
 
     Input rows carry (id, label, vec, *keys); rows of a batch are co-located
-    first (hash on the keys), so one batch is one call. Output rows: (id,
+    (hash on the keys) and sorted, so one batch is one call even when Arrow cuts
+    a partition into several chunks. A batch is bounded by the batch size. Output rows: (id,
     *keys, label, pred, batch_duration). The measured seconds are data about the
     run, not results to compare exactly.
     """
@@ -72,20 +73,33 @@ def score_batches_in_pandas(batched: DataFrame, model: DataFrame, vec: str = "da
                         + [StructField("label", IntegerType()), StructField("pred", IntegerType()),
                            StructField("batch_duration", DoubleType())])
 
+    def score(g: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(g[vec].to_numpy())
+        t0 = time.perf_counter()
+        p = predict(x)
+        secs = time.perf_counter() - t0
+        part = g[["id", *key_list, "label"]].copy()
+        part["pred"] = p
+        part["batch_duration"] = secs
+        return part
+
     def run(it):
+        # Rows arrive sorted by the batch keys; an Arrow chunk may end inside a
+        # batch, so the chunk's last batch is held back and completed by the next.
+        carry = None
         for pdf in it:
-            out = []
-            for _, g in pdf.groupby(key_list, sort=False):
-                x = np.stack(g[vec].to_numpy())
-                t0 = time.perf_counter()
-                p = predict(x)
-                secs = time.perf_counter() - t0
-                part = g[["id", *key_list, "label"]].copy()
-                part["pred"] = p
-                part["batch_duration"] = secs
-                out.append(part)
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            if carry is not None:
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            last = pdf[key_list].iloc[-1]
+            tail = (pdf[key_list] == last).all(axis=1)
+            carry = pdf[tail]
+            done = pdf[~tail]
+            if not done.empty:
+                yield pd.concat([score(g) for _, g in done.groupby(key_list, sort=False)], ignore_index=True)
+        if carry is not None and not carry.empty:
+            yield pd.concat([score(g) for _, g in carry.groupby(key_list, sort=False)], ignore_index=True)
 
     colocated = batched.select("id", *key_list, "label", vec).repartition(*key_list).sortWithinPartitions(*key_list)
     return colocated.mapInPandas(run, schema)

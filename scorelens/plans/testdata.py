@@ -184,6 +184,7 @@ def trainer_states(spark: SparkSession, d: str, segment: int = LOG_SEGMENT) -> D
     a run's history is cut into segments of at most ``segment`` entries, so no
     document or group grows with a hot run.
     """
+    from scorelens.operators.generators import pack_segments
     from scorelens.operators.rows import with_row_number
 
     li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
@@ -199,11 +200,7 @@ def trainer_states(spark: SparkSession, d: str, segment: int = LOG_SEGMENT) -> D
         F.when(ev, F.col("l_tax")).alias("eval_loss"),
     )
     numbered = with_row_number(li.select(*order, log.alias("log")), [F.col(c) for c in order])
-    segs = numbered.groupBy(F.col("l_orderkey").alias("run_id"), F.floor(F.col("rn") / segment).alias("segment")).agg(
-        F.min("rn").alias("_first"), F.array_sort(F.collect_list(F.struct("rn", "log"))).alias("_items"))
-    run_first = segs.groupBy("run_id").agg(F.min("_first").alias("_run_first"))
-    docs = segs.join(run_first, "run_id").select(
-        "run_id", F.col("segment").cast("bigint"), (F.col("_first") - F.col("_run_first")).alias("offset"),
-        F.transform("_items", lambda x: x["log"]).alias("log_history"))
+    docs = pack_segments(numbered.withColumnRenamed("l_orderkey", "run_id"), "run_id", "rn", F.col("log"),
+                         segment, "log_history")
     runs = trainer_runs(spark, d).select("run_id", "total_flos")
     return runs.join(docs, "run_id")

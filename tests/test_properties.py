@@ -77,3 +77,30 @@ def test_balanced_equals_overall_with_equal_support(spark):
     df = spark.createDataFrame([("a", True), ("a", False), ("b", True), ("b", True)], "class string, correct boolean")
     pc = metrics.class_accuracy(df, duration=None)
     assert metrics.balanced_accuracy(pc).first()[0] == 75.0
+
+
+def test_hot_key_is_packed_into_bounded_segments(spark):
+    from scorelens.operators.generators import pack_segments
+    # one key holds 3,000 of 3,100 items
+    df = spark.range(0, 3100).select(F.when(F.col("id") < 3000, F.lit(1)).otherwise(F.col("id")).alias("k"),
+                                     F.col("id").alias("v"))
+    numbered = rows.with_row_number(df, [F.col("k"), F.col("v")])
+    docs = pack_segments(numbered, "k", "rn", F.col("v"), 1000)
+    hot = docs.filter(F.col("k") == 1).select("offset", F.size("items").alias("n")).orderBy("offset").collect()
+    assert [(r["offset"], r["n"]) for r in hot] == [(0, 1000), (1000, 1000), (2000, 1000)]
+    assert docs.agg(F.max(F.size("items"))).first()[0] <= 1000
+
+
+def test_timed_scorer_one_call_per_batch_across_arrow_chunks(spark):
+    from scorelens.operators.scoring import score_batches_in_pandas
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        data = testdata.labelled_arrays(spark, SF)
+        model = centroid.train_centroids(data)
+        b = rows.assign_constant(data, [F.col("id")], 10)
+        out = score_batches_in_pandas(b, model)
+        per = out.groupBy("batch_no").agg(F.countDistinct("batch_duration").alias("d"), F.count("*").alias("n"))
+        assert per.filter(F.col("d") != 1).count() == 0
+        assert out.count() == data.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
