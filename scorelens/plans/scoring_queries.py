@@ -167,11 +167,11 @@ def mean_of_batch_means(spark, d):
 
 
 @query("wall_time_per_batch", LINES_SQL + """
-SELECT round(sum(d), 9) AS duration, count(*) AS n_batches, round(sum(d) / count(*), 9) AS average_batch_duration
+SELECT round(sum(d), 6) AS duration, count(*) AS n_batches, round(sum(d) / count(*), 9) AS average_batch_duration
 FROM (SELECT max(batch_duration) AS d FROM lp GROUP BY batch_no)""")
 def wall_time_per_batch(spark, d):
     r = metrics.wall_time_per_batch(testdata.line_predictions(spark, d))
-    return r.select(F.round("duration", 9).alias("duration"), "n_batches",
+    return r.select(F.round("duration", 6).alias("duration"), "n_batches",
                     F.round("average_batch_duration", 9).alias("average_batch_duration"))
 
 
