@@ -25,6 +25,8 @@ def get_session(app: str = "scorelens", master: str | None = None,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Checkpointed frames (global numbering) are removed once unreferenced.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Arrow batches of 3,072-value arrays or 30k-char texts: keep them small.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     )

@@ -9,6 +9,7 @@ producers and consumers never lose each other's tracker rows.
 
 from __future__ import annotations
 
+import hashlib
 import time
 
 from pyspark.sql import Column, DataFrame
@@ -49,10 +50,14 @@ def schedule(df: DataFrame, order: list[Column], kind: str, size: int = 5, lo: i
 
 
 def produce_micro_batches(df: DataFrame, input_dir: str, tracker_dir: str, order: list[Column],
-                          kind: str = "increasing", size: int = 5, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                          kind: str = "increasing", size: int = 5, chunk_rows: int = CHUNK_ROWS,
+                          producer: str | None = None) -> DataFrame:
     """Write image rows (data, label) as micro-batch files; ``idx`` = micro-batch id.
 
-    Returns the trigger rows appended to ``tracker_dir/triggers``.
+    Trigger rows go to ``tracker_dir/triggers/producer=<name>`` with overwrite:
+    producers never touch each other's rows, and re-running a producer after a
+    failure replaces its own rows instead of duplicating them. The name defaults
+    to a hash of ``input_dir``. Micro-batch files refuse to overwrite.
     """
     sched = schedule(df, order, kind, size)
     files = sched.select(
@@ -64,5 +69,6 @@ def produce_micro_batches(df: DataFrame, input_dir: str, tracker_dir: str, order
     write_json_array_files(files, input_dir, "batch_id", chunk_col="_chunk", order=["rn"], hidden=["rn"])
     triggers = sched.groupBy("batch_id").agg(F.count(F.lit(1)).alias("batch_size")).withColumn(
         "triggered", F.lit(time.time()))
-    triggers.write.mode("append").parquet(f"{tracker_dir}/triggers")
+    name = producer or hashlib.md5(input_dir.encode()).hexdigest()[:16]
+    triggers.write.mode("overwrite").parquet(f"{tracker_dir}/triggers/producer={name}")
     return triggers

@@ -10,7 +10,8 @@ def tracker_view(spark: SparkSession, tracker_dir: str) -> DataFrame:
     """One row per micro-batch: producer trigger joined with consumer results.
 
     Results are summed per batch over epochs (a batch split over several files or
-    triggers), so replays that overwrite their own epoch never double count.
+    triggers), so replays that overwrite their own epoch never double count;
+    trigger rows are summed over producers (each producer owns its batches).
     Unfinished batches keep start = end = 0 and accuracy 0.
     """
     triggers = spark.read.parquet(f"{tracker_dir}/triggers").groupBy("batch_id").agg(

@@ -69,3 +69,13 @@ def test_batch_identity_falls_back_to_epoch_and_skips_empty(spark):
     # the empty file's epoch writes nothing.
     assert [n for _, _, n in got] == [2, 1]
     assert all(b == e for b, e, _ in got)
+
+
+def test_producer_rerun_replaces_its_trigger_rows(spark):
+    base = scratch_path(spark, "t-rerun")
+    data = testdata.labelled_arrays(spark, SF)
+    for attempt in ("a", "b"):  # the second attempt re-runs the same producer
+        produce_micro_batches(data, f"{base}/in_{attempt}", f"{base}/tr", [F.col("id")], "constant", 50,
+                              producer="p1")
+    view = tracker_view(spark, f"{base}/tr")
+    assert view.agg(F.sum("batch_size")).first()[0] == data.count()
