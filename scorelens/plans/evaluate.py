@@ -7,7 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorelens.functions.hashing import md5_bucket
+from scorelens.functions.text import WHITESPACE, words
 from scorelens.operators import rows, splits
+from scorelens.operators.centroid import predict_centroid, train_centroids
+from scorelens.operators.joins import lookup
+from scorelens.operators.metrics import binary_metrics
+from scorelens.operators.scoring import score_batches_in_pandas
 
 
 def prepare_text(labelled: DataFrame, train_pct: int = 98, salt: str = "mix") -> DataFrame:
@@ -39,9 +45,6 @@ def grid_accuracy(labelled: DataFrame, train_pcts: list[int], salt: str = "grid"
     All grid points run in one plan: each row is tagged with the grid points it
     trains or tests (an array explode over a fixed, small grid; no join).
     """
-    from scorelens.functions.hashing import md5_bucket
-    from scorelens.operators.centroid import predict_centroid, train_centroids
-
     grid = F.array(*[F.lit(p) for p in train_pcts])
     tagged = labelled.withColumn("_bucket", md5_bucket(F.col("id"), 100, salt)).withColumn(
         "_pct", F.explode(grid))
@@ -69,9 +72,6 @@ def evaluate_arrays(labelled: DataFrame, model: DataFrame, names: DataFrame, bat
     vectorised call, then reduce: class accuracy -> balanced accuracy (3 digits),
     class mean batch time -> average batch duration (5 digits).
     """
-    from scorelens.operators.joins import lookup
-    from scorelens.operators.scoring import score_batches_in_pandas
-
     shuffled = rows.shuffle_positions(labelled, "id", salt=salt)
     scored = score_batches_in_pandas(with_batches(shuffled, batch_sizes), model, keys=("batch_size", "batch_no"))
     named = lookup(scored, names, "label", flag=None).withColumn("correct", F.col("label") == F.col("pred"))
@@ -96,7 +96,6 @@ def hashed_bag_of_words(text, dims: int = 64):
     Words are hashed in the JVM (one pass over the whole text); the per-row
     bucket counts are one vectorised ``bincount`` per row in an Arrow batch.
     """
-    from scorelens.functions.text import words
     buckets = F.transform(words(text), lambda w: F.pmod(F.hash(w), F.lit(dims)))
     return _bincount_udf(dims)(buckets)
 
@@ -117,9 +116,6 @@ def evaluate_texts(prepared: DataFrame, batch_sizes: list[int], dims: int = 64,
     test split in timed batches, and reduce per grid point to the unweighted mean
     of batch accuracies and the time per batch.
     """
-    from scorelens.operators.centroid import train_centroids
-    from scorelens.operators.scoring import score_batches_in_pandas
-
     feats = prepared.select(F.col("doc_id").alias("id"), "label", "split", "position",
                             hashed_bag_of_words("content", dims).alias("data"))
     model = train_centroids(feats.filter(F.col("split") == "train"))
@@ -139,9 +135,6 @@ def evaluate_texts(prepared: DataFrame, batch_sizes: list[int], dims: int = 64,
 
 def text_batch_scores(prepared: DataFrame, batch_size: int, dims: int = 64) -> DataFrame:
     """One row per scored text batch: size, mean hit rate, seconds."""
-    from scorelens.operators.centroid import train_centroids
-    from scorelens.operators.scoring import score_batches_in_pandas
-
     feats = prepared.select(F.col("doc_id").alias("id"), "label", "split", "position",
                             hashed_bag_of_words("content", dims).alias("data"))
     model = train_centroids(feats.filter(F.col("split") == "train"))
@@ -160,8 +153,6 @@ def text_pipeline_eval(labelled: DataFrame, train_pct: int = 70, salt: str = "s4
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, RegexTokenizer
 
-    from scorelens.functions.text import WHITESPACE
-    from scorelens.operators.metrics import binary_metrics
 
     data = splits.hash_split(labelled, "doc_id", train_pct, salt=salt)
     pipe = Pipeline(stages=[

@@ -17,7 +17,7 @@ PRIORITY_NAMES = {"1-URGENT": "Urgent", "2-HIGH": "High", "3-MEDIUM": "Medium",
 STATUS_NAMES = {"F": "FINISHED", "O": "OPEN"}
 
 
-def _case_sql(col: str, mapping: dict) -> str:
+def case_sql(col: str, mapping: dict) -> str:
     whens = " ".join(f"WHEN {col} = '{k}' THEN '{v}'" for k, v in mapping.items())
     return f"CASE {whens} ELSE {col} END"
 
@@ -50,21 +50,21 @@ def project_constants(spark, d):
 
 
 @query("relabel_case_chain", f"""
-SELECT o_orderkey, {_case_sql('o_orderpriority', PRIORITY_NAMES)} AS model FROM orders""")
+SELECT o_orderkey, {case_sql('o_orderpriority', PRIORITY_NAMES)} AS model FROM orders""")
 def relabel_case_chain(spark, d):
     o = table(spark, d, "orders", "o_orderkey", "o_orderpriority")
     return o.select("o_orderkey", relabel("o_orderpriority", PRIORITY_NAMES).alias("model"))
 
 
 @query("relabel_nested_case", f"""
-SELECT o_orderkey, {_case_sql('o_orderstatus', STATUS_NAMES)} AS env FROM orders""")
+SELECT o_orderkey, {case_sql('o_orderstatus', STATUS_NAMES)} AS env FROM orders""")
 def relabel_nested_case(spark, d):
     o = table(spark, d, "orders", "o_orderkey", "o_orderstatus")
     return o.select("o_orderkey", relabel("o_orderstatus", STATUS_NAMES).alias("env"))
 
 
 @query("filter_in_list", f"""
-SELECT o_orderkey, model FROM (SELECT o_orderkey, {_case_sql('o_orderpriority', PRIORITY_NAMES)} AS model FROM orders)
+SELECT o_orderkey, model FROM (SELECT o_orderkey, {case_sql('o_orderpriority', PRIORITY_NAMES)} AS model FROM orders)
 WHERE model IN ({', '.join(repr(v) for v in PRIORITY_NAMES.values())})""")
 def filter_in_list(spark, d):
     o = table(spark, d, "orders", "o_orderkey", "o_orderpriority")
@@ -276,8 +276,8 @@ def chart_bar_mean(spark, d):
 
 
 @query("filter_env_panel", f"""
-SELECT o_orderkey, {_case_sql('o_orderstatus', STATUS_NAMES)} AS env, o_totalprice FROM orders
-WHERE {_case_sql('o_orderstatus', STATUS_NAMES)} IN ('FINISHED', 'OPEN')""")
+SELECT o_orderkey, {case_sql('o_orderstatus', STATUS_NAMES)} AS env, o_totalprice FROM orders
+WHERE {case_sql('o_orderstatus', STATUS_NAMES)} IN ('FINISHED', 'OPEN')""")
 def filter_env_panel(spark, d):
     o = table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_totalprice")
     r = o.select("o_orderkey", relabel("o_orderstatus", STATUS_NAMES).alias("env"), "o_totalprice")

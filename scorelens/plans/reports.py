@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelens.operators.metrics import mean_with_band
-from scorelens.operators.relabel import relabel
+from scorelens.functions.text import with_unit
+from scorelens.operators.joins import lookup
+from scorelens.operators.latest import latest_struct
+from scorelens.operators.metrics import mean_by, mean_with_band
+from scorelens.operators.relabel import normalise_by_max, relabel, unpivot
 
 # Chart names of environments and models (benchmark side).
 ENV_NAMES = {"cpu": "LINUX_CPU", "mac_cpu": "MAC_CPU", "cuda": "LINUX_CUDA"}
@@ -72,10 +75,6 @@ def training_report(runs: DataFrame, entries: DataFrame, catalog: DataFrame) ->
     (largest step, line keys and values as tie-break) as conditional struct
     maxima, combined map-side (skew-safe).
     """
-    from scorelens.functions.text import with_unit
-    from scorelens.operators.joins import lookup
-    from scorelens.operators.latest import latest_struct
-
     ties = ["step", "l_partkey", "l_suppkey"]
     train_cols = ["train_runtime", "train_samples_per_second", "train_steps_per_second"]
     eval_cols = ["eval_accuracy", "eval_f1", "eval_loss", "eval_runtime"]
@@ -113,9 +112,6 @@ TRAIN_METRICS = {"total_flos": "flos", "train_runtime": "runtime",
 def training_chart(report: DataFrame, digits: int = 9) -> DataFrame:
     """Bar heights per (env panel, metric, model): relabel, keep charted models,
     normalise each metric by its maximum, unpivot, average."""
-    from scorelens.operators.metrics import mean_by
-    from scorelens.operators.relabel import normalise_by_max, unpivot
-
     r = report.select(
         relabel("model", TRAIN_MODEL_NAMES).alias("model"), relabel("env", TRAIN_ENV_NAMES).alias("env"),
         *[F.col(c).cast("double").alias(c) for c in TRAIN_METRICS],

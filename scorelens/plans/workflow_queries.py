@@ -8,7 +8,7 @@ from scorelens.operators.centroid import train_centroids
 from scorelens.plans import evaluate, reports, testdata
 from scorelens.plans.prepare_queries import TRAIN_PCT, TRAIN_PCT_TEXT
 from scorelens.plans.registry import query
-from scorelens.plans.relational_queries import TRAINER_SQL, _case_sql
+from scorelens.plans.relational_queries import TRAINER_SQL, case_sql
 from scorelens.sources import dims
 
 # The reference's evaluation grids (image and text batch sizes).
@@ -33,7 +33,7 @@ WITH ir AS (
   SELECT {_MODELS_LIST}[CAST(l_partkey % {len(testdata.BENCH_MODELS)} + 1 AS INTEGER)] AS model, l_quantity AS duration,
          l_quantity * 10.0 AS total_images, CAST(l_linenumber AS DOUBLE) AS batch_size,
          l_tax AS average_batch_duration, {_ENV_CASE} AS env FROM lineitem),
-irl AS (SELECT {_case_sql('model', reports.IMAGE_MODEL_NAMES)} AS model, {_case_sql('env', reports.ENV_NAMES)} AS env,
+irl AS (SELECT {case_sql('model', reports.IMAGE_MODEL_NAMES)} AS model, {case_sql('env', reports.ENV_NAMES)} AS env,
                batch_size, average_batch_duration, duration, total_images FROM ir)
 """
 
@@ -58,9 +58,9 @@ _TRAIN_NAMES_IN = ", ".join(repr(v) for v in reports.TRAIN_MODEL_NAMES.values())
 rep AS (SELECT c.model, r.env, r.total_flos, tr.train_runtime, tr.train_samples_per_second, tr.train_steps_per_second
         FROM runs r LEFT JOIN {dims.catalog_sql()} ON r.position = c.position
         JOIN tr ON tr.run_id = r.run_id AND tr.rk = 1 JOIN ev ON ev.run_id = r.run_id AND ev.rk = 1),
-f AS (SELECT {_case_sql('model', reports.TRAIN_MODEL_NAMES)} AS model, {_case_sql('env', reports.TRAIN_ENV_NAMES)} AS env,
+f AS (SELECT {case_sql('model', reports.TRAIN_MODEL_NAMES)} AS model, {case_sql('env', reports.TRAIN_ENV_NAMES)} AS env,
              total_flos, train_runtime, train_samples_per_second, train_steps_per_second FROM rep
-      WHERE {_case_sql('model', reports.TRAIN_MODEL_NAMES)} IN ({_TRAIN_NAMES_IN})),
+      WHERE {case_sql('model', reports.TRAIN_MODEL_NAMES)} IN ({_TRAIN_NAMES_IN})),
 n AS (SELECT model, env, total_flos / (SELECT max(total_flos) FROM f) AS flos,
              train_runtime / (SELECT max(train_runtime) FROM f) AS runtime,
              train_samples_per_second / (SELECT max(train_samples_per_second) FROM f) AS batch_per_second,
