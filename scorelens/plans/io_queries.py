@@ -28,16 +28,23 @@ TRAINER_STATE = StructType([
     StructField("total_flos", DoubleType(), False),
     StructField("log_history", ArrayType(LOG_ENTRY), False),
 ])
-RUNS_PER_FILE = 1_000
+DOCS_PER_FILE = 1_000
 
 
 def _trainer_state_files(spark, d) -> str:
-    """Write trainer-state documents as JSON-array files (about 1,000 runs per file)."""
+    """Write trainer-state documents as JSON-array files of about 1,000 documents.
+
+    Files are bucketed by (run, segment), so a hot run's many segments spread over
+    many files; the file count comes from an upper bound on the document count
+    (runs + entries / segment), read from parquet metadata.
+    """
     states = testdata.trainer_states(spark, d)
-    # Sized from the run table's row count (parquet metadata), not by running the docs.
-    n_files = max(1, -(-table(spark, d, "orders", "o_orderkey").count() // RUNS_PER_FILE))
+    docs = (table(spark, d, "orders", "o_orderkey").count()
+            + -(-table(spark, d, "lineitem", "l_orderkey").count() // testdata.LOG_SEGMENT))
+    n_files = max(1, -(-docs // DOCS_PER_FILE))
+    doc_key = F.concat_ws("/", F.col("run_id").cast("string"), F.col("segment").cast("string"))
     path = scratch_path(spark, "trainer-state")
-    sinks.write_json_array_files(states.withColumn("file", md5_bucket(F.col("run_id"), n_files, "file")),
+    sinks.write_json_array_files(states.withColumn("file", md5_bucket(doc_key, n_files, "file")),
                                  path, "file", order=["run_id", "segment"])
     return path
 

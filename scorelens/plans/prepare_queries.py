@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorelens.functions.hashing import md5_bucket
-from scorelens.functions.text import tokens_mask, tokens_pad_truncate
+from scorelens.functions.text import tokens_mask, tokens_pad_truncate, words
 from scorelens.operators import rows, splits
 from scorelens.plans import testdata
 from scorelens.plans.registry import query, table
@@ -100,12 +100,16 @@ WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\
 
 
 @query("text_tokens_pad_truncate", TOKENS_SQL + f"""
-SELECT doc_id, w[1:{MAX_TOKENS}] || list_transform(range(greatest(0, {MAX_TOKENS} - len(w))), lambda i: '[PAD]') AS tokens,
+SELECT doc_id, CAST(len(w) AS INTEGER) AS n_words,
+       w[1:{MAX_TOKENS}] || list_transform(range(greatest(0, {MAX_TOKENS} - len(w))), lambda i: '[PAD]') AS tokens,
        list_transform(range({MAX_TOKENS}), lambda i: CASE WHEN i < least(len(w), {MAX_TOKENS}) THEN 1 ELSE 0 END) AS mask
 FROM w""")
 def text_tokens_pad_truncate(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text")
-    return docs.select("doc_id", tokens_pad_truncate("text", MAX_TOKENS).alias("tokens"),
+    # Every word of the whole text is counted; the token list keeps the first
+    # MAX_TOKENS (the tokenizer's truncation) and pads the rest.
+    return docs.select("doc_id", F.size(words("text")).alias("n_words"),
+                       tokens_pad_truncate("text", MAX_TOKENS).alias("tokens"),
                        tokens_mask("text", MAX_TOKENS).alias("mask"))
 
 

@@ -70,7 +70,7 @@ def stream_replay_idempotent(spark, d):
 
 
 @query("src_json_array_stream", BATCHES_SQL.replace(", r AS", "WITH r AS", 1) + """
-SELECT e.vec_id AS id, b.batch_id AS idx, e.label, len(e.embedding) AS dims FROM embeddings e JOIN b USING (vec_id)""")
+SELECT e.vec_id AS id, b.batch_id AS idx, e.label, CAST(len(e.embedding) AS INTEGER) AS dims FROM embeddings e JOIN b USING (vec_id)""")
 def src_json_array_stream(spark, d):
     """Micro-batch JSON-array files read as a stream, one file per trigger, rows
     appended per epoch (overwrite by epoch id, so a replay cannot duplicate)."""
