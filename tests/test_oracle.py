@@ -28,7 +28,7 @@ def test_entry_runs(spark):
 def test_query_matches_oracle(spark, duck, key):
     from collections import Counter
 
-    from scripts.check_oracle import canon
+    from scripts.check_oracle import canon, duck_type
     df = QUERIES[key](spark, SF)
     cols, got = df.columns, df.collect()
     if key not in ORACLES:
@@ -38,6 +38,8 @@ def test_query_matches_oracle(spark, duck, key):
     ocols = [c[0] for c in cur.description]
     want = cur.fetchall()
     assert sorted(cols) == sorted(ocols)
+    otypes = {c[0]: str(c[1]) for c in cur.description}
+    assert {c: duck_type(t) for c, t in df.dtypes} == otypes
     o1 = sorted(range(len(cols)), key=lambda i: cols[i])
     o2 = sorted(range(len(ocols)), key=lambda i: ocols[i])
     assert Counter(tuple(canon(r[i]) for i in o1) for r in got) == \
