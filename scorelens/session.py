@@ -24,6 +24,7 @@ def get_session(app: str = "scorelens", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TARGET_PARTITION_BYTES))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Checkpointed frames (global numbering) are removed once unreferenced.
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
@@ -40,6 +41,31 @@ def get_session(app: str = "scorelens", master: str | None = None,
     return spark
 
 
+# Bytes per task: scan splits and post-shuffle partitions are sized to this.
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def tune_for_input(spark: SparkSession, input_bytes: int, cores: int) -> dict[str, str]:
+    """Size scans and shuffles for an input of ``input_bytes`` on ``cores`` task slots.
+
+    Scan splits of 128 MB; an initial shuffle partition count of input / 128 MB
+    (at least 2 waves of tasks), which AQE then coalesces to the advisory size;
+    skewed partitions are split by AQE. For 100 TB that is about 800k initial
+    shuffle partitions, coalesced at runtime, so no task holds more than a few
+    hundred MB before spilling.
+    """
+    partitions = max(2 * cores, -(-input_bytes // TARGET_PARTITION_BYTES))
+    settings = {
+        "spark.sql.files.maxPartitionBytes": str(TARGET_PARTITION_BYTES),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TARGET_PARTITION_BYTES),
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    return settings
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; set only when unset."""
     sc = spark.sparkContext

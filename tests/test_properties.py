@@ -104,3 +104,15 @@ def test_timed_scorer_one_call_per_batch_across_arrow_chunks(spark):
         assert out.count() == data.count()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_tune_for_input_sizes_partitions(spark):
+    from scorelens.session import tune_for_input
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        s = tune_for_input(spark, 100 * 1024 ** 4, 8000)
+        assert int(s["spark.sql.shuffle.partitions"]) == 819200
+        assert tune_for_input(spark, 10, 8)["spark.sql.shuffle.partitions"] == "16"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
