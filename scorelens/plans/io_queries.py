@@ -172,3 +172,29 @@ def src_labelled_arrays(spark, d):
     back = files.read_with_path_columns(spark, path, "parquet", {"part": "part=([^/]+)/"})
     return back.select("vec_id", "label", "part", F.when(F.col("part") == "test_batch", F.lit("test"))
                        .otherwise(F.lit("train")).alias("split"))
+
+
+TRACKER_JSON = ("batch_id BIGINT, batch_size BIGINT, triggered DOUBLE, start DOUBLE, `end` DOUBLE, "
+                "accuracy DOUBLE")
+
+
+@query("stream_report_from_files", tracker_sql(12) + """
+SELECT model, CASE WHEN env = 'F' THEN 'MAC_CPU' ELSE 'LINUX_GPU' END AS env, count(*) AS batches,
+       CAST(sum(batch_size) AS BIGINT) AS images,
+       round(avg(latency), 6) AS mean_latency, round(max(latency), 6) AS max_latency,
+       round(avg(throughput), 6) AS mean_throughput, round(max(throughput), 6) AS max_throughput,
+       count(*) FILTER (WHERE throughput IS NULL) AS zero_spans,
+       count(*) FILTER (WHERE clock_skew) AS clock_skews,
+       round(avg(accuracy), 6) AS mean_accuracy
+FROM metrics WHERE completed GROUP BY 1, 2""")
+def stream_report_from_files(spark, d):
+    """The reference's stream analysis end to end: tracker JSON lines in one folder
+    per run named ``<model>_<env>``, read by one recursive scan with model and env
+    parsed from the path, then latency / throughput per (model, env)."""
+    path = scratch_path(spark, "trackers")
+    t = testdata.tracker(spark, d)
+    env_code = F.when(F.col("env") == "F", F.lit("cpu")).otherwise(F.lit("cuda"))
+    t.withColumn("run", F.concat_ws("_", "model", env_code)).drop("model", "env") \
+        .write.partitionBy("run").json(path)
+    back = files.read_with_path_columns(spark, path, "json", {"run": "run=([^/]+)/"}, schema=TRACKER_JSON)
+    return reports.stream_report(reports.runs_from_path(back, "run"))

@@ -36,6 +36,14 @@ def stream_metrics(tracker: DataFrame, digits: int = 9) -> DataFrame:
     )
 
 
+def runs_from_path(df: DataFrame, run: str = "run") -> DataFrame:
+    """Model and environment from a ``<model>_<env>`` folder name; ``cpu`` is the
+    Mac CPU run, anything else a Linux GPU run."""
+    parts = F.split(F.url_decode(F.col(run)), "_")
+    env = F.when(F.element_at(parts, 2) == F.lit("cpu"), F.lit("MAC_CPU")).otherwise(F.lit("LINUX_GPU"))
+    return df.withColumn("model", F.element_at(parts, 1)).withColumn("env", env).drop(run)
+
+
 def stream_report(tracker: DataFrame, digits: int = 6) -> DataFrame:
     """Latency and throughput summary per (model, env) over completed batches."""
     m = stream_metrics(tracker, digits=12).filter(F.col("completed"))
