@@ -110,7 +110,8 @@ def predict_centroid(df: DataFrame, model: DataFrame, vec: str = "data",
 
 
 def model_matrix(model: DataFrame) -> tuple[list[int], list[list[float]], list[float]]:
-    """The K x D model as plain lists for vectorised scorers (bounded by K*D)."""
+    """The K x D model as plain lists for vectorised scorers (size checked first)."""
+    check_model_size(model, max_models=1)
     row = model.select("classes").first()
     classes = row["classes"] if row else []
     return ([c["label"] for c in classes], [list(c["centroid"]) for c in classes],
