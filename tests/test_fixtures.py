@@ -151,3 +151,16 @@ def test_fx10_schedules(spark):
 def test_path_helpers(spark):
     r = spark.createDataFrame([("results/facebook/deit/models",)], "p string").select(inner_path("p")).first()
     assert r[0] == "facebook/deit"
+
+
+def test_t5_placeholder_is_text(spark):
+    from scorelens.functions.times import placeholder_zero
+    df = spark.createDataFrame([(0.0,), (1.5,)], "start double")
+    got = sorted(r[0] for r in df.select(placeholder_zero("start")).collect())
+    assert got == ["-", "1.5"]
+
+
+def test_t15_csv_sink_has_no_index_column(spark):
+    path = scratch_path(spark, "t15")
+    sinks.write_csv(spark.createDataFrame([("m", 1.0)], "model string, duration double"), path)
+    assert files.read_csv_text(spark, path).columns == ["model", "duration"]
