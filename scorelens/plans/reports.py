@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scorelens.functions.text import with_unit
 from scorelens.operators.joins import lookup
 from scorelens.operators.latest import latest_struct
-from scorelens.operators.metrics import mean_by, mean_with_band
+from scorelens.operators.metrics import consistency_rows, consistency_verdict, mean_by, mean_with_band
 from scorelens.operators.relabel import normalise_by_max, relabel, unpivot
 
 # Chart names of environments and models (benchmark side).
@@ -142,3 +142,12 @@ def test_size_chart(results: DataFrame, digits: int = 9) -> DataFrame:
     """Run duration by test size per environment (line + band)."""
     r = results.select(F.col("duration"), F.col("total_images").alias("test_size"), relabel_env("env").alias("env"))
     return mean_with_band(r, ["test_size", "env"], "duration", digits)
+
+
+def consistency_check(results: DataFrame, key: str = "model", env: str = "env",
+                      value: str = "balanced_accuracy", digits: int = 3) -> DataFrame:
+    """Distinct (key, environment, rounded accuracy) rows with the key's verdict:
+    consistent when every environment and run gave the same rounded value."""
+    detail = consistency_rows(results, key, env, value, digits)
+    verdict = consistency_verdict(results, key, value, digits).select(key, "consistent")
+    return detail.join(verdict, key)

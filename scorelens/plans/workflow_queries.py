@@ -96,3 +96,14 @@ def score_text_batches(spark, d):
 @query("text_train_eval")
 def text_train_eval(spark, d):
     return evaluate.text_pipeline_eval(testdata.labelled_text(spark, d), TRAIN_PCT_TEXT, salt="s42")
+
+
+@query("consistency_check", """
+WITH b AS (SELECT l_linestatus AS model, l_returnflag AS env, 100.0 - l_discount * 100.0 AS balanced_accuracy
+           FROM lineitem),
+v AS (SELECT model, min(round(balanced_accuracy, 3)) = max(round(balanced_accuracy, 3)) AS consistent
+      FROM b GROUP BY model)
+SELECT DISTINCT b.model, b.env AS environment, round(b.balanced_accuracy, 3) AS accuracy, v.consistent
+FROM b JOIN v USING (model)""")
+def consistency_check(spark, d):
+    return reports.consistency_check(testdata.benchmark_rows(spark, d))
