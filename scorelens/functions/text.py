@@ -48,3 +48,10 @@ def inner_path(path, sep: str = "/") -> Column:
 def with_unit(value, unit: str) -> Column:
     """Text with a unit suffix, e.g. ``28.589M``."""
     return F.concat(_c(value).cast("string"), F.lit(unit))
+
+
+def tokens_pad_to(text, length, max_length: int, pad: str = PAD_TOKEN) -> Column:
+    """Tokens truncated at ``max_length`` and padded to ``length`` (a column, e.g.
+    the longest text of the row's batch)."""
+    w = F.slice(words(text), 1, max_length)
+    return F.concat(w, F.array_repeat(F.lit(pad), F.greatest(F.lit(0), _c(length) - F.size(w))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorelens.functions.hashing import md5_bucket
-from scorelens.functions.text import tokens_mask, tokens_pad_truncate, words
+from scorelens.functions.text import tokens_mask, tokens_pad_to, tokens_pad_truncate, words
 from scorelens.operators import rows, splits
 from scorelens.plans import testdata
 from scorelens.plans.registry import query, table
@@ -142,3 +142,24 @@ def collate_batches(spark, d):
     e = table(spark, d, "embeddings", "vec_id", "label")
     b = rows.assign_constant(e, [F.col("vec_id")], CONSTANT_BATCH)
     return collate(b, "batch_no", "rn", {"ids": "vec_id", "labels": "label"})
+
+
+TEXT_BATCH = 16
+
+
+@query("text_tokens_pad_longest", TOKENS_SQL + f"""
+, b AS (SELECT doc_id, w, CAST((row_number() OVER (ORDER BY doc_id) - 1) // {TEXT_BATCH} AS INTEGER) AS batch_no FROM w),
+m AS (SELECT *, max(least(len(w), {MAX_TOKENS})) OVER (PARTITION BY batch_no) AS longest FROM b)
+SELECT doc_id, batch_no, CAST(longest AS INTEGER) AS longest,
+       w[1:{MAX_TOKENS}] || list_transform(range(greatest(0, longest - least(len(w), {MAX_TOKENS}))), lambda i: '[PAD]')
+       AS tokens
+FROM m""")
+def text_tokens_pad_longest(spark, d):
+    """Pad every text to the longest (truncated) text of its mini-batch."""
+    docs = rows.assign_constant(table(spark, d, "documents", "doc_id", "text"), [F.col("doc_id")], TEXT_BATCH)
+    n_tok = F.least(F.size(words("text")), F.lit(MAX_TOKENS))
+    # A mini-batch holds at most TEXT_BATCH rows, so the per-batch maximum is a
+    # bounded aggregate joined back on the batch number.
+    longest = docs.groupBy("batch_no").agg(F.max(n_tok).cast("int").alias("longest"))
+    return docs.join(longest, "batch_no").select(
+        "doc_id", "batch_no", "longest", tokens_pad_to("text", F.col("longest"), MAX_TOKENS).alias("tokens"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from scorelens.operators.centroid import train_centroids
 from scorelens.plans import evaluate, reports, testdata
 from scorelens.plans.prepare_queries import TRAIN_PCT, TRAIN_PCT_TEXT
-from scorelens.plans.registry import query
+from scorelens.plans.registry import ORACLES, query
 from scorelens.plans.relational_queries import TRAINER_SQL, case_sql
-from scorelens.sources import dims
+from scorelens.session import scratch_path
+from scorelens.sources import dims, files, sinks
 
 # The reference's evaluation grids (image and text batch sizes).
 IMAGE_BATCH_SIZES = [1, 2, 5, 7, 10, 20, 30, 40]
@@ -107,3 +108,20 @@ SELECT DISTINCT b.model, b.env AS environment, round(b.balanced_accuracy, 3) AS
 FROM b JOIN v USING (model)""")
 def consistency_check(spark, d):
     return reports.consistency_check(testdata.benchmark_rows(spark, d))
+
+
+TRAINING_CSV = {"model": "string", "env": "string", "total_flos": "double", "train_runtime": "double",
+                "train_samples_per_second": "double", "train_steps_per_second": "double"}
+
+
+@query("training_chart_from_csv", ORACLES["training_chart"])
+def training_chart_from_csv(spark, d):
+    """The reference's chain: training report -> CSV -> read back as text ->
+    numeric casts (numeric maxima, not text maxima) -> relabel, normalise, unpivot."""
+    path = scratch_path(spark, "training-csv")
+    rep = reports.training_report(testdata.trainer_runs(spark, d), testdata.trainer_log_entries(spark, d),
+                                  dims.catalog(spark))
+    sinks.write_csv(rep.select(*TRAINING_CSV), path)
+    text = files.read_csv_text(spark, path)
+    typed = text.select(*[F.col(c).cast(t).alias(c) for c, t in TRAINING_CSV.items()])
+    return reports.training_chart(typed)
