@@ -101,17 +101,22 @@ def binary_metrics(df: DataFrame, label: str = "label", pred: str = "pred",
 def per_class_metrics(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """Per class: support n, true positives, times predicted, precision, recall, F1.
 
-    Everything derives from one confusion table (one shuffle of the predictions,
-    at most classes x classes rows), so the predictions are computed once.
+    One pass: the confusion table (at most classes x classes rows after a
+    map-side combined aggregate) gives every cell twice, once for its true class
+    and once for its predicted class, and one more aggregate sums them. No join,
+    so the predictions are computed once. Classes never seen as a label (support
+    0) are dropped, as a support-weighted average ignores them.
     """
     conf = confusion_counts(df, label, pred)
-    truth = conf.groupBy(F.col(label).alias("cls")).agg(
-        F.sum("n").alias("support"),
-        F.sum(F.when(F.col(label) == F.col(pred), F.col("n")).otherwise(F.lit(0))).alias("tp"),
-    )
-    predicted = conf.groupBy(F.col(pred).alias("cls")).agg(F.sum("n").alias("predicted"))
-    # One row per class on each side; the left join keeps true classes never predicted.
-    m = truth.join(predicted, "cls", "left").fillna(0, ["predicted"])
+    hit = F.col(label) == F.col(pred)
+    cells = conf.select(F.explode(F.array(
+        F.struct(F.col(label).alias("cls"), F.col("n").alias("support"),
+                 F.when(hit, F.col("n")).otherwise(F.lit(0)).alias("tp"), F.lit(0).cast("bigint").alias("predicted")),
+        F.struct(F.col(pred).alias("cls"), F.lit(0).cast("bigint").alias("support"),
+                 F.lit(0).cast("bigint").alias("tp"), F.col("n").alias("predicted")),
+    )).alias("c")).select("c.*")
+    m = cells.groupBy("cls").agg(F.sum("support").alias("support"), F.sum("tp").alias("tp"),
+                                 F.sum("predicted").alias("predicted")).filter(F.col("support") > 0)
     prec = _ratio(F.col("tp"), F.col("predicted"))
     rec = _ratio(F.col("tp"), F.col("support"))
     return m.select("cls", "support", "tp", "predicted", prec.alias("precision"),
