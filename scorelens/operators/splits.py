@@ -25,6 +25,20 @@ def rest_after(all_rows: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     return all_rows.join(taken.select(key), key, "left_anti")
 
 
-def bernoulli_sample(df: DataFrame, key: str, pct: int = 5, salt: str = "") -> DataFrame:
-    """Keep about ``pct`` percent of rows, the same rows on every run."""
+def bernoulli_sample(df: DataFrame, key: str, pct: int = 5, salt: str = "",
+                     native_seed: int | None = None) -> DataFrame:
+    """Keep about ``pct`` percent of rows, the same rows on every run.
+
+    With ``native_seed`` Spark's own ``sample`` is used instead: cheaper (no
+    hash), but its draw depends on the partitioning, so it is reproducible only
+    for the same input layout.
+    """
+    if native_seed is not None:
+        return df.sample(withReplacement=False, fraction=pct / 100.0, seed=native_seed)
     return df.filter(md5_bucket(F.col(key), 100, salt) < pct)
+
+
+def native_split(df: DataFrame, train_pct: int, seed: int, name: str = "split") -> DataFrame:
+    """``randomSplit`` labelled train/test (partition-dependent; see ``hash_split``)."""
+    train, test = df.randomSplit([train_pct / 100.0, 1 - train_pct / 100.0], seed=seed)
+    return train.withColumn(name, F.lit("train")).unionByName(test.withColumn(name, F.lit("test")))

@@ -116,3 +116,10 @@ def test_tune_for_input_sizes_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+
+
+def test_native_sampling_options_cover(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id")
+    s = splits.native_split(docs, 70, seed=42)
+    assert s.count() == docs.count() and s.select("doc_id").distinct().count() == docs.count()
+    assert splits.bernoulli_sample(docs, "doc_id", 50, native_seed=7).count() <= docs.count()
