@@ -223,7 +223,7 @@ def limit_first_n(spark, d):
 SELECT label, count(*) AS n FROM embeddings GROUP BY label""")
 def src_repartitioned_scan(spark, d):
     e = table(spark, d, "embeddings", "vec_id", "label")
-    return e.repartition(spark.sparkContext.defaultParallelism).groupBy("label").agg(
+    return e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).groupBy("label").agg(
         F.count(F.lit(1)).alias("n"))
 
 
