@@ -123,3 +123,27 @@ def test_native_sampling_options_cover(spark):
     s = splits.native_split(docs, 70, seed=42)
     assert s.count() == docs.count() and s.select("doc_id").distinct().count() == docs.count()
     assert splits.bernoulli_sample(docs, "doc_id", 50, native_seed=7).count() <= docs.count()
+
+
+def test_hot_key_top1_matches_window(spark):
+    from pyspark.sql import Window
+    from scorelens.operators.latest import latest_per_group
+    df = spark.range(0, 3000, numPartitions=6).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97).alias("run"),
+        (F.col("id") * 7 % 101).cast("double").alias("step"), F.col("id").alias("pos"),
+        (F.col("id") * 0.5).alias("v"))
+    got = {r["run"]: (r["step"], r["v"]) for r in latest_per_group(df, ["run"], ["step", "pos"], ["step", "v"]).collect()}
+    w = Window.partitionBy("run").orderBy(F.desc("step"), F.desc("pos"))
+    want = {r["run"]: (r["step"], r["v"]) for r in
+            df.withColumn("rk", F.row_number().over(w)).filter("rk = 1").collect()}
+    assert got == want
+
+
+def test_row_numbers_with_a_hot_leading_key(spark):
+    df = spark.range(0, 6000, numPartitions=5).select(
+        F.when(F.col("id") < 2000, F.lit(0)).otherwise(F.col("id") % 50 + 1).alias("k"), F.col("id"))
+    r = rows.with_row_number(df, [F.col("k"), F.col("id")])
+    agg = r.agg(F.min("rn"), F.max("rn"), F.countDistinct("rn")).first()
+    assert tuple(agg) == (0, 5999, 6000)
+    first_hot = r.filter(F.col("k") == 0).agg(F.min("rn"), F.max("rn")).first()
+    assert tuple(first_hot) == (0, 1999)
