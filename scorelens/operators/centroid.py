@@ -81,25 +81,47 @@ def check_model_size(model: DataFrame, max_models: int = MAX_MODEL_ROWS,
         raise ValueError(f"model table too large to broadcast: {r['models']} models, {r['values']} values")
 
 
-def predict_centroid(df: DataFrame, model: DataFrame, vec: str = "data",
+def model_literal(model: DataFrame, model_name: str = "centroid") -> Column:
+    """The named model's classes as one literal value (size checked first).
+
+    For a model reused many times in one session (every trigger of a stream):
+    read once on the driver (bounded K x D), then attached to each micro-batch
+    without re-running a subquery.
+    """
+    check_model_size(model)
+    row = model.filter(F.col("model") == F.lit(model_name)).select("classes").first()
+    if row is None:
+        raise ValueError(f"no model named {model_name}")
+    return F.array(*[
+        F.struct(F.lit(int(c["label"])).alias("label"),
+                 F.array(*[F.lit(float(v)) for v in c["centroid"]]).alias("centroid"),
+                 F.lit(float(c["half_norm"])).alias("half_norm"))
+        for c in row["classes"]])
+
+
+def predict_centroid(df: DataFrame, model: DataFrame | None, vec: str = "data",
                      model_name: str | None = None, keep_score: bool = False,
-                     size_checked: bool = False) -> DataFrame:
+                     size_checked: bool = False, classes: Column | None = None) -> DataFrame:
     """Add ``pred`` (and optionally ``score``) to every row of ``df``.
 
     A single model (``model_name``, default "centroid") is attached as a scalar
     subquery: computed once, shipped to every task, no join. When ``df`` has its
     own ``model`` column (a grid), rows are matched to their model by a
     broadcast hash join on the name. Either way the model's size is checked first
-    (``size_checked``: the caller already did, e.g. once per stream).
+    (``size_checked``: the caller already did, e.g. once per stream). ``classes``
+    (from :func:`model_literal`) attaches an already-read model directly.
     """
-    if not size_checked:
-        check_model_size(model)
-    if model_name is None and "model" in df.columns:
-        rows = df.join(F.broadcast(model), "model").withColumnRenamed("classes", "_classes")
-    else:
-        name = model_name or "centroid"
-        classes = model.filter(F.col("model") == F.lit(name)).select("classes").scalar()
+    if classes is not None:
         rows = df.withColumn("_classes", classes)
+    else:
+        if not size_checked:
+            check_model_size(model)
+        if model_name is None and "model" in df.columns:
+            rows = df.join(F.broadcast(model), "model").withColumnRenamed("classes", "_classes")
+        else:
+            name = model_name or "centroid"
+            subquery = model.filter(F.col("model") == F.lit(name)).select("classes").scalar()
+            rows = df.withColumn("_classes", subquery)
     scored = (
         rows.withColumn("_best", F.array_max(class_scores(F.col(vec), F.col("_classes"))))
         .withColumn("pred", (-F.col("_best.neg_label")).cast("int"))

@@ -12,22 +12,22 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scorelens.operators.centroid import check_model_size, predict_centroid
+from scorelens.operators.centroid import model_literal, predict_centroid
 from scorelens.streaming.microbatch import IMAGE_SCHEMA
 
 
-def score_micro_batch(batch_df: DataFrame, epoch_id: int, model: DataFrame, tracker_dir: str,
-                      size_checked: bool = False) -> int:
+def score_micro_batch(batch_df: DataFrame, epoch_id: int, model: DataFrame | None, tracker_dir: str,
+                      size_checked: bool = False, classes: Column | None = None) -> int:
     """Score one micro-batch and record its per-batch results; returns rows written."""
     start = time.time()
     valid = batch_df.filter(F.col("data").isNotNull() & F.col("label").isNotNull())
     ident = F.coalesce(F.nullif(F.col("idx"), F.lit(0)), F.lit(int(epoch_id)).cast("int"))
     scored = predict_centroid(valid.withColumn("batch_id", ident), model, vec="data", model_name="centroid",
-                              size_checked=size_checked)
+                              size_checked=size_checked, classes=classes)
     summary = scored.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("pred") == F.col("label")).cast("int")).alias("hits"))
     # One row per micro-batch in this trigger: a bounded result, not the data.
@@ -50,13 +50,12 @@ def run_scoring_stream(spark: SparkSession, input_dir: str, model: DataFrame, tr
     if archive_dir:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
     stream = reader.json(input_dir)
-    # Tiny (one row per model) and reused by every trigger: cache it and check
-    # its size once, not per trigger.
-    model = model.cache()
-    check_model_size(model)
+    # Reused by every trigger: checked and read once (bounded K x D), then
+    # attached to each micro-batch as a literal instead of a per-trigger subquery.
+    classes = model_literal(model)
 
     def process(batch_df: DataFrame, epoch_id: int) -> None:
-        score_micro_batch(batch_df, epoch_id, model, tracker_dir, size_checked=True)
+        score_micro_batch(batch_df, epoch_id, None, tracker_dir, classes=classes)
 
     query = (stream.writeStream.foreachBatch(process)
              .option("checkpointLocation", checkpoint_dir)
