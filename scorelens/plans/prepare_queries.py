@@ -8,6 +8,7 @@ from scorelens.functions.hashing import md5_bucket
 from scorelens.functions.text import tokens_mask, tokens_pad_to, tokens_pad_truncate, words
 from scorelens.operators import rows, splits
 from scorelens.plans import testdata
+from scorelens.plans.evaluate import collate, prepare_text
 from scorelens.plans.registry import query, table
 
 MD5_BUCKET_SQL = "('0x' || substr(md5({salt}CAST({key} AS VARCHAR)), 1, 8))::BIGINT % {n}"
@@ -118,7 +119,6 @@ SELECT doc_id, content, label, CASE WHEN {bucket_sql('doc_id')} < {TRAIN_PCT} TH
        row_number() OVER (ORDER BY ('0x' || substr(md5('mix' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT, doc_id) - 1 AS position
 FROM (SELECT d.doc_id, d.text AS content, l.toxic AS label FROM documents d JOIN labels l USING (doc_id))""")
 def prepare_text_split(spark, d):
-    from scorelens.plans.evaluate import prepare_text
     return prepare_text(testdata.labelled_text(spark, d), TRAIN_PCT)
 
 
@@ -138,7 +138,6 @@ WITH r AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS rn F
 SELECT CAST(rn // {CONSTANT_BATCH} AS INTEGER) AS batch_no, list(vec_id ORDER BY rn) AS ids,
        list(label ORDER BY rn) AS labels FROM r GROUP BY rn // {CONSTANT_BATCH}""")
 def collate_batches(spark, d):
-    from scorelens.plans.evaluate import collate
     e = table(spark, d, "embeddings", "vec_id", "label")
     b = rows.assign_constant(e, [F.col("vec_id")], CONSTANT_BATCH)
     return collate(b, "batch_no", "rn", {"ids": "vec_id", "labels": "label"})

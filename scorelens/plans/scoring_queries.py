@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scorelens.functions.arrays import argmax, channel_to_pixel_major, wrap_uint8
 from scorelens.operators import centroid, metrics, rows
-from scorelens.operators.latest import latest_per_group
+from scorelens.operators.generators import explode_batches
+from scorelens.operators.scoring import predict_batch_column, score_batches_in_pandas
 from scorelens.plans import testdata
+from scorelens.plans.evaluate import grid_accuracy
 from scorelens.plans.prepare_queries import CONSTANT_BATCH, bucket_sql
 from scorelens.plans.registry import query, table
-from scorelens.functions.arrays import argmax, channel_to_pixel_major, wrap_uint8
 
 
 def predictions(spark, d):
@@ -66,7 +68,6 @@ def score_broadcast_params(spark, d):
 
 @query("score_batch_udf", CENTROID_SQL + "SELECT vec_id, label, pred FROM pred")
 def score_batch_udf(spark, d):
-    from scorelens.operators.scoring import predict_batch_column
     data = testdata.labelled_arrays(spark, d)
     model = centroid.train_centroids(data)
     return data.select(F.col("id").alias("vec_id"), "label", predict_batch_column(model).alias("pred"))
@@ -74,7 +75,6 @@ def score_batch_udf(spark, d):
 
 @query("score_map_in_pandas")
 def score_map_in_pandas(spark, d):
-    from scorelens.operators.scoring import score_batches_in_pandas
     data = testdata.labelled_arrays(spark, d)
     model = centroid.train_centroids(data)
     batched = rows.assign_constant(data, [F.col("id")], CONSTANT_BATCH)
@@ -185,7 +185,6 @@ WITH n AS (SELECT l_returnflag AS class, l_discount > 0.05 AS correct, l_tax,
            FROM lineitem)
 SELECT batch_no, class, correct, max(l_tax) OVER (PARTITION BY batch_no) AS batch_duration FROM n""")
 def explode_batch_predictions(spark, d):
-    from scorelens.operators.generators import explode_batches
     lp = testdata.line_predictions(spark, d)
     order = [F.col(c) for c in ("batch_no", "l_linenumber", "l_partkey", "l_suppkey", "class", "l_discount",
                                 "batch_duration")]
@@ -266,7 +265,6 @@ a AS (SELECT 'centroid_' || CAST(pct AS VARCHAR) AS run, avg(CAST(label = cls AS
       FROM p WHERE rk = 1 GROUP BY pct)
 SELECT arg_max(run, (accuracy, run)) AS best_run, round(max(accuracy), 9) AS accuracy, CAST(count(*) AS BIGINT) AS runs FROM a""")
 def select_best_run(spark, d):
-    from scorelens.plans.evaluate import grid_accuracy
     runs = grid_accuracy(testdata.labelled_arrays(spark, d), [50, 70, 90, 98], salt="grid")
     best = F.max(F.struct("accuracy", "run"))
     return runs.agg(best["run"].alias("best_run"), F.round(best["accuracy"], 9).alias("accuracy"),

@@ -11,7 +11,7 @@ from scorelens.plans.scoring_queries import CENTROID_SQL
 from scorelens.session import scratch_path
 from scorelens.streaming import IMAGE_SCHEMA, produce_micro_batches, run_scoring_stream, tracker_view
 from scorelens.streaming.microbatch import growth_step_for
-from scorelens.streaming.scoring import score_micro_batch
+from scorelens.streaming.scoring import score_micro_batch, stream_to_table
 
 # The reference's replayed run pushes 16 micro-batches of growing size.
 PUSHES = 16
@@ -74,7 +74,6 @@ SELECT e.vec_id AS id, b.batch_id AS idx, e.label, CAST(len(e.embedding) AS INTE
 def src_json_array_stream(spark, d):
     """Micro-batch JSON-array files read as a stream, one file per trigger, rows
     appended per epoch (overwrite by epoch id, so a replay cannot duplicate)."""
-    from scorelens.streaming.scoring import stream_to_table
     base, _ = _produce(spark, d)
     stream_to_table(spark, f"{base}/input", f"{base}/rows", f"{base}/checkpoint")
     got = spark.read.parquet(f"{base}/rows")
