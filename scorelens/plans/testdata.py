@@ -1,13 +1,16 @@
 """How the reference's inputs map onto the driver's test tables.
 
-| reference input        | derived from                                                   |
-| ---------------------- | -------------------------------------------------------------- |
-| stream tracker         | orders left join (lineitem aggregated per order)               |
-| class x batch preds    | lineitem: batch = order, class = returnflag, hit = discount>.05 |
-| benchmark results      | lineitem: model = linestatus, env = returnflag, ...             |
-| trainer logs           | lineitem per order (step = linenumber), sparse by returnflag    |
-| labelled text          | documents join labels (label = toxic)                           |
-| labelled arrays        | embeddings (64 values = 4 channels x 16)                        |
+| reference input         | derived from                                                          |
+| ----------------------- | --------------------------------------------------------------------- |
+| stream tracker          | orders left join (lineitem aggregated per order)                      |
+| class x batch preds     | lineitem: batch = order, class = returnflag, hit = discount > .05     |
+| benchmark results       | lineitem: model = linestatus, env = returnflag, ...                   |
+| image benchmark results | lineitem: model = one of six names by part key, env by returnflag     |
+| trainer runs            | orders: catalog slot = custkey mod 17 (slot 16 is a catalog miss)     |
+| trainer logs            | lineitem per order (step = linenumber), sparse by returnflag          |
+| trainer-state documents | the logs in order, cut into segments of at most 1,000 entries         |
+| labelled text           | documents join labels (label = toxic)                                 |
+| labelled arrays         | embeddings (64 values = 4 channels x 16)                              |
 
 Every mapping aggregates before joining, so the join inputs are one row per key.
 """
