@@ -10,7 +10,7 @@ from scorelens.operators.joins import lookup
 from scorelens.operators.latest import latest_per_group
 from scorelens.operators.metrics import mean_by
 from scorelens.operators.relabel import normalise_by_max, relabel, unpivot
-from scorelens.plans import reports, testdata
+from scorelens.plans import testdata
 from scorelens.plans.registry import query, table
 from scorelens.sources import dims
 
@@ -313,8 +313,7 @@ FROM runs r LEFT JOIN {dims.catalog_sql()} ON r.position = c.position
 JOIN tr ON tr.run_id = r.run_id AND tr.rk = 1
 JOIN ev ON ev.run_id = r.run_id AND ev.rk = 1""")
 def training_report(spark, d):
-    return reports.training_report(testdata.trainer_runs(spark, d), testdata.trainer_log_entries(spark, d),
-                                   dims.catalog(spark))
+    return testdata.training_report(spark, d)
 
 
 @query("latest_per_run", TRAINER_SQL + """
@@ -330,6 +329,5 @@ def latest_per_run(spark, d):
 SELECT r.run_id, r.env, tr.train_runtime, ev.eval_accuracy
 FROM runs r JOIN tr ON tr.run_id = r.run_id AND tr.rk = 1 JOIN ev ON ev.run_id = r.run_id AND ev.rk = 1""")
 def join_inner_three_way(spark, d):
-    rep = reports.training_report(testdata.trainer_runs(spark, d), testdata.trainer_log_entries(spark, d),
-                                  dims.catalog(spark))
+    rep = testdata.training_report(spark, d)
     return rep.select("run_id", "env", "train_runtime", "eval_accuracy")

@@ -74,16 +74,18 @@ def relabel_env(col: str = "env") -> F.Column:
     return relabel(col, ENV_NAMES)
 
 
-def training_report(runs: DataFrame, entries: DataFrame, catalog: DataFrame) -> DataFrame:
+def training_report(runs: DataFrame, entries: DataFrame, catalog: DataFrame,
+                    order: tuple[str, ...] = ("step", "pos")) -> DataFrame:
     """One row per run: catalog facts, final training summary, latest evaluation.
 
     Runs are keyed by run id (the file), not by model name, so a model trained in
     two environments gives two rows. The log is read once: one aggregation per
     run keeps both the latest training summary and the latest evaluation
     (largest step, line keys and values as tie-break) as conditional struct
-    maxima, combined map-side (skew-safe).
+    maxima, combined map-side (skew-safe). ``order`` is the total order that
+    decides "latest": step, then position in the log (a later entry wins).
     """
-    ties = ["step", "l_partkey", "l_suppkey"]
+    ties = list(order)
     train_cols = ["train_runtime", "train_samples_per_second", "train_steps_per_second"]
     eval_cols = ["eval_accuracy", "eval_f1", "eval_loss", "eval_runtime"]
     latest = entries.groupBy("run_id").agg(

@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from scorelens.functions.times import epoch_seconds
 from scorelens.operators.generators import pack_segments
 from scorelens.operators.rows import with_row_number
+from scorelens.plans import reports
 from scorelens.plans.registry import table
+from scorelens.sources import dims
 
 # A hit is a line whose discount exceeds this.
 HIT_DISCOUNT = 0.05
@@ -207,3 +209,13 @@ def trainer_states(spark: SparkSession, d: str, segment: int = LOG_SEGMENT) -> D
                          segment, "log_history")
     runs = trainer_runs(spark, d).select("run_id", "total_flos")
     return runs.join(docs, "run_id")
+
+
+# The line table has no log position; its keys give the total order instead.
+LOG_ORDER = ("step", "l_partkey", "l_suppkey")
+
+
+def training_report(spark: SparkSession, d: str) -> DataFrame:
+    """The training report over the test tables' runs, logs and the catalog."""
+    return reports.training_report(trainer_runs(spark, d), trainer_log_entries(spark, d), dims.catalog(spark),
+                                   order=LOG_ORDER)

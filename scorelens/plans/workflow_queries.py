@@ -70,8 +70,7 @@ SELECT env, category, model, round(avg(normalized_value), 9) AS mean
 FROM (UNPIVOT n ON flos, runtime, batch_per_second, step_per_second INTO NAME category VALUE normalized_value)
 GROUP BY env, category, model""")
 def training_chart(spark, d):
-    rep = reports.training_report(testdata.trainer_runs(spark, d), testdata.trainer_log_entries(spark, d),
-                                  dims.catalog(spark))
+    rep = testdata.training_report(spark, d)
     return reports.training_chart(rep)
 
 
@@ -119,8 +118,7 @@ def training_chart_from_csv(spark, d):
     """The reference's chain: training report -> CSV -> read back as text ->
     numeric casts (numeric maxima, not text maxima) -> relabel, normalise, unpivot."""
     path = scratch_path(spark, "training-csv")
-    rep = reports.training_report(testdata.trainer_runs(spark, d), testdata.trainer_log_entries(spark, d),
-                                  dims.catalog(spark))
+    rep = testdata.training_report(spark, d)
     sinks.write_csv(rep.select(*TRAINING_CSV), path)
     text = files.read_csv_text(spark, path)
     typed = text.select(*[F.col(c).cast(t).alias(c) for c, t in TRAINING_CSV.items()])

@@ -164,3 +164,22 @@ def test_t15_csv_sink_has_no_index_column(spark):
     path = scratch_path(spark, "t15")
     sinks.write_csv(spark.createDataFrame([("m", 1.0)], "model string, duration double"), path)
     assert files.read_csv_text(spark, path).columns == ["model", "duration"]
+
+
+def test_training_report_default_order_is_step_then_position(spark):
+    from scorelens.sources import dims
+    runs = spark.createDataFrame([(1, 9, "GPU", 1.0), (2, 16, "COLAB_GPU", 2.0)],
+                                 "run_id bigint, position int, env string, total_flos double")
+    d = "double"
+    entries = spark.createDataFrame([
+        (1, 1.0, 0, None, None, None, 0.5, 0.5, 0.1, 3.0),
+        (1, 2.0, 1, None, None, None, 0.7, 0.7, 0.2, 3.0),
+        (1, 2.0, 2, None, None, None, 0.8, 0.8, 0.3, 3.0),   # same step, later position: wins
+        (1, 2.0, 3, 100.0, 5.0, 0.1, None, None, None, None),
+        (2, 1.0, 0, 50.0, 4.0, 0.2, 0.6, 0.6, 0.4, 2.0),
+    ], f"run_id bigint, step {d}, pos int, train_runtime {d}, train_samples_per_second {d}, "
+       f"train_steps_per_second {d}, eval_accuracy {d}, eval_f1 {d}, eval_loss {d}, eval_runtime {d}")
+    rep = {r["run_id"]: r for r in reports.training_report(runs, entries, dims.catalog(spark)).collect()}
+    assert rep[1]["eval_accuracy"] == 0.8 and rep[1]["model"] == "google/vit-base-patch16-224"
+    assert rep[1]["params"] == "86.568M" and not rep[1]["missing_model"]
+    assert rep[2]["missing_model"] and rep[2]["model"] is None and rep[2]["train_runtime"] == 50.0

@@ -43,9 +43,6 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
 
 
 def test_training_report_scans_the_log_once(spark):
-    from scorelens.plans import reports
-    from scorelens.sources import dims
-    rep = reports.training_report(testdata.trainer_runs(spark, SF), testdata.trainer_log_entries(spark, SF),
-                                  dims.catalog(spark))
+    rep = testdata.training_report(spark, SF)
     p = _plan(rep)
     assert p.count("lineitem.parquet") == 1
