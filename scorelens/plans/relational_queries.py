@@ -166,7 +166,8 @@ SELECT o_orderkey AS run_id, c.model, c.params, c.size, c.model IS NULL AS missi
 FROM orders o LEFT JOIN {dims.catalog_sql()} ON CAST(o.o_custkey % 17 AS INTEGER) = c.position""")
 def join_broadcast_catalog(spark, d):
     runs = testdata.trainer_runs(spark, d)
-    return lookup(runs, dims.catalog(spark), "position", flag="missing_model").select(
+    facts = dims.catalog(spark).select("model", "params", "size")
+    return lookup(runs, facts, "model", flag="missing_model").select(
         "run_id", "model", "params", "size", "missing_model")
 
 

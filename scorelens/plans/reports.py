@@ -74,12 +74,23 @@ def relabel_env(col: str = "env") -> F.Column:
     return relabel(col, ENV_NAMES)
 
 
+def trainer_runs_from_paths(states: DataFrame, path: str = "path") -> DataFrame:
+    """Run headers from trainer-state file paths ``.../<group>/<model>[:<env>]/<dir>/<file>``:
+    run id = the path, model = ``<group>/<model>``, env after ``:`` or ``GPU``."""
+    parts = F.split(F.url_decode(F.col(path)), "/")
+    name = F.element_at(parts, -3)
+    model = F.concat_ws("/", F.element_at(parts, -4), F.substring_index(name, ":", 1))
+    env = F.when(name.contains(":"), F.substring_index(name, ":", -1)).otherwise(F.lit("GPU"))
+    return states.select(F.col(path).alias("run_id"), model.alias("model"), env.alias("env"), "total_flos")
+
+
 def training_report(runs: DataFrame, entries: DataFrame, catalog: DataFrame,
                     order: tuple[str, ...] = ("step", "pos")) -> DataFrame:
     """One row per run: catalog facts, final training summary, latest evaluation.
 
-    Runs are keyed by run id (the file), not by model name, so a model trained in
-    two environments gives two rows. The log is read once: one aggregation per
+    Runs (run_id, model, env, total_flos) are keyed by run id (the file), not by
+    model name, so a model trained in two environments gives two rows; the
+    catalog is looked up by model name (a miss is flagged, not an error). The log is read once: one aggregation per
     run keeps both the latest training summary and the latest evaluation
     (largest step, line keys and values as tie-break) as conditional struct
     maxima, combined map-side (skew-safe). ``order`` is the total order that
@@ -94,7 +105,8 @@ def training_report(runs: DataFrame, entries: DataFrame, catalog: DataFrame,
     ).filter(F.col("_t").isNotNull() & F.col("_e").isNotNull()).select(
         "run_id", *[F.col(f"_t.{c}").alias(c) for c in train_cols], F.col("_e.step").alias("eval_step"),
         *[F.col(f"_e.{c}").alias(c) for c in eval_cols])
-    head = lookup(runs, catalog, "position", flag="missing_model", max_rows=10_000).select(
+    facts = catalog.select("model", "params", "size")
+    head = lookup(runs, facts, "model", flag="missing_model", max_rows=10_000).select(
         "run_id", "model", "env",
         with_unit("params", "M").alias("params"), with_unit("size", "MB").alias("size"),
         "total_flos", "missing_model",

@@ -116,13 +116,20 @@ DEFAULT_ENV = "GPU"
 
 
 def trainer_runs(spark: SparkSession, d: str) -> DataFrame:
-    """One trainer-state header per run (order): catalog slot, env, sizes."""
+    """One trainer-state header per run (order): model name, catalog slot, env, sizes.
+
+    The model is the catalog's name at the run's slot; the extra slot has no
+    name (a model missing from the catalog).
+    """
     o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     env = F.coalesce(*[F.when(F.col("o_orderstatus") == k, F.lit(v)) for k, v in RUN_ENV.items()],
                      F.lit(DEFAULT_ENV))
+    slot = (F.col("o_custkey") % CATALOG_SLOTS).cast("int")
+    names = F.array(*[F.lit(m) for m, _, _ in dims.CATALOG])
     return o.select(
         F.col("o_orderkey").alias("run_id"),
-        (F.col("o_custkey") % CATALOG_SLOTS).cast("int").alias("position"),
+        F.try_element_at(names, slot + 1).alias("model"),
+        slot.alias("position"),
         env.alias("env"),
         F.col("o_totalprice").alias("total_flos"),
     )

@@ -68,9 +68,8 @@ def test_fx3_runs_keyed_by_file_and_last_position_wins(spark):
     best = {r["path"]: r for r in latest_per_group(flat, ["path"], ["step", "pos"], ["step", "eval_accuracy"]).collect()}
     assert len(best) == 2
     assert best["results/g/m:COLAB_GPU/x/trainer_state.json"]["eval_accuracy"] == 0.8
-    env = states.select(F.when(F.col("path").contains(":"), F.regexp_extract("path", ":([^/]+)/", 1))
-                        .otherwise(F.lit("GPU")).alias("env"))
-    assert sorted(r["env"] for r in env.collect()) == ["COLAB_GPU", "GPU"]
+    runs = reports.trainer_runs_from_paths(states.withColumn("total_flos", F.lit(1.0)))
+    assert sorted((r["model"], r["env"]) for r in runs.collect()) == [("g/m", "COLAB_GPU"), ("g/m", "GPU")]
 
 
 def test_fx4_numeric_max_not_lexicographic(spark):
@@ -168,8 +167,8 @@ def test_t15_csv_sink_has_no_index_column(spark):
 
 def test_training_report_default_order_is_step_then_position(spark):
     from scorelens.sources import dims
-    runs = spark.createDataFrame([(1, 9, "GPU", 1.0), (2, 16, "COLAB_GPU", 2.0)],
-                                 "run_id bigint, position int, env string, total_flos double")
+    runs = spark.createDataFrame([(1, "google/vit-base-patch16-224", "GPU", 1.0), (2, "g/unknown", "COLAB_GPU", 2.0)],
+                                 "run_id bigint, model string, env string, total_flos double")
     d = "double"
     entries = spark.createDataFrame([
         (1, 1.0, 0, None, None, None, 0.5, 0.5, 0.1, 3.0),
@@ -182,4 +181,4 @@ def test_training_report_default_order_is_step_then_position(spark):
     rep = {r["run_id"]: r for r in reports.training_report(runs, entries, dims.catalog(spark)).collect()}
     assert rep[1]["eval_accuracy"] == 0.8 and rep[1]["model"] == "google/vit-base-patch16-224"
     assert rep[1]["params"] == "86.568M" and not rep[1]["missing_model"]
-    assert rep[2]["missing_model"] and rep[2]["model"] is None and rep[2]["train_runtime"] == 50.0
+    assert rep[2]["missing_model"] and rep[2]["params"] is None and rep[2]["train_runtime"] == 50.0
