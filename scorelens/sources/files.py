@@ -16,6 +16,17 @@ def read_json_nested(spark: SparkSession, path: str, schema: StructType) -> Data
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def read_named_json_documents(spark: SparkSession, root: str, file_name: str, schema: StructType,
+                              path_col: str = "path") -> DataFrame:
+    """Every ``file_name`` under ``root`` (any depth) as whole-file JSON documents,
+    with each row's file path. A recursive listing with a file-name filter, not
+    a glob: folder names such as ``<model>:<env>`` are valid here, while a path
+    glob rejects a ``:`` inside a path component."""
+    return (spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
+            .option("pathGlobFilter", file_name).json(root)
+            .withColumn(path_col, F.col("_metadata.file_path")))
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """JSON lines; pass a schema in production (inference scans the data twice)."""
     reader = spark.read.schema(schema) if schema is not None else spark.read

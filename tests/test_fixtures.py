@@ -182,3 +182,32 @@ def test_training_report_default_order_is_step_then_position(spark):
     assert rep[1]["eval_accuracy"] == 0.8 and rep[1]["model"] == "google/vit-base-patch16-224"
     assert rep[1]["params"] == "86.568M" and not rep[1]["missing_model"]
     assert rep[2]["missing_model"] and rep[2]["params"] is None and rep[2]["train_runtime"] == 50.0
+
+
+def test_fx3_trainer_state_files_end_to_end(spark):
+    from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
+    from scorelens.sources import dims
+    base = scratch_path(spark, "fx3-files")
+    for name, flos in {"google/vit-base-patch16-224:COLAB_GPU": 1.0, "google/vit-base-patch16-224": 2.0}.items():
+        group, model = name.split("/")
+        d = os.path.join(base, "results", group, model, "run1")
+        os.makedirs(d)
+        with open(os.path.join(d, "trainer_state.json"), "w") as fh:
+            json.dump({"total_flos": flos, "train_batch_size": 32, "global_step": 97, "log_history": [
+                {"loss": 1.0, "step": 1},
+                {"step": 2, "eval_accuracy": 0.5, "eval_f1": 0.5, "eval_loss": 0.3, "eval_runtime": 5.0},
+                {"step": 2, "eval_accuracy": 0.75, "eval_f1": 0.7, "eval_loss": 0.2, "eval_runtime": 5.0},
+                {"step": 3, "train_runtime": 100.0, "train_samples_per_second": 1.0, "train_steps_per_second": 0.5},
+            ]}, fh, indent=2)
+    log = StructType([StructField(n, FloatType()) for n in (
+        "loss", "step", "eval_loss", "eval_accuracy", "eval_f1", "eval_runtime", "train_runtime",
+        "train_samples_per_second", "train_steps_per_second")])
+    schema = StructType([StructField("total_flos", FloatType()), StructField("train_batch_size", IntegerType()),
+                         StructField("global_step", IntegerType()), StructField("log_history", ArrayType(log))])
+    states = files.read_named_json_documents(spark, f"{base}/results", "trainer_state.json", schema)
+    runs = reports.trainer_runs_from_paths(states)
+    entries = explode_with_position(states.withColumnRenamed("path", "run_id"), "log_history",
+                                    ["run_id"]).select("run_id", "pos", "log.*")
+    rep = reports.training_report(runs, entries, dims.catalog(spark)).collect()
+    assert sorted(r["env"] for r in rep) == ["COLAB_GPU", "GPU"]           # 2 rows, not 4 (T13)
+    assert all(r["eval_accuracy"] == 0.75 and r["params"] == "86.568M" for r in rep)  # last position wins (T14)
