@@ -63,12 +63,16 @@ def with_path_column(df: DataFrame, name: str, pattern: str, group: int = 1) ->
 
 
 def read_with_path_columns(spark: SparkSession, path: str, fmt: str, columns: dict[str, str],
-                           schema: StructType | None = None) -> DataFrame:
+                           schema: StructType | None = None, file_name: str | None = None) -> DataFrame:
     """Read every file under ``path`` (recursively) and parse ``columns`` from the path.
 
-    ``columns`` maps a column name to a regex whose first group is the value.
+    ``columns`` maps a column name to a regex whose first group is the value;
+    ``file_name`` (a glob on the file name only) skips other files in the tree,
+    e.g. logs beside the data.
     """
     reader = spark.read.format(fmt).option("recursiveFileLookup", True)
+    if file_name:
+        reader = reader.option("pathGlobFilter", file_name)
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.load(path)

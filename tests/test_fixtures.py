@@ -211,3 +211,21 @@ def test_fx3_trainer_state_files_end_to_end(spark):
     rep = reports.training_report(runs, entries, dims.catalog(spark)).collect()
     assert sorted(r["env"] for r in rep) == ["COLAB_GPU", "GPU"]           # 2 rows, not 4 (T13)
     assert all(r["eval_accuracy"] == 0.75 and r["params"] == "86.568M" for r in rep)  # last position wins (T14)
+
+
+def test_fx2_tracker_files_with_logs_beside_them(spark):
+    base = scratch_path(spark, "fx2-files")
+    for run, rows_ in {"ConvNext_cpu": FX2[:2], "ViT_cuda": FX2[2:]}.items():
+        os.makedirs(f"{base}/{run}")
+        with open(f"{base}/{run}/tracker.json", "w") as fh:
+            for r in rows_:
+                fh.write(json.dumps(dict(zip(["batch_id", "batch_size", "triggered", "start", "end", "accuracy", "env"],
+                                             r))) + "\n")
+        with open(f"{base}/{run}/trigger.log", "w") as fh:
+            fh.write("Pushed 1 data\nnot json at all\n")
+    trackers = files.read_with_path_columns(spark, base, "json", {"run": r"/([^/]+)/[^/]*$"},
+                                            file_name="tracker.json")
+    assert trackers.count() == 4
+    rep = {(r["model"], r["env"]): r for r in reports.stream_report(reports.runs_from_path(trackers, "run")).collect()}
+    assert rep[("ConvNext", "MAC_CPU")]["batches"] == 1 and rep[("ConvNext", "MAC_CPU")]["mean_latency"] == 2.5
+    assert rep[("ViT", "LINUX_GPU")]["batches"] == 2 and rep[("ViT", "LINUX_GPU")]["zero_spans"] == 1
