@@ -229,3 +229,17 @@ def test_fx2_tracker_files_with_logs_beside_them(spark):
     rep = {(r["model"], r["env"]): r for r in reports.stream_report(reports.runs_from_path(trackers, "run")).collect()}
     assert rep[("ConvNext", "MAC_CPU")]["batches"] == 1 and rep[("ConvNext", "MAC_CPU")]["mean_latency"] == 2.5
     assert rep[("ViT", "LINUX_GPU")]["batches"] == 2 and rep[("ViT", "LINUX_GPU")]["zero_spans"] == 1
+
+
+def test_fx4_training_chart_from_text_csv(spark):
+    path = scratch_path(spark, "fx4")
+    os.makedirs(path)
+    with open(f"{path}/training_results.csv", "w") as fh:
+        fh.write(",model,env,total_flos,train_runtime,train_samples_per_second,train_steps_per_second\n")
+        fh.write("0,google/vit-base-patch16-224,GPU,2.0,9.5,20.0,0.2\n")
+        fh.write("1,facebook/deit-tiny-patch16-224,COLAB_GPU,4.0,10.0,40.0,0.4\n")
+        fh.write("2,some/other-model,GPU,8.0,99.0,80.0,0.8\n")   # not charted: excluded before the maxima
+    chart = reports.training_chart(files.read_csv_text(spark, path))
+    got = {(r["env"], r["category"], r["model"]): r["mean"] for r in chart.collect()}
+    assert got[("MAC_GPU", "runtime", "ViT")] == 0.95 and got[("LINUX_GPU", "runtime", "DeiT")] == 1.0
+    assert got[("MAC_GPU", "flos", "ViT")] == 0.5 and len(got) == 8
