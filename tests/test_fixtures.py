@@ -243,3 +243,26 @@ def test_fx4_training_chart_from_text_csv(spark):
     got = {(r["env"], r["category"], r["model"]): r["mean"] for r in chart.collect()}
     assert got[("MAC_GPU", "runtime", "ViT")] == 0.95 and got[("LINUX_GPU", "runtime", "DeiT")] == 1.0
     assert got[("MAC_GPU", "flos", "ViT")] == 0.5 and len(got) == 8
+
+
+def test_fx5_benchmark_csv_charts_and_consistency(spark):
+    from scorelens.plans.io_queries import INFERENCE_SCHEMA
+    path = scratch_path(spark, "fx5")
+    os.makedirs(path)
+    rows_ = [
+        ("aaraki/vit-base-patch16-224-in21k-finetuned-cifar10", 99.9, 200, 1, 0.86, 98.81, "cpu"),
+        ("aaraki/vit-base-patch16-224-in21k-finetuned-cifar10", 14.4, 200, 1, 0.49, 98.81, "mac_cpu"),
+        ("tzhao3/DeiT-CIFAR10", 20.8, 200, 1, 0.07, 97.5, "cuda"),
+        ("tzhao3/DeiT-CIFAR10", 20.1, 200, 1, 0.08, 97.6, "tpu"),
+        ("facebook/deit-tiny-patch16-224", 23.7, 200, 1, 0.10, 74.861, "cpu"),
+    ]
+    with open(f"{path}/bench.csv", "w") as fh:
+        fh.write("model,duration,total_images,batch_size,average_batch_duration,balanced_accuracy,env\n")
+        for r in rows_:
+            fh.write(",".join(str(x) for x in r) + "\n")
+    bench = files.read_csv_typed(spark, path, INFERENCE_SCHEMA)
+    chart = {(r["model"], r["env"]) for r in reports.batch_size_chart(bench).collect()}
+    assert chart == {("ViT", "LINUX_CPU"), ("ViT", "MAC_CPU"), ("DeiT", "LINUX_CUDA"), ("DeiT", "tpu")}
+    verdict = {r["model"]: r["consistent"] for r in reports.consistency_check(bench).collect()}
+    assert verdict["aaraki/vit-base-patch16-224-in21k-finetuned-cifar10"] is True
+    assert verdict["tzhao3/DeiT-CIFAR10"] is False
