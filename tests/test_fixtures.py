@@ -266,3 +266,19 @@ def test_fx5_benchmark_csv_charts_and_consistency(spark):
     verdict = {r["model"]: r["consistent"] for r in reports.consistency_check(bench).collect()}
     assert verdict["aaraki/vit-base-patch16-224-in21k-finetuned-cifar10"] is True
     assert verdict["tzhao3/DeiT-CIFAR10"] is False
+
+
+def test_fx6_text_results_with_index_column(spark):
+    path = scratch_path(spark, "fx6")
+    os.makedirs(path)
+    with open(f"{path}/text.csv", "w") as fh:
+        fh.write(",model,duration,total_texts,batch_size,average_batch_duration,accuracy,env\n")
+        fh.write("0,huawei-noah/TinyBERT_General_4L_312D,2.34515,200,1,0.01173,0.77,mac_cpu\n")
+        fh.write("1,huawei-noah/TinyBERT_General_4L_312D,0.48142,200,2,0.00481,0.465,mac_cpu\n")
+    schema = ("_index int, model string, duration double, total_texts int, batch_size int, "
+              "average_batch_duration double, accuracy double, env string")
+    df = files.read_csv_typed(spark, path, schema).drop("_index")
+    assert df.columns[0] == "model" and df.count() == 2
+    # wall time per batch = duration / number of batches (200 texts / batch size)
+    got = sorted(round(r["duration"] / (r["total_texts"] / r["batch_size"]), 5) for r in df.collect())
+    assert got == [0.00481, 0.01173]
