@@ -87,7 +87,8 @@ SELECT batch_id, batch_size, triggered, start, "end", accuracy FROM tracker""")
 def sink_json_lines(spark, d):
     path = scratch_path(spark, "tracker-sink")
     t = testdata.tracker(spark, d).select("batch_id", "batch_size", "triggered", "start", "end", "accuracy")
-    sinks.write_json_lines(t.limit(0), path)  # first write, then replaced: overwrite semantics
+    # Written twice: overwrite replaces the first copy, so the read-back equals the table.
+    sinks.write_json_lines(t, path)
     sinks.write_json_lines(t, path)
     schema = "batch_id BIGINT, batch_size BIGINT, triggered DOUBLE, start DOUBLE, `end` DOUBLE, accuracy DOUBLE"
     return files.read_json_lines(spark, path, schema=schema)
