@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelens.llm import exact, quality, secret_scan, simhash
+from scorelens.llm import exact, line_dedup, packing, quality, secret_scan, simhash
 from scorelens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,20 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept", "path_length")
 
 
+@query("op5_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_line_dedup")
+def fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
+    left = line_dedup.dedup_lines(documents)
+    return left.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"),
+                       F.array_join(F.transform("removed_lines", lambda n: n.cast("string")), ",").alias("removed_lines"),
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 EXACT_SQL = """
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS raw,
                   sha256(translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS text_sha256

@@ -25,7 +25,7 @@ from scorelens.llm.pigeonhole import buckets
 
 SEED = 42
 _BYTE_OF = np.arange(8, dtype=np.uint16) * 256
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -33,7 +33,7 @@ def majority(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     seen = np.bincount((hashes.astype("<u8").view(np.uint8).reshape(-1, 8) + _BYTE_OF).ravel(), minlength=2048)
-    ones = np.einsum("bv,vk->bk", seen.reshape(8, 256), _BITS).ravel()
+    ones = (seen.reshape(8, 256) @ _BITS).ravel()  # whole numbers, exact in doubles
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
