@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelens.llm import exact, line_dedup, packing, quality, secret_scan, simhash
-from scorelens.llm.common import read
+from scorelens.llm import exact, langid, license_scan, line_dedup, lm, packing, quality, secret_scan, sentence_pieces, simhash
+from scorelens.llm.common import crc32_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,15 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_scan.digest(F.col("findings")).alias("spans"), *map(count, secret_scan.KINDS[3:]))
 
 
+@query("op2_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc32_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(documents, ~held_out)
+    return (langid.identify(documents, model).withColumnRenamed("id", "doc_id")
+            .select("doc_id", held_out.alias("held_out"), "lang_pred", "score"))
+
+
 @query("op3_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, distance=3)
@@ -59,6 +68,28 @@ def fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query("op6_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc32_mod(F.col("doc_id"), 7) == 2, F.lit(False))
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    trained = lm.train(documents, ~held_out & F.col("doc_id").isNotNull())
+    return (lm.score(documents, trained).withColumnRenamed("id", "doc_id")
+            .select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(trained.total).cast("long").alias("train_tokens"),
+                    "base_score", "score", "bits_per_byte"))
+
+
+@query("op7_license_scans")
+def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.array_join("families", ",").alias("families"),
+                        "n_confirmed", "n_unknown", "best_probability")
+
+
+@query("op8_sentencepiece")
+def sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_digest(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 EXACT_SQL = """
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS raw,
                   sha256(translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS text_sha256
