@@ -16,10 +16,12 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scorelens.llm.common import stored
 
 BITS, COARSE, FINE = 64, 6, 16
+CHOICE = 0x1E3779B97F4A7C15 >> 12  # spreads the numbers of the choices
 
 
 def masks(blocks: int, distance: int) -> list[int]:
@@ -30,36 +32,34 @@ def masks(blocks: int, distance: int) -> list[int]:
     return [k - (1 << BITS) if k >> (BITS - 1) else k for k in keys]
 
 
-def _keyed(nodes: DataFrame, blocks: int, distance: int) -> DataFrame:
-    array = F.array(*[F.lit(m).cast("long") for m in masks(blocks, distance)])
-    return (nodes.select("node", "fp", F.posexplode(array).alias("choice", "mask"))
-            .select("node", "fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("bits")))
-
-
 def _shared(nodes: DataFrame, blocks: int, distance: int) -> DataFrame:
-    """Members of buckets with at least two, and the buckets' sizes. A hot bucket is one row in ``sizes``;
-    its members are dealt out by the skewed-join split of adaptive execution."""
-    keyed = _keyed(nodes, blocks, distance)
-    sizes = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    return stored(keyed.join(sizes, ["choice", "bits"]), "buckets")
+    """(key, node, n): members of the keys that at least two nodes share, and how many do.
+
+    A key is the chosen bits plus a number for the choice; should two choices meet in one key, that only adds
+    candidates. One shuffle of 16 bytes a key; a large bucket is counted in a window that spills.
+    """
+    keys = F.array(*[(F.col("fp").bitwiseAND(F.lit(m).cast("long"))).bitwiseXOR(F.lit(k * CHOICE).cast("long"))
+                     for k, m in enumerate(masks(blocks, distance))])
+    keyed = nodes.select("node", F.explode(keys).alias("key"))
+    return stored(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "buckets")
 
 
 def buckets(nodes: DataFrame, distance: int = 3, limit: int = 2048) -> DataFrame:
-    """``members`` array<struct<node, fp>> of each bucket; equal buckets under several keys come once.
+    """``nodes`` array<long> of each bucket; equal buckets under several keys come once.
 
-    ``nodes``: (node, fp long), one row each. Nodes may share a fingerprint.
+    ``nodes``: (node long, fp long), one row a node. Nodes may share a fingerprint.
     """
-    gather = F.array_sort(F.collect_list(F.struct("node", "fp"))).alias("members")
+    gather = F.array_sort(F.collect_list("node")).alias("nodes")
     coarse = _shared(nodes, COARSE, distance)
-    out = coarse.where(F.col("n") <= limit).groupBy("choice", "bits").agg(gather).select("members")
-    large = coarse.where(F.col("n") > limit).select("node", "fp").distinct()
+    out = coarse.where(F.col("n") <= limit).groupBy("key").agg(gather).select("nodes")
+    large = coarse.where(F.col("n") > limit).select("node").distinct()
     if not large.isEmpty():
-        fine = _shared(stored(large, "large"), FINE, distance)
-        out = out.unionByName(fine.where(F.col("n") <= limit).groupBy("choice", "bits").agg(gather).select("members"))
+        fine = _shared(stored(nodes.join(large, "node", "left_semi"), "large"), FINE, distance)
+        out = out.unionByName(fine.where(F.col("n") <= limit).groupBy("key").agg(gather).select("nodes"))
         chunks = F.ceil(F.col("n") / limit).cast("int")
         dealt = (fine.where(F.col("n") > limit)
-                 .withColumn("own", F.pmod(F.xxhash64("node", "fp"), chunks).cast("int"))
+                 .withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int"))
                  .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1))))
-        pairs = dealt.groupBy("choice", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        out = out.unionByName(pairs.agg(gather).select("members"))
-    return out.where(F.size("members") > 1).distinct()
+        pairs = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        out = out.unionByName(pairs.agg(gather).select("nodes"))
+    return out.where(F.size("nodes") > 1).distinct()

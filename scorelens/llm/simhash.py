@@ -56,9 +56,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
-def spanning_links(members: list[dict], distance: int) -> list[tuple[int, int]]:
+def spanning_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """A spanning forest of the links within one bucket, found by searching from member to member."""
-    fps = np.array([m["fp"] for m in members], dtype=np.int64)
     left, out = np.ones(len(fps), dtype=bool), []
     for start in range(len(fps)):
         if not left[start]:
@@ -69,20 +68,17 @@ def spanning_links(members: list[dict], distance: int) -> list[tuple[int, int]]:
             near = np.flatnonzero(left & (np.bitwise_count((fps ^ fps[at]).view(np.uint64)) <= distance))
             left[near] = False
             reached.extend(near.tolist())
-            out.extend((members[at]["node"], members[k]["node"]) for k in near.tolist())
+            out.extend((int(fps[at]), int(fps[k])) for k in near)
     return out
 
 
 def links(fps: DataFrame, distance: int = 3, limit: int = 2048) -> DataFrame:
     """Edges (a, b) over distinct fingerprints: same components as all pairs within ``distance`` bits."""
-    def make():
-        def apply(c):
-            found = [pair for members in c["members"] for pair in spanning_links(members, distance)]
-            return {"a": [a for a, _ in found], "b": [b for _, b in found]}
-        return apply
-
-    nodes = fps.select(F.col("fp").alias("node"), "fp")
-    return map_batches(buckets(nodes, distance, limit), make, "a long, b long")
+    def apply(c):
+        found = [pair for nodes in c["nodes"] for pair in spanning_links(np.array(nodes, dtype=np.int64), distance)]
+        return {"a": [a for a, _ in found], "b": [b for _, b in found]}
+
+    return map_batches(buckets(fps.select(F.col("fp").alias("node"), "fp"), distance, limit), lambda: apply, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
