@@ -21,3 +21,11 @@ def md5_int(key, salt: str = "") -> Column:
 def md5_bucket(key, buckets: int = 100, salt: str = "") -> Column:
     """Bucket in [0, buckets) of md5(salt || key)."""
     return md5_int(key, salt) % F.lit(buckets)
+
+
+def md5_long(key, salt: str = "") -> Column:
+    """First 60 bits of md5(salt || key) as a non-negative bigint."""
+    text = _c(key).cast("string")
+    if salt:
+        text = F.concat(F.lit(salt), text)
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")

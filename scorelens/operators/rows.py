@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelens.functions.hashing import md5_bucket, md5_int
+from scorelens.functions.hashing import md5_bucket, md5_int, md5_long
 from scorelens.session import checkpoint_root
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id in the upper 31 bits
@@ -59,7 +59,7 @@ def with_running_sum(df: DataFrame, order: list, value: str, name: str) -> DataF
 
 def constant_batch(rn: Column, size: int) -> Column:
     """Batch number (from 0) for fixed-size batches over a 0-based position."""
-    return F.floor(rn / F.lit(size)).cast("int")
+    return F.floor(rn / F.lit(size)).cast("bigint")
 
 
 def increasing_batch(rn: Column, step: int) -> Column:
@@ -69,7 +69,7 @@ def increasing_batch(rn: Column, step: int) -> Column:
     k = ceil((sqrt(8 r / step + 1) - 1) / 2).
     """
     r = (rn + F.lit(1)).cast("double")
-    return F.ceil((F.sqrt(F.lit(8.0) * r / F.lit(float(step)) + F.lit(1.0)) - F.lit(1.0)) / F.lit(2.0)).cast("int")
+    return F.ceil((F.sqrt(F.lit(8.0) * r / F.lit(float(step)) + F.lit(1.0)) - F.lit(1.0)) / F.lit(2.0)).cast("bigint")
 
 
 def assign_constant(df: DataFrame, order: list, size: int, name: str = "batch_no") -> DataFrame:
@@ -83,7 +83,7 @@ def assign_increasing(df: DataFrame, order: list, step: int, name: str = "batch_
 def random_batch_sizes(spark, n_batches: int, lo: int, hi: int, salt: str = "batch") -> DataFrame:
     """Batch table (batch_id from 1, size in [lo, hi]) from a hash of the batch number."""
     return spark.range(1, n_batches + 1).select(
-        F.col("id").cast("int").alias("batch_id"),
+        F.col("id").alias("batch_id"),
         (F.lit(lo) + md5_bucket(F.col("id"), hi - lo + 1, salt)).cast("int").alias("batch_size"),
     )
 
@@ -124,7 +124,7 @@ def sample_with_replacement(df: DataFrame, order: list, draws: int | None = None
                             salt: str = "draw") -> DataFrame:
     """``draws`` picks over all rows with replacement (default: as many as rows).
 
-    Draw d takes row ``md5(salt || d) mod n``; the draw table is joined to the
+    Draw d takes row ``md5(salt || d) mod n`` (60 bits of it); the draw table is joined to the
     numbered rows on position (an equi-join; a row may be drawn many times).
     """
     spark = df.sparkSession
@@ -132,6 +132,6 @@ def sample_with_replacement(df: DataFrame, order: list, draws: int | None = None
     n = numbered.count()
     k = n if draws is None else draws
     picks = spark.range(0, k).select(
-        F.col("id").alias("draw"), (md5_int(F.col("id"), salt) % F.lit(max(n, 1))).alias("rn")
+        F.col("id").alias("draw"), (md5_long(F.col("id"), salt) % F.lit(max(n, 1))).alias("rn")
     )
     return picks.join(numbered, "rn").drop("rn")

@@ -57,7 +57,7 @@ def shuffle_hash_order(spark, d):
 
 
 @query("assign_batches_constant", f"""
-SELECT vec_id, CAST((row_number() OVER (ORDER BY vec_id) - 1) // {CONSTANT_BATCH} AS INTEGER) AS batch_no
+SELECT vec_id, CAST((row_number() OVER (ORDER BY vec_id) - 1) // {CONSTANT_BATCH} AS BIGINT) AS batch_no
 FROM embeddings""")
 def assign_batches_constant(spark, d):
     e = table(spark, d, "embeddings", "vec_id")
@@ -65,7 +65,7 @@ def assign_batches_constant(spark, d):
 
 
 @query("assign_batches_increasing", f"""
-SELECT event_id, CAST(ceil((sqrt(8.0::DOUBLE * rn / {GROWTH_STEP}.0::DOUBLE + 1.0) - 1.0) / 2.0) AS INTEGER) AS batch_id
+SELECT event_id, CAST(ceil((sqrt(8.0::DOUBLE * rn / {GROWTH_STEP}.0::DOUBLE + 1.0) - 1.0) / 2.0) AS BIGINT) AS batch_id
 FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn FROM events)""")
 def assign_batches_increasing(spark, d):
     e = table(spark, d, "events", "event_id")
@@ -77,7 +77,7 @@ WITH r AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS rn FROM
 b AS (SELECT range AS batch_id, {RANDOM_LO} + {bucket_sql('range', RANDOM_HI - RANDOM_LO + 1, 'batch')} AS n
       FROM range(1, CAST(ceil((SELECT count(*) FROM events) / {RANDOM_LO}.0) AS BIGINT) + 1)),
 c AS (SELECT batch_id, sum(n) OVER (ORDER BY batch_id) - n AS lo, n FROM b)
-SELECT event_id, CAST(batch_id AS INTEGER) AS batch_id FROM r JOIN c ON rn >= lo AND rn < lo + n""")
+SELECT event_id, CAST(batch_id AS BIGINT) AS batch_id FROM r JOIN c ON rn >= lo AND rn < lo + n""")
 def assign_batches_random(spark, d):
     e = table(spark, d, "events", "event_id")
     return rows.assign_random(e, [F.col("event_id")], RANDOM_LO, RANDOM_HI).select("event_id", "batch_id")
@@ -85,7 +85,7 @@ def assign_batches_random(spark, d):
 
 @query("sample_with_replacement", """
 WITH r AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS rn FROM embeddings),
-d AS (SELECT range AS draw, ('0x' || substr(md5('draw' || CAST(range AS VARCHAR)), 1, 8))::BIGINT
+d AS (SELECT range AS draw, ('0x' || substr(md5('draw' || CAST(range AS VARCHAR)), 1, 15))::BIGINT
              % (SELECT count(*) FROM embeddings) AS rn
       FROM range(0, (SELECT count(*) FROM embeddings)))
 SELECT draw, vec_id, label FROM d JOIN r USING (rn)""")
@@ -135,7 +135,7 @@ def union_splits(spark, d):
 
 @query("collate_batches", f"""
 WITH r AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS rn FROM embeddings)
-SELECT CAST(rn // {CONSTANT_BATCH} AS INTEGER) AS batch_no, list(vec_id ORDER BY rn) AS ids,
+SELECT CAST(rn // {CONSTANT_BATCH} AS BIGINT) AS batch_no, list(vec_id ORDER BY rn) AS ids,
        list(label ORDER BY rn) AS labels FROM r GROUP BY rn // {CONSTANT_BATCH}""")
 def collate_batches(spark, d):
     e = table(spark, d, "embeddings", "vec_id", "label")
@@ -147,7 +147,7 @@ TEXT_BATCH = 16
 
 
 @query("text_tokens_pad_longest", TOKENS_SQL + f"""
-, b AS (SELECT doc_id, w, CAST((row_number() OVER (ORDER BY doc_id) - 1) // {TEXT_BATCH} AS INTEGER) AS batch_no FROM w),
+, b AS (SELECT doc_id, w, CAST((row_number() OVER (ORDER BY doc_id) - 1) // {TEXT_BATCH} AS BIGINT) AS batch_no FROM w),
 m AS (SELECT *, max(least(len(w), {MAX_TOKENS})) OVER (PARTITION BY batch_no) AS longest FROM b)
 SELECT doc_id, batch_no, CAST(longest AS INTEGER) AS longest,
        w[1:{MAX_TOKENS}] || list_transform(range(greatest(0, longest - least(len(w), {MAX_TOKENS}))), lambda i: '[PAD]')

@@ -10,17 +10,16 @@ from scorelens.plans.registry import query
 from scorelens.plans.scoring_queries import CENTROID_SQL
 from scorelens.session import scratch_path
 from scorelens.streaming import IMAGE_SCHEMA, produce_micro_batches, run_scoring_stream, tracker_view
-from scorelens.streaming.microbatch import growth_step_for
-from scorelens.streaming.scoring import score_micro_batch, stream_to_table
+from scorelens.streaming.microbatch import producer_of
+from scorelens.streaming.scoring import consumer_of, score_micro_batch, stream_to_table
 
-# The reference's replayed run pushes 16 micro-batches of growing size.
-PUSHES = 16
+# Micro-batch k of the replayed run holds k * 5 rows, whatever the table's size.
+STEP = 5
+FILES_PER_TRIGGER = 4
 
 BATCHES_SQL = f"""
-, r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn,
-               (SELECT greatest(1, CAST(ceil(2.0 * count(*) / {PUSHES * (PUSHES + 1)}.0) AS BIGINT)) FROM embeddings)
-               AS step FROM embeddings),
-b AS (SELECT vec_id, CAST(ceil((sqrt(8.0::DOUBLE * rn / CAST(step AS DOUBLE) + 1.0) - 1.0) / 2.0) AS INTEGER)
+, r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn, {STEP} AS step FROM embeddings),
+b AS (SELECT vec_id, CAST(ceil((sqrt(8.0::DOUBLE * rn / CAST(step AS DOUBLE) + 1.0) - 1.0) / 2.0) AS BIGINT)
              AS batch_id FROM r)
 """
 
@@ -34,8 +33,7 @@ def _produce(spark, d):
     base = scratch_path(spark, "stream")
     data = testdata.labelled_arrays(spark, d)
     model = train_centroids(data)
-    step = growth_step_for(data.count(), PUSHES)
-    produce_micro_batches(data, f"{base}/input", f"{base}/tracker", [F.col("id")], "increasing", step)
+    produce_micro_batches(data, f"{base}/input", f"{base}/tracker", [F.col("id")], "increasing", STEP)
     return base, model
 
 
@@ -51,7 +49,7 @@ def sink_micro_batch_files(spark, d):
 @query("stream_score_batches", STREAM_SQL)
 def stream_score_batches(spark, d):
     base, model = _produce(spark, d)
-    run_scoring_stream(spark, f"{base}/input", model, f"{base}/tracker", f"{base}/checkpoint")
+    run_scoring_stream(spark, f"{base}/input", model, f"{base}/tracker", f"{base}/checkpoint", FILES_PER_TRIGGER)
     return tracker_view(spark, f"{base}/tracker").select("batch_id", "batch_size", "scored", "accuracy")
 
 
@@ -61,11 +59,12 @@ def stream_replay_idempotent(spark, d):
     replay one epoch by hand (overwrites its own results): the tracker is unchanged."""
     base, model = _produce(spark, d)
     for _ in range(2):
-        run_scoring_stream(spark, f"{base}/input", model, f"{base}/tracker", f"{base}/checkpoint")
-    epoch0 = spark.read.parquet(f"{base}/tracker/results").filter(F.col("epoch") == 0).select("batch_id").first()
-    if epoch0 is not None:
-        replay = spark.read.schema(IMAGE_SCHEMA).json(f"{base}/input").filter(F.col("idx") == epoch0["batch_id"])
-        score_micro_batch(replay, 0, model, f"{base}/tracker")
+        run_scoring_stream(spark, f"{base}/input", model, f"{base}/tracker", f"{base}/checkpoint", FILES_PER_TRIGGER)
+    epoch0 = spark.read.parquet(f"{base}/tracker/results").filter(F.col("epoch") == 0).select("batch_id").collect()
+    if epoch0:  # at most FILES_PER_TRIGGER micro-batches
+        replay = spark.read.schema(IMAGE_SCHEMA).json(f"{base}/input").filter(F.col("idx").isin([r[0] for r in epoch0]))
+        score_micro_batch(replay, 0, model, f"{base}/tracker", producer=producer_of(f"{base}/input"),
+                          consumer=consumer_of(f"{base}/checkpoint"))
     return tracker_view(spark, f"{base}/tracker").select("batch_id", "batch_size", "scored", "accuracy")
 
 
@@ -75,6 +74,26 @@ def src_json_array_stream(spark, d):
     """Micro-batch JSON-array files read as a stream, one file per trigger, rows
     appended per epoch (overwrite by epoch id, so a replay cannot duplicate)."""
     base, _ = _produce(spark, d)
-    stream_to_table(spark, f"{base}/input", f"{base}/rows", f"{base}/checkpoint")
+    stream_to_table(spark, f"{base}/input", f"{base}/rows", f"{base}/checkpoint", FILES_PER_TRIGGER)
     got = spark.read.parquet(f"{base}/rows")
     return got.select("id", "idx", "label", F.size("data").alias("dims"))
+
+
+@query("stream_two_producers", CENTROID_SQL + f"""
+, h AS (SELECT vec_id, vec_id % 2 AS half, row_number() OVER (PARTITION BY vec_id % 2 ORDER BY vec_id) AS rn FROM embeddings),
+b AS (SELECT vec_id, half, CAST(ceil((sqrt(8.0::DOUBLE * rn / {STEP}.0::DOUBLE + 1.0) - 1.0) / 2.0) AS BIGINT) AS batch_id FROM h)
+SELECT 'half' || half AS producer, 'centroid' AS model, 'env' || half AS env, b.batch_id, count(*) AS batch_size, count(*) AS scored,
+       round(100.0::DOUBLE * sum(CAST(label = pred AS INTEGER)) / count(*), 3) AS accuracy
+FROM pred JOIN b USING (vec_id) GROUP BY ALL""")
+def stream_two_producers(spark, d):
+    """Two producers and two consumers on one tracker: each half of the vectors, both numbering their batches from 1."""
+    base = scratch_path(spark, "stream")
+    data = testdata.labelled_arrays(spark, d)
+    model = train_centroids(data)
+    for half in (0, 1):
+        own = data.filter(F.pmod("id", F.lit(2)) == half)
+        produce_micro_batches(own, f"{base}/input{half}", f"{base}/tracker", [F.col("id")], "increasing", STEP,
+                              producer=f"half{half}", model="centroid", env=f"env{half}")
+        run_scoring_stream(spark, f"{base}/input{half}", model, f"{base}/tracker", f"{base}/checkpoint{half}",
+                           FILES_PER_TRIGGER, producer=f"half{half}")
+    return tracker_view(spark, f"{base}/tracker").select("producer", "model", "env", "batch_id", "batch_size", "scored", "accuracy")

@@ -77,6 +77,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if sc is None or not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="scorelens-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", configured)
@@ -90,7 +92,4 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused folder under the checkpoint root."""
-    root = checkpoint_root(spark)
-    if root.startswith("file:"):
-        root = root[len("file:"):]
-    return os.path.join(root, "scorelens", f"{name}-{uuid.uuid4().hex[:12]}")
+    return os.path.join(checkpoint_root(spark), "scorelens", f"{name}-{uuid.uuid4().hex[:12]}")

@@ -40,4 +40,6 @@ def write_json_array_files(df: DataFrame, path: str, file_col: str, chunk_col: s
         arrays = df.groupBy(*keys).agg(F.transform(packed, lambda x: x["_r"]).alias("_a"))
     else:
         arrays = df.groupBy(*keys).agg(F.collect_list(record).alias("_a"))
-    arrays.select(file_col, F.to_json("_a").alias("value")).write.mode(mode).partitionBy(file_col).text(path)
+    # All chunks of a file go to one task, in order: one file per value at any size.
+    lines = arrays.repartition(file_col).sortWithinPartitions(*keys)
+    lines.select(file_col, F.to_json("_a").alias("value")).write.mode(mode).partitionBy(file_col).text(path)

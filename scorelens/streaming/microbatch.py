@@ -21,7 +21,7 @@ from scorelens.sources.sinks import write_json_array_files
 
 IMAGE_SCHEMA = StructType([
     StructField("id", LongType(), True),
-    StructField("idx", IntegerType(), True),
+    StructField("idx", LongType(), True),
     StructField("data", ArrayType(FloatType()), True),
     StructField("label", IntegerType(), True),
 ])
@@ -29,12 +29,6 @@ IMAGE_SCHEMA = StructType([
 CHUNK_ROWS = 10_000
 
 
-def growth_step_for(n_rows: int, pushes: int) -> int:
-    """Growth step so that ``pushes`` growing micro-batches (step, 2 step, ...)
-    cover ``n_rows``: the smallest step with step * pushes (pushes + 1) / 2 >= n."""
-    return max(1, -(-2 * n_rows // (pushes * (pushes + 1))))
-
-
 def schedule(df: DataFrame, order: list[Column], kind: str, size: int = 5, lo: int = 50,
              hi: int = 200) -> DataFrame:
     """Add ``batch_id`` (from 1) and ``rn`` by the producer's schedule."""
@@ -51,13 +45,16 @@ def schedule(df: DataFrame, order: list[Column], kind: str, size: int = 5, lo: i
 
 def produce_micro_batches(df: DataFrame, input_dir: str, tracker_dir: str, order: list[Column],
                           kind: str = "increasing", size: int = 5, chunk_rows: int = CHUNK_ROWS,
-                          producer: str | None = None) -> DataFrame:
+                          producer: str | None = None, model: str | None = None,
+                          env: str | None = None) -> DataFrame:
     """Write image rows (data, label) as micro-batch files; ``idx`` = micro-batch id.
 
-    Trigger rows go to ``tracker_dir/triggers/producer=<name>`` with overwrite:
+    Trigger rows go to ``tracker_dir/triggers/by=p_<name>`` with overwrite:
     producers never touch each other's rows, and re-running a producer after a
     failure replaces its own rows instead of duplicating them. The name defaults
-    to a hash of ``input_dir``. Micro-batch files refuse to overwrite.
+    to a hash of ``input_dir`` (as the consumer's does), so batches of different
+    producers stay apart although each numbers its own from 1. Rows carry
+    ``model`` and ``env``. Micro-batch files refuse to overwrite.
     """
     sched = schedule(df, order, kind, size)
     files = sched.select(
@@ -69,6 +66,13 @@ def produce_micro_batches(df: DataFrame, input_dir: str, tracker_dir: str, order
     write_json_array_files(files, input_dir, "batch_id", chunk_col="_chunk", order=["rn"], hidden=["rn"])
     triggers = sched.groupBy("batch_id").agg(F.count(F.lit(1)).alias("batch_size")).withColumn(
         "triggered", F.lit(time.time()))
-    name = producer or hashlib.md5(input_dir.encode()).hexdigest()[:16]
-    triggers.write.mode("overwrite").parquet(f"{tracker_dir}/triggers/producer={name}")
+    name = producer or producer_of(input_dir)
+    triggers = triggers.select("batch_id", "batch_size", "triggered", F.lit(name).alias("producer"),
+                               F.lit(model).cast("string").alias("model"), F.lit(env).cast("string").alias("env"))
+    triggers.write.mode("overwrite").parquet(f"{tracker_dir}/triggers/by=p_{name}")
     return triggers
+
+
+def producer_of(input_dir: str) -> str:
+    """The default producer name of an input folder."""
+    return hashlib.md5(input_dir.rstrip("/").encode()).hexdigest()[:16]

@@ -4,12 +4,14 @@
 * explicit checkpoint location (restart resumes, a rerun adds nothing);
 * batch identity ``coalesce(nullif(idx, 0), epoch id)``, grouped so one trigger
   may hold several micro-batches; empty triggers write nothing;
-* results are written to ``results/epoch=<id>`` with overwrite, so a replayed
-  epoch (at-least-once delivery) replaces its own rows instead of adding rows.
+* results are written to ``results/consumer=c_<id>/epoch=<id>`` with overwrite, so a
+  replayed epoch (at-least-once delivery) replaces its own rows instead of adding
+  rows, and consumers (one per checkpoint) never touch each other's.
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,15 +19,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scorelens.operators.centroid import model_literal, predict_centroid
-from scorelens.streaming.microbatch import IMAGE_SCHEMA
+from scorelens.streaming.microbatch import IMAGE_SCHEMA, producer_of
 
 
 def score_micro_batch(batch_df: DataFrame, epoch_id: int, model: DataFrame | None, tracker_dir: str,
-                      size_checked: bool = False, classes: Column | None = None) -> int:
+                      size_checked: bool = False, classes: Column | None = None,
+                      producer: str = "", consumer: str = "") -> int:
     """Score one micro-batch and record its per-batch results; returns rows written."""
     start = time.time()
     valid = batch_df.filter(F.col("data").isNotNull() & F.col("label").isNotNull())
-    ident = F.coalesce(F.nullif(F.col("idx"), F.lit(0)), F.lit(int(epoch_id)).cast("int"))
+    ident = F.coalesce(F.nullif(F.col("idx"), F.lit(0)), F.lit(int(epoch_id)).cast("bigint"))
     scored = predict_centroid(valid.withColumn("batch_id", ident), model, vec="data", model_name="centroid",
                               size_checked=size_checked, classes=classes)
     summary = scored.groupBy("batch_id").agg(
@@ -36,16 +39,25 @@ def score_micro_batch(batch_df: DataFrame, epoch_id: int, model: DataFrame | Non
     if not result:
         return 0
     spark = batch_df.sparkSession
-    rows = [(int(r["batch_id"]), int(epoch_id), int(r["n"]), int(r["hits"]), start, end) for r in result]
-    out = spark.createDataFrame(rows, "batch_id int, epoch long, n long, hits long, start double, `end` double")
-    out.write.mode("overwrite").parquet(f"{tracker_dir}/results/epoch={int(epoch_id)}")
+    rows = [(producer, int(r["batch_id"]), int(r["n"]), int(r["hits"]), start, end) for r in result]
+    out = spark.createDataFrame(rows, "producer string, batch_id long, n long, hits long, start double, `end` double")
+    out.write.mode("overwrite").parquet(f"{tracker_dir}/results/consumer=c_{consumer}/epoch={int(epoch_id)}")
     return len(rows)
 
 
+def consumer_of(checkpoint_dir: str) -> str:
+    return hashlib.md5(checkpoint_dir.rstrip("/").encode()).hexdigest()[:16]
+
+
 def run_scoring_stream(spark: SparkSession, input_dir: str, model: DataFrame, tracker_dir: str,
                        checkpoint_dir: str, max_files_per_trigger: int = 1,
-                       archive_dir: str | None = None, timeout_s: float = 600.0) -> StreamingQuery:
-    """Process every file present now (``availableNow``) and stop."""
+                       archive_dir: str | None = None, timeout_s: float | None = None,
+                       producer: str | None = None) -> StreamingQuery:
+    """Process every file present now (``availableNow``) and stop; ``timeout_s`` bounds the run if given.
+
+    Results are keyed by the producer of ``input_dir`` and by this consumer, known by its checkpoint.
+    """
+    producer, consumer = producer or producer_of(input_dir), consumer_of(checkpoint_dir)
     reader = spark.readStream.schema(IMAGE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
     if archive_dir:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
@@ -55,12 +67,12 @@ def run_scoring_stream(spark: SparkSession, input_dir: str, model: DataFrame, tr
     classes = model_literal(model)
 
     def process(batch_df: DataFrame, epoch_id: int) -> None:
-        score_micro_batch(batch_df, epoch_id, None, tracker_dir, classes=classes)
+        score_micro_batch(batch_df, epoch_id, None, tracker_dir, classes=classes, producer=producer, consumer=consumer)
 
     query = (stream.writeStream.foreachBatch(process)
              .option("checkpointLocation", checkpoint_dir)
              .trigger(availableNow=True).start())
-    query.awaitTermination(timeout_s)
+    query.awaitTermination(*([timeout_s] if timeout_s is not None else []))
     if query.isActive:
         query.stop()
         raise TimeoutError(f"scoring stream did not finish within {timeout_s}s")
@@ -70,7 +82,7 @@ def run_scoring_stream(spark: SparkSession, input_dir: str, model: DataFrame, tr
 
 
 def stream_to_table(spark: SparkSession, input_dir: str, out_dir: str, checkpoint_dir: str,
-                    max_files_per_trigger: int = 1, timeout_s: float = 600.0) -> StreamingQuery:
+                    max_files_per_trigger: int = 1, timeout_s: float | None = None) -> StreamingQuery:
     """Land micro-batch files as a table: each epoch writes ``epoch=<id>`` with
     overwrite, so a replayed epoch replaces its rows (exactly-once result)."""
     stream = spark.readStream.schema(IMAGE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).json(input_dir)
@@ -80,7 +92,7 @@ def stream_to_table(spark: SparkSession, input_dir: str, out_dir: str, checkpoin
 
     query = (stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint_dir)
              .trigger(availableNow=True).start())
-    query.awaitTermination(timeout_s)
+    query.awaitTermination(*([timeout_s] if timeout_s is not None else []))
     if query.isActive:
         query.stop()
         raise TimeoutError(f"stream did not finish within {timeout_s}s")

@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_RESULTS = "producer string, batch_id long, n long, hits long, start double, `end` double"
+
 
 def tracker_view(spark: SparkSession, tracker_dir: str) -> DataFrame:
-    """One row per micro-batch: producer trigger joined with consumer results.
+    """One row per producer and micro-batch: its trigger joined with the consumers' results.
 
-    Results are summed per batch over epochs (a batch split over several files or
-    triggers), so replays that overwrite their own epoch never double count;
-    trigger rows are summed over producers (each producer owns its batches).
-    Unfinished batches keep start = end = 0 and accuracy 0.
+    Results are summed per batch over consumers and epochs (a batch split over several
+    files or triggers), so replays that overwrite their own epoch never double count. Unfinished
+    batches keep start = end = 0 and accuracy 0.
     """
-    triggers = spark.read.parquet(f"{tracker_dir}/triggers").groupBy("batch_id").agg(
-        F.sum("batch_size").alias("batch_size"), F.min("triggered").alias("triggered"))
+    triggers = spark.read.parquet(f"{tracker_dir}/triggers").groupBy("producer", "batch_id").agg(
+        F.sum("batch_size").alias("batch_size"), F.min("triggered").alias("triggered"),
+        F.max("model").alias("model"), F.max("env").alias("env"))
     try:
-        results = spark.read.parquet(f"{tracker_dir}/results").groupBy("batch_id").agg(
-            F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.min("start").alias("start"),
-            F.max("end").alias("end"))
-    except Exception:  # noqa: BLE001 - no consumer output yet
-        results = spark.createDataFrame([], "batch_id int, n long, hits long, start double, `end` double")
-    return triggers.join(results, "batch_id", "left").select(
-        "batch_id", F.col("batch_size").cast("bigint").alias("batch_size"), "triggered",
+        results = spark.read.parquet(f"{tracker_dir}/results")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        results = spark.createDataFrame([], _RESULTS)  # no consumer output yet
+    results = results.groupBy("producer", "batch_id").agg(
+        F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return triggers.join(results, ["producer", "batch_id"], "left").select(
+        "producer", "model", "env", "batch_id", F.col("batch_size").cast("bigint").alias("batch_size"), "triggered",
         F.coalesce("start", F.lit(0.0)).alias("start"), F.coalesce("end", F.lit(0.0)).alias("end"),
         F.coalesce("n", F.lit(0).cast("bigint")).alias("scored"),
         F.coalesce(F.round(F.lit(100.0) * F.col("hits") / F.col("n"), 3), F.lit(0.0)).alias("accuracy"),
