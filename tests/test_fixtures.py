@@ -19,7 +19,7 @@ from scorelens.streaming import IMAGE_SCHEMA
 
 
 def test_fx1_channel_transpose_and_edge_files(spark):
-    base = scratch_path(spark, "fx1")
+    base = scratch_path(spark, "fx1").removeprefix("file:")
     os.makedirs(base)
     with open(f"{base}/batch_1.json", "w") as f:
         json.dump([{"idx": 1, "data": [1, 2, 3, 4, 5, 6, 7, 8], "label": 4},
@@ -187,7 +187,7 @@ def test_training_report_default_order_is_step_then_position(spark):
 def test_fx3_trainer_state_files_end_to_end(spark):
     from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
     from scorelens.sources import dims
-    base = scratch_path(spark, "fx3-files")
+    base = scratch_path(spark, "fx3-files").removeprefix("file:")
     for name, flos in {"google/vit-base-patch16-224:COLAB_GPU": 1.0, "google/vit-base-patch16-224": 2.0}.items():
         group, model = name.split("/")
         d = os.path.join(base, "results", group, model, "run1")
@@ -214,7 +214,7 @@ def test_fx3_trainer_state_files_end_to_end(spark):
 
 
 def test_fx2_tracker_files_with_logs_beside_them(spark):
-    base = scratch_path(spark, "fx2-files")
+    base = scratch_path(spark, "fx2-files").removeprefix("file:")
     for run, rows_ in {"ConvNext_cpu": FX2[:2], "ViT_cuda": FX2[2:]}.items():
         os.makedirs(f"{base}/{run}")
         with open(f"{base}/{run}/tracker.json", "w") as fh:
@@ -232,7 +232,7 @@ def test_fx2_tracker_files_with_logs_beside_them(spark):
 
 
 def test_fx4_training_chart_from_text_csv(spark):
-    path = scratch_path(spark, "fx4")
+    path = scratch_path(spark, "fx4").removeprefix("file:")
     os.makedirs(path)
     with open(f"{path}/training_results.csv", "w") as fh:
         fh.write(",model,env,total_flos,train_runtime,train_samples_per_second,train_steps_per_second\n")
@@ -247,7 +247,7 @@ def test_fx4_training_chart_from_text_csv(spark):
 
 def test_fx5_benchmark_csv_charts_and_consistency(spark):
     from scorelens.plans.io_queries import INFERENCE_SCHEMA
-    path = scratch_path(spark, "fx5")
+    path = scratch_path(spark, "fx5").removeprefix("file:")
     os.makedirs(path)
     rows_ = [
         ("aaraki/vit-base-patch16-224-in21k-finetuned-cifar10", 99.9, 200, 1, 0.86, 98.81, "cpu"),
@@ -269,7 +269,7 @@ def test_fx5_benchmark_csv_charts_and_consistency(spark):
 
 
 def test_fx6_text_results_with_index_column(spark):
-    path = scratch_path(spark, "fx6")
+    path = scratch_path(spark, "fx6").removeprefix("file:")
     os.makedirs(path)
     with open(f"{path}/text.csv", "w") as fh:
         fh.write(",model,duration,total_texts,batch_size,average_batch_duration,accuracy,env\n")

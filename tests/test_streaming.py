@@ -7,9 +7,11 @@ from scorelens.operators.centroid import predict_centroid, train_centroids
 from scorelens.plans import testdata
 from scorelens.session import scratch_path
 from scorelens.streaming import produce_micro_batches, run_scoring_stream, tracker_view
-from scorelens.streaming.scoring import score_micro_batch
+from scorelens.streaming.microbatch import producer_of
+from scorelens.streaming.scoring import consumer_of, score_micro_batch
 
 SF = "/root/testdata/sf0.001"
+COLUMNS = ["batch_id", "batch_size", "scored", "accuracy"]
 
 
 def test_stream_equals_batch_and_replay_is_idempotent(spark):
@@ -18,11 +20,11 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark):
     model = train_centroids(data)
     produce_micro_batches(data, f"{base}/in", f"{base}/tr", [F.col("id")], "increasing", 5)
     run_scoring_stream(spark, f"{base}/in", model, f"{base}/tr", f"{base}/ck", timeout_s=300)
-    first = sorted(tuple(r) for r in tracker_view(spark, f"{base}/tr").drop("triggered", "start", "end").collect())
+    first = sorted(tuple(r) for r in tracker_view(spark, f"{base}/tr").select(*COLUMNS).collect())
     run_scoring_stream(spark, f"{base}/in", model, f"{base}/tr", f"{base}/ck", timeout_s=300)
     replay = spark.read.json(f"{base}/in", schema="idx int, data array<float>, label int").filter(F.col("idx") == 1)
-    score_micro_batch(replay, 0, model, f"{base}/tr")
-    again = sorted(tuple(r) for r in tracker_view(spark, f"{base}/tr").drop("triggered", "start", "end").collect())
+    score_micro_batch(replay, 0, model, f"{base}/tr", producer=producer_of(f"{base}/in"), consumer=consumer_of(f"{base}/ck"))
+    again = sorted(tuple(r) for r in tracker_view(spark, f"{base}/tr").select(*COLUMNS).collect())
     assert first == again
     # batch result on the same rows
     pred = predict_centroid(data, model)
@@ -49,7 +51,7 @@ def test_batch_identity_falls_back_to_epoch_and_skips_empty(spark):
     import json
     import os
 
-    base = scratch_path(spark, "t-ident")
+    base = scratch_path(spark, "t-ident").removeprefix("file:")
     os.makedirs(f"{base}/in")
     vec = [0.1] * 64
     files = [
@@ -71,6 +73,18 @@ def test_batch_identity_falls_back_to_epoch_and_skips_empty(spark):
     assert all(b == e for b, e, _ in got)
 
 
+def test_one_file_per_batch_across_chunks(spark):
+    """Chunks of a batch share one file, also without adaptive coalescing."""
+    base = scratch_path(spark, "t-chunks")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        produce_micro_batches(testdata.labelled_arrays(spark, SF), f"{base}/in", f"{base}/tr", [F.col("id")], "constant", 100, chunk_rows=30)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    files = spark.read.json(f"{base}/in", schema="idx long").groupBy("idx").agg(F.countDistinct("_metadata.file_path").alias("n"))
+    assert {r["n"] for r in files.collect()} == {1}
+
+
 def test_producer_rerun_replaces_its_trigger_rows(spark):
     base = scratch_path(spark, "t-rerun")
     data = testdata.labelled_arrays(spark, SF)
