@@ -62,7 +62,7 @@ def score_batches_in_pandas(batched: DataFrame, model: DataFrame, vec: str = "da
     Input rows carry (id, label, vec, *keys); rows of a batch are co-located
     (hash on the keys) and sorted, so one batch is one call even when Arrow cuts
     a partition into several chunks. A batch is bounded by the batch size. Output rows: (id,
-    *keys, label, pred, batch_duration). The measured seconds are data about the
+    *keys, label, pred, batch_duration, batch_rows). The measured seconds are data about the
     run, not results to compare exactly.
     """
     labels, cents, hns = model_matrix(model)
@@ -71,7 +71,7 @@ def score_batches_in_pandas(batched: DataFrame, model: DataFrame, vec: str = "da
     schema = StructType([StructField("id", LongType())]
                         + [batched.schema[k] for k in key_list]
                         + [StructField("label", IntegerType()), StructField("pred", IntegerType()),
-                           StructField("batch_duration", DoubleType())])
+                           StructField("batch_duration", DoubleType()), StructField("batch_rows", IntegerType())])
 
     def score(g: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(g[vec].to_numpy())
@@ -81,6 +81,7 @@ def score_batches_in_pandas(batched: DataFrame, model: DataFrame, vec: str = "da
         part = g[["id", *key_list, "label"]].copy()
         part["pred"] = p
         part["batch_duration"] = secs
+        part["batch_rows"] = len(g)
         return part
 
     def run(it):

@@ -6,7 +6,7 @@ Scratch folders are fresh per call under the session's checkpoint directory.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, DoubleType, FloatType, LongType, StringType, StructField,
+from pyspark.sql.types import (ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField,
                                StructType)
 
 from scorelens.functions.hashing import md5_bucket
@@ -19,13 +19,18 @@ from scorelens.plans.tracker_queries import tracker_sql
 from scorelens.session import scratch_path
 from scorelens.sources import files, sinks
 
-LOG_ENTRY = StructType([StructField(n, DoubleType()) for n in
-                        ("step", "train_runtime", "train_samples_per_second", "eval_accuracy", "eval_loss")])
+# The fields of a trainer-state document.
+LOG_ENTRY = StructType([StructField(n, DoubleType()) for n in (
+    "loss", "step", "eval_loss", "eval_accuracy", "eval_f1", "eval_precision", "eval_recall", "eval_runtime",
+    "eval_samples_per_second", "eval_steps_per_second", "total_flos", "train_loss", "train_runtime",
+    "train_samples_per_second", "train_steps_per_second")])
 TRAINER_STATE = StructType([
     StructField("run_id", LongType(), False),
     StructField("segment", LongType(), False),
     StructField("offset", LongType(), False),
     StructField("total_flos", DoubleType(), False),
+    StructField("train_batch_size", IntegerType(), False),
+    StructField("global_step", IntegerType(), False),
     StructField("log_history", ArrayType(LOG_ENTRY), False),
 ])
 DOCS_PER_FILE = 1_000
@@ -50,26 +55,24 @@ def _trainer_state_files(spark, d) -> str:
 
 
 @query("src_json_nested", """
-SELECT o_orderkey AS run_id, o_totalprice AS total_flos, count(*) AS entries
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice""")
+SELECT o_orderkey AS run_id, o_totalprice AS total_flos, CAST(o_custkey % 4 * 8 + 8 AS INTEGER) AS train_batch_size,
+       CAST(o_orderkey % 1000 AS INTEGER) AS global_step, count(*) AS entries
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice, o_custkey""")
 def src_json_nested(spark, d):
     states = files.read_json_nested(spark, _trainer_state_files(spark, d), TRAINER_STATE)
-    return states.groupBy("run_id").agg(F.first("total_flos").alias("total_flos"),
+    return states.groupBy("run_id").agg(*[F.first(c).alias(c) for c in ("total_flos", "train_batch_size", "global_step")],
                                         F.sum(F.size("log_history")).cast("bigint").alias("entries"))
 
 
-@query("explode_log_history", """
+@query("explode_log_history", f"""
 SELECT l_orderkey AS run_id,
        CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
-            l_extendedprice, l_discount, l_tax, l_returnflag) - 1 AS INTEGER) AS pos,
-       CAST(l_linenumber AS DOUBLE) AS step, CASE WHEN l_returnflag = 'R' THEN l_quantity END AS train_runtime,
-       CASE WHEN l_returnflag <> 'R' THEN 1.0 - l_tax END AS eval_accuracy
+            l_extendedprice, l_discount, l_tax, l_returnflag) - 1 AS INTEGER) AS pos, {testdata.LOG_FIELDS_SQL}
 FROM lineitem""")
 def explode_log_history(spark, d):
     states = files.read_json_nested(spark, _trainer_state_files(spark, d), TRAINER_STATE)
     logs = explode_with_position(states, "log_history", ["run_id", "offset"])
-    return logs.select("run_id", (F.col("offset") + F.col("pos")).cast("int").alias("pos"), "log.step",
-                       "log.train_runtime", "log.eval_accuracy")
+    return logs.select("run_id", (F.col("offset") + F.col("pos")).cast("int").alias("pos"), "log.*")
 
 
 @query("src_json_lines", tracker_sql() + """
@@ -77,9 +80,9 @@ SELECT batch_id, model, env, batch_size, triggered, start, "end", accuracy FROM
 def src_json_lines(spark, d):
     path = scratch_path(spark, "tracker-json")
     sinks.write_json_lines(testdata.tracker(spark, d), path)
-    back = files.read_json_lines(spark, path)  # inferred, then pinned below
-    return back.select(F.col("batch_id").cast("bigint"), "model", "env", F.col("batch_size").cast("bigint"),
-                       *[F.col(c).cast("double").alias(c) for c in ("triggered", "start", "end", "accuracy")])
+    # The schema is given: inferring it would read the files twice.
+    return files.read_json_lines(spark, path, schema=f"model STRING, env STRING, {TRACKER_JSON}").select(
+        "batch_id", "model", "env", "batch_size", "triggered", "start", "end", "accuracy")
 
 
 @query("sink_json_lines", tracker_sql() + """
@@ -105,6 +108,7 @@ def src_csv_strings(spark, d):
     return normalise_by_max(typed.withColumn("price_norm", F.col("p_retailprice")), ["price_norm"], 9)
 
 
+# The columns of a benchmark result file.
 INFERENCE_SCHEMA = StructType([
     StructField("model", StringType(), False), StructField("duration", FloatType(), False),
     StructField("total_images", FloatType(), False), StructField("batch_size", FloatType(), False),

@@ -226,7 +226,8 @@ def limit_first_n(spark, d):
 SELECT label, count(*) AS n FROM embeddings GROUP BY label""")
 def src_repartitioned_scan(spark, d):
     e = table(spark, d, "embeddings", "vec_id", "label")
-    return e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).groupBy("label").agg(
+    # Fewer, larger scan tasks without a shuffle; the aggregate combines inside them.
+    return e.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))).groupBy("label").agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -290,6 +291,7 @@ TRAINER_SQL = """
 WITH runs AS (
   SELECT o_orderkey AS run_id, CAST(o_custkey % 17 AS INTEGER) AS position,
          CASE WHEN o_orderstatus IN ('O', 'P') THEN 'COLAB_GPU' ELSE 'GPU' END AS env,
+         CAST(o_custkey % 4 * 8 + 8 AS INTEGER) AS train_batch_size, CAST(o_orderkey % 1000 AS INTEGER) AS global_step,
          o_totalprice AS total_flos FROM orders),
 tr AS (
   SELECT l_orderkey AS run_id, l_quantity AS train_runtime, l_extendedprice AS train_samples_per_second,
@@ -300,16 +302,20 @@ tr AS (
 ev AS (
   SELECT l_orderkey AS run_id, CAST(l_linenumber AS DOUBLE) AS eval_step, 1.0 - l_tax AS eval_accuracy,
          1.0 - l_discount AS eval_f1, l_tax AS eval_loss, l_quantity AS eval_runtime,
+         1.0 - l_discount * 0.5 AS eval_precision, 1.0 - l_tax * 0.5 AS eval_recall,
+         l_extendedprice AS eval_samples_per_second, l_discount AS eval_steps_per_second,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC,
-                            1.0 - l_tax DESC, 1.0 - l_discount DESC, l_tax DESC, l_quantity DESC) AS rk
+                            1.0 - l_tax DESC, 1.0 - l_discount DESC, l_tax DESC, l_quantity DESC,
+                            l_extendedprice DESC) AS rk
   FROM lineitem WHERE l_returnflag <> 'R')
 """
 
 
 @query("training_report", TRAINER_SQL + f"""
 SELECT r.run_id, c.model, r.env, CAST(c.params AS VARCHAR) || 'M' AS params, CAST(c.size AS VARCHAR) || 'MB' AS size,
-       r.total_flos, c.model IS NULL AS missing_model, tr.train_runtime, tr.train_samples_per_second,
-       tr.train_steps_per_second, ev.eval_step, ev.eval_accuracy, ev.eval_f1, ev.eval_loss, ev.eval_runtime
+       r.train_batch_size, r.global_step, r.total_flos, c.model IS NULL AS missing_model, tr.train_runtime,
+       tr.train_samples_per_second, tr.train_steps_per_second, ev.eval_step, ev.eval_accuracy, ev.eval_f1, ev.eval_loss,
+       ev.eval_precision, ev.eval_recall, ev.eval_runtime, ev.eval_samples_per_second, ev.eval_steps_per_second
 FROM runs r LEFT JOIN {dims.catalog_sql()} ON r.position = c.position
 JOIN tr ON tr.run_id = r.run_id AND tr.rk = 1
 JOIN ev ON ev.run_id = r.run_id AND ev.rk = 1""")

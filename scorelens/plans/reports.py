@@ -81,14 +81,22 @@ def trainer_runs_from_paths(states: DataFrame, path: str = "path") -> DataFrame:
     name = F.element_at(parts, -3)
     model = F.concat_ws("/", F.element_at(parts, -4), F.substring_index(name, ":", 1))
     env = F.when(name.contains(":"), F.substring_index(name, ":", -1)).otherwise(F.lit("GPU"))
-    return states.select(F.col(path).alias("run_id"), model.alias("model"), env.alias("env"), "total_flos")
+    return states.select(F.col(path).alias("run_id"), model.alias("model"), env.alias("env"),
+                         "total_flos", *[c for c in RUN_FACTS if c in states.columns])
+
+
+# A run's settings, and the fields of its log that a report shows.
+RUN_FACTS = ["train_batch_size", "global_step"]
+TRAIN_FIELDS = ["train_runtime", "train_samples_per_second", "train_steps_per_second"]
+EVAL_FIELDS = ["eval_accuracy", "eval_f1", "eval_loss", "eval_precision", "eval_recall", "eval_runtime",
+               "eval_samples_per_second", "eval_steps_per_second"]
 
 
 def training_report(runs: DataFrame, entries: DataFrame, catalog: DataFrame,
                     order: tuple[str, ...] = ("step", "pos")) -> DataFrame:
     """One row per run: catalog facts, final training summary, latest evaluation.
 
-    Runs (run_id, model, env, total_flos) are keyed by run id (the file), not by
+    Runs (run_id, model, env, total_flos and RUN_FACTS if given) are keyed by run id (the file), not by
     model name, so a model trained in two environments gives two rows; the
     catalog is looked up by model name (a miss is flagged, not an error). The log is read once: one aggregation per
     run keeps both the latest training summary and the latest evaluation
@@ -97,8 +105,8 @@ def training_report(runs: DataFrame, entries: DataFrame, catalog: DataFrame,
     decides "latest": step, then position in the log (a later entry wins).
     """
     ties = list(order)
-    train_cols = ["train_runtime", "train_samples_per_second", "train_steps_per_second"]
-    eval_cols = ["eval_accuracy", "eval_f1", "eval_loss", "eval_runtime"]
+    train_cols = TRAIN_FIELDS
+    eval_cols = [c for c in EVAL_FIELDS if c in entries.columns]
     latest = entries.groupBy("run_id").agg(
         latest_struct(ties + train_cols, train_cols, F.col("train_runtime").isNotNull()).alias("_t"),
         latest_struct(ties + eval_cols, ["step"] + eval_cols, F.col("eval_accuracy").isNotNull()).alias("_e"),
@@ -109,7 +117,7 @@ def training_report(runs: DataFrame, entries: DataFrame, catalog: DataFrame,
     head = lookup(runs, facts, "model", flag="missing_model", max_rows=10_000).select(
         "run_id", "model", "env",
         with_unit("params", "M").alias("params"), with_unit("size", "MB").alias("size"),
-        "total_flos", "missing_model",
+        *[c for c in RUN_FACTS if c in runs.columns], "total_flos", "missing_model",
     )
     return head.join(latest, "run_id")
 

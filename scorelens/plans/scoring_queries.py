@@ -10,7 +10,7 @@ from scorelens.operators.generators import explode_batches
 from scorelens.operators.scoring import predict_batch_column, score_batches_in_pandas
 from scorelens.plans import testdata
 from scorelens.plans.evaluate import grid_accuracy
-from scorelens.plans.prepare_queries import CONSTANT_BATCH, bucket_sql
+from scorelens.plans.prepare_queries import CONSTANT_BATCH, TRAIN_PCT, bucket_sql
 from scorelens.plans.registry import query, table
 
 
@@ -32,6 +32,17 @@ pred AS (SELECT e.vec_id, e.label, CAST(p.cls AS INTEGER) AS pred, p.score
          FROM embeddings e JOIN p ON p.vec_id = e.vec_id AND p.rk = 1)
 """
 
+#: Trained on the train split, scored on the test split.
+HELD_OUT_SQL = f"""
+WITH x AS (SELECT vec_id, label, {bucket_sql('vec_id')} < {TRAIN_PCT} AS train,
+                  generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+c AS (SELECT label AS cls, pos, avg(v) AS cv FROM x WHERE train GROUP BY label, pos),
+s AS (SELECT x.vec_id, x.label, c.cls, round(sum(x.v * c.cv) - 0.5 * sum(c.cv * c.cv), 9) AS score
+      FROM x JOIN c USING (pos) WHERE NOT train GROUP BY x.vec_id, x.label, c.cls),
+pred AS (SELECT vec_id, label, CAST(cls AS INTEGER) AS pred FROM
+         (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, cls) AS rk FROM s) WHERE rk = 1)
+"""
+
 WEIGHTED_SQL = """
 , pc AS (
   SELECT t.cls, t.support, t.tp, coalesce(m.predicted, 0) AS predicted FROM
@@ -73,12 +84,13 @@ def score_batch_udf(spark, d):
     return data.select(F.col("id").alias("vec_id"), "label", predict_batch_column(model).alias("pred"))
 
 
-@query("score_map_in_pandas")
+@query("score_map_in_pandas", CENTROID_SQL + f"""
+SELECT vec_id AS id, (row_number() OVER (ORDER BY vec_id) - 1) // {CONSTANT_BATCH} AS batch_no, label, pred FROM pred""")
 def score_map_in_pandas(spark, d):
     data = testdata.labelled_arrays(spark, d)
     model = centroid.train_centroids(data)
     batched = rows.assign_constant(data, [F.col("id")], CONSTANT_BATCH)
-    return score_batches_in_pandas(batched, model)
+    return score_batches_in_pandas(batched, model).select("id", "batch_no", "label", "pred")  # seconds differ by run
 
 
 @query("prediction_flags", CENTROID_SQL + "SELECT vec_id, label = pred AS correct FROM pred")

@@ -132,6 +132,8 @@ def trainer_runs(spark: SparkSession, d: str) -> DataFrame:
         slot.alias("position"),
         env.alias("env"),
         F.col("o_totalprice").alias("total_flos"),
+        (F.col("o_custkey") % 4 * 8 + 8).cast("int").alias("train_batch_size"),
+        (F.col("o_orderkey") % 1000).cast("int").alias("global_step"),
     )
 
 
@@ -140,20 +142,47 @@ def trainer_log_entries(spark: SparkSession, d: str) -> DataFrame:
     the others evaluations (sparse columns are null, as in trainer logs)."""
     li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                "l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    is_train = F.col("l_returnflag") == "R"
-    ev = ~is_train
-    return li.select(
-        F.col("l_orderkey").alias("run_id"),
+    return li.select(F.col("l_orderkey").alias("run_id"), "l_partkey", "l_suppkey", *log_fields())
+
+
+def log_fields() -> list:
+    """The fifteen fields of a log entry, from a line item."""
+    train = F.col("l_returnflag") == "R"
+    ev = ~train
+    return [
+        F.col("l_tax").alias("loss"),
         F.col("l_linenumber").cast("double").alias("step"),
-        "l_partkey", "l_suppkey",
-        F.when(is_train, F.col("l_quantity")).alias("train_runtime"),
-        F.when(is_train, F.col("l_extendedprice")).alias("train_samples_per_second"),
-        F.when(is_train, F.col("l_discount")).alias("train_steps_per_second"),
+        F.when(ev, F.col("l_tax")).alias("eval_loss"),
         F.when(ev, F.lit(1.0) - F.col("l_tax")).alias("eval_accuracy"),
         F.when(ev, F.lit(1.0) - F.col("l_discount")).alias("eval_f1"),
-        F.when(ev, F.col("l_tax")).alias("eval_loss"),
+        F.when(ev, F.lit(1.0) - F.col("l_discount") * 0.5).alias("eval_precision"),
+        F.when(ev, F.lit(1.0) - F.col("l_tax") * 0.5).alias("eval_recall"),
         F.when(ev, F.col("l_quantity")).alias("eval_runtime"),
-    )
+        F.when(ev, F.col("l_extendedprice")).alias("eval_samples_per_second"),
+        F.when(ev, F.col("l_discount")).alias("eval_steps_per_second"),
+        F.when(train, F.col("l_extendedprice") * 2.0).alias("total_flos"),
+        F.when(train, F.col("l_tax") * 0.5).alias("train_loss"),
+        F.when(train, F.col("l_quantity")).alias("train_runtime"),
+        F.when(train, F.col("l_extendedprice")).alias("train_samples_per_second"),
+        F.when(train, F.col("l_discount")).alias("train_steps_per_second"),
+    ]
+
+
+#: The same fields in SQL, for the oracles.
+LOG_FIELDS_SQL = """
+l_tax AS loss, CAST(l_linenumber AS DOUBLE) AS step, CASE WHEN l_returnflag <> 'R' THEN l_tax END AS eval_loss,
+CASE WHEN l_returnflag <> 'R' THEN 1.0 - l_tax END AS eval_accuracy,
+CASE WHEN l_returnflag <> 'R' THEN 1.0 - l_discount END AS eval_f1,
+CASE WHEN l_returnflag <> 'R' THEN 1.0 - l_discount * 0.5 END AS eval_precision,
+CASE WHEN l_returnflag <> 'R' THEN 1.0 - l_tax * 0.5 END AS eval_recall,
+CASE WHEN l_returnflag <> 'R' THEN l_quantity END AS eval_runtime,
+CASE WHEN l_returnflag <> 'R' THEN l_extendedprice END AS eval_samples_per_second,
+CASE WHEN l_returnflag <> 'R' THEN l_discount END AS eval_steps_per_second,
+CASE WHEN l_returnflag = 'R' THEN l_extendedprice * 2.0 END AS total_flos,
+CASE WHEN l_returnflag = 'R' THEN l_tax * 0.5 END AS train_loss,
+CASE WHEN l_returnflag = 'R' THEN l_quantity END AS train_runtime,
+CASE WHEN l_returnflag = 'R' THEN l_extendedprice END AS train_samples_per_second,
+CASE WHEN l_returnflag = 'R' THEN l_discount END AS train_steps_per_second"""
 
 
 # The six image models and three environments of the benchmark files.
@@ -191,7 +220,7 @@ LOG_SEGMENT = 1_000
 
 
 def trainer_states(spark: SparkSession, d: str, segment: int = LOG_SEGMENT) -> DataFrame:
-    """Trainer-state documents: (run_id, segment, offset, total_flos, log_history).
+    """Trainer-state documents: (run_id, segment, offset, total_flos, train_batch_size, global_step, log_history).
 
     Entries are ordered by step and then by the line's values (a total order, so
     positions are reproducible) and numbered globally without a per-run window;
@@ -203,18 +232,10 @@ def trainer_states(spark: SparkSession, d: str, segment: int = LOG_SEGMENT) -> D
                "l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
              "l_discount", "l_tax", "l_returnflag"]
-    tr, ev = F.col("l_returnflag") == "R", F.col("l_returnflag") != "R"
-    log = F.struct(
-        F.col("l_linenumber").cast("double").alias("step"),
-        F.when(tr, F.col("l_quantity")).alias("train_runtime"),
-        F.when(tr, F.col("l_extendedprice")).alias("train_samples_per_second"),
-        F.when(ev, F.lit(1.0) - F.col("l_tax")).alias("eval_accuracy"),
-        F.when(ev, F.col("l_tax")).alias("eval_loss"),
-    )
-    numbered = with_row_number(li.select(*order, log.alias("log")), [F.col(c) for c in order])
+    numbered = with_row_number(li.select(*order, F.struct(*log_fields()).alias("log")), [F.col(c) for c in order])
     docs = pack_segments(numbered.withColumnRenamed("l_orderkey", "run_id"), "run_id", "rn", F.col("log"),
                          segment, "log_history")
-    runs = trainer_runs(spark, d).select("run_id", "total_flos")
+    runs = trainer_runs(spark, d).select("run_id", "total_flos", "train_batch_size", "global_step")
     return runs.join(docs, "run_id")
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scorelens.operators import splits
 from scorelens.operators.centroid import train_centroids
 from scorelens.plans import evaluate, reports, testdata
 from scorelens.plans.prepare_queries import TRAIN_PCT, TRAIN_PCT_TEXT
 from scorelens.plans.registry import ORACLES, query
 from scorelens.plans.relational_queries import TRAINER_SQL, case_sql
+from scorelens.plans.scoring_queries import HELD_OUT_SQL
 from scorelens.session import scratch_path
 from scorelens.sources import dims, files, sinks
 
@@ -74,11 +76,17 @@ def training_chart(spark, d):
     return reports.training_chart(rep)
 
 
-@query("evaluate_arrays_grid")
+@query("evaluate_arrays_grid", HELD_OUT_SQL + f"""
+, a AS (SELECT label, count(*) AS n, 100.0 * avg(CAST(label = pred AS DOUBLE)) AS accuracy FROM pred GROUP BY label)
+SELECT 'centroid' AS model, CAST(sum(n) AS BIGINT) AS total_images, b.batch_size, round(avg(accuracy), 3) AS balanced_accuracy,
+       'spark' AS env
+FROM a, (SELECT CAST(unnest({IMAGE_BATCH_SIZES}) AS INTEGER) AS batch_size) b GROUP BY b.batch_size""")
 def evaluate_arrays_grid(spark, d):
-    data = testdata.labelled_arrays(spark, d)
-    model = train_centroids(data)
-    return evaluate.evaluate_arrays(data, model, dims.label_names(spark), IMAGE_BATCH_SIZES)
+    """Trained on the train split, scored on the test split; seconds differ by run and are left out."""
+    data = splits.hash_split(testdata.labelled_arrays(spark, d), "id", TRAIN_PCT)
+    model = train_centroids(data.filter(F.col("split") == "train"))
+    result = evaluate.evaluate_arrays(data.filter(F.col("split") == "test"), model, dims.label_names(spark), IMAGE_BATCH_SIZES)
+    return result.select("model", "total_images", "batch_size", "balanced_accuracy", "env")
 
 
 @query("evaluate_texts_grid")

@@ -3,25 +3,48 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from scorelens.operators import centroid, metrics
+from scorelens.operators import centroid, metrics, splits
 from scorelens.plans import evaluate, testdata
-from scorelens.plans.prepare_queries import TRAIN_PCT_TEXT
+from scorelens.plans.prepare_queries import TRAIN_PCT, TRAIN_PCT_TEXT
 from scorelens.plans.workflow_queries import IMAGE_BATCH_SIZES, TEXT_BATCH_SIZES
 from scorelens.sources import dims
 
 SF = "/root/testdata/sf0.001"
 
 
+def split_arrays(spark):
+    data = splits.hash_split(testdata.labelled_arrays(spark, SF), "id", TRAIN_PCT)
+    return data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test")
+
+
 def test_evaluate_arrays_grid_against_direct(spark):
+    train, test = split_arrays(spark)
+    model = centroid.train_centroids(train)
+    timed = evaluate.evaluate_arrays(test, model, dims.label_names(spark), IMAGE_BATCH_SIZES, env="here")
+    assert timed._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    timed = {r["batch_size"]: r for r in timed.collect()}
     grid = {r["batch_size"]: r for r in E.queries()["evaluate_arrays_grid"](spark, SF).collect()}
-    assert sorted(grid) == IMAGE_BATCH_SIZES
-    data = testdata.labelled_arrays(spark, SF)
-    pred = centroid.predict_centroid(data, centroid.train_centroids(data))
+    assert sorted(grid) == sorted(timed) == IMAGE_BATCH_SIZES
+    pred = centroid.predict_centroid(test, model)
     named = pred.join(dims.label_names(spark), "label").withColumn("correct", F.col("label") == F.col("pred"))
     direct = metrics.balanced_accuracy(metrics.class_accuracy(named, cls="name", duration=None)).first()[0]
-    n = data.count()
-    for r in grid.values():
-        assert r["balanced_accuracy"] == direct and r["total_images"] == n and r["duration"] >= 0
+    n = test.count()
+    for size, r in grid.items():
+        assert r["balanced_accuracy"] == timed[size]["balanced_accuracy"] == direct and r["total_images"] == n
+        assert timed[size]["duration"] >= 0 and timed[size]["average_batch_duration"] >= 0 and timed[size]["env"] == "here"
+
+
+def test_models_beyond_the_bound_are_scored_by_parts(spark, monkeypatch):
+    train, test = split_arrays(spark)
+    model = centroid.train_centroids(train)
+    whole = centroid.predict_centroid(test, model, keep_score=True).select("id", "pred", "score")
+    pcts = [50, 90]
+    grid = evaluate.grid_accuracy(testdata.labelled_arrays(spark, SF), pcts).collect()
+    monkeypatch.setattr(centroid, "MAX_MODEL_VALUES", 100)
+    monkeypatch.setattr(centroid, "PART_VALUES", 200)  # three classes of 64 values or so a part
+    parts = centroid.predict_centroid(test, model, keep_score=True).select("id", "pred", "score")
+    assert sorted(parts.collect()) == sorted(whole.collect())
+    assert sorted(evaluate.grid_accuracy(testdata.labelled_arrays(spark, SF), pcts).collect()) == sorted(grid)
 
 
 def test_score_map_in_pandas_against_spark_predictor(spark):
