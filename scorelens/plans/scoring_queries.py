@@ -193,7 +193,7 @@ PRED_BATCH = 64
 @query("explode_batch_predictions", f"""
 WITH n AS (SELECT l_returnflag AS class, l_discount > 0.05 AS correct, l_tax,
                   CAST((row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag,
-                                           l_discount, l_tax) - 1) // {PRED_BATCH} AS INTEGER) AS batch_no
+                                           l_discount, l_tax) - 1) // {PRED_BATCH} AS BIGINT) AS batch_no
            FROM lineitem)
 SELECT batch_no, class, correct, max(l_tax) OVER (PARTITION BY batch_no) AS batch_duration FROM n""")
 def explode_batch_predictions(spark, d):
