@@ -62,7 +62,7 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_line_dedup")
 def fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
-    left = line_dedup.dedup_lines(documents)
+    left = line_dedup.dedup_lines(documents, keys=line_dedup.KEYS)
     return left.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"),
                        F.array_join(F.transform("removed_lines", lambda n: n.cast("string")), ",").alias("removed_lines"),
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
