@@ -83,11 +83,12 @@ def links(fps: DataFrame, distance: int = 3, limit: int = 2048) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     distance: int = 3, limit: int = 2048) -> DataFrame:
-    """(id, fp, component) for each row of ``df``; component is the smallest id reachable over links."""
+    """(id, fp, component, root) for each row of ``df``; component is the smallest id reachable over links, root the
+    smallest fingerprint: two components can have one id if rows share ids."""
     prints = stored(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     each = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct_fingerprints")
     groups = connected_components(links(each.select("fp"), distance, limit))
     rooted = (each.join(groups, each["fp"] == groups["node"], "left")
               .select("fp", F.coalesce("root", "fp").alias("root"), "first"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    return prints.join(rooted.join(named, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+    return prints.join(rooted.join(named, "root").select("fp", "component", "root"), "fp").select("id", "fp", "component", "root")
