@@ -5,8 +5,8 @@ reported by their pattern and length rules. Beyond them, base64 and hex candidat
 only if what they hold parses:
 
 - ``der``: an ASN.1 private key (PKCS#1 RSA, DSA, EC, PKCS#8, encrypted PKCS#8) whose nested
-  lengths fill each other exactly; base64 may run over line ends, hex in either case, and base64 of a
-  whole PEM text is opened once more. Public keys and certificates are no secrets.
+  lengths fill each other exactly; base64 and hex (in either case) may run over line ends and indents, and base64 of a
+  whole PEM text is opened once more. After a key the search goes on behind it; where none parses, behind that run of characters. Public keys and certificates are no secrets.
 - ``ssh``: an OpenSSH private key: magic, then length-prefixed fields that end inside the candidate.
 - ``jwt``: header.payload.signature (or the five parts of an encrypted token) with a JSON header naming
   an algorithm.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import binascii
 import json
+import math
 import re
 
 from pyspark.sql import DataFrame
@@ -34,10 +35,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-#: A DER SEQUENCE starts 0x30: in base64 "M", then a letter up to "P"; "LS0t" is base64 of "---".
-_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3Blbn|LS0t)[A-Za-z0-9+/_-]{14,}(?:(?:\r?\n|\\n)[A-Za-z0-9+/_-]+)*={0,2}")
-_HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[Ff]70)(?:[0-9A-Fa-f]{2}){15,}")
-_B64_CHAR, _BREAK = re.compile(r"[A-Za-z0-9+/_=-]"), re.compile(r"\r?\n|\\n")
+#: A DER SEQUENCE starts 0x30: in base64 "M", then a letter up to "P"; "LS0t" is base64 of "---". Of a first line only.
+_B64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n))(?:M[A-P]|b3Blbn|LS0t)[A-Za-z0-9+/_-]{14,}")
+_HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[Ff]70)(?:[0-9A-Fa-f]{2}){6,}")
+_B64_RUN, _HEX_RUN, _BREAK = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9A-Fa-f]+"), re.compile(r"[ \t]*(?:\r?\n|\\n)[ \t]*")
 _JWT_HEAD = re.compile(r"(?<![A-Za-z0-9_.-])e[w-z0-9_-][A-Za-z0-9_-]{6,}(?=\.)")
 _JWT_FORMS = (re.compile(r"[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]+){3}"), re.compile(r"[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"))
 _SSH_MAGIC = b"openssh-key-v1\0"
@@ -140,30 +141,61 @@ def _key_in(data: bytes) -> tuple[str, int] | None:
     return ("ssh", n) if n is not None else None
 
 
+def _gathered(text: str, at: int, run: re.Pattern, need: float) -> str:
+    """The coded characters from ``at`` on, over line ends and indents, until there are ``need`` of them."""
+    parts, size = [], 0
+    while size < need and (m := run.match(text, at)):
+        parts.append(m.group(0))
+        size += len(parts[-1])
+        gap = _BREAK.match(text, m.end())
+        if not gap:
+            break
+        at = gap.end()
+    return "".join(parts)
+
+
+def _end(text: str, at: int, need: int) -> int:
+    """Where ``need`` coded characters from ``at`` end, line ends between them skipped."""
+    while need:
+        gap = _BREAK.match(text, at)
+        at = gap.end() if gap else at + 1
+        need -= not gap
+    while text[at:at + 1] == "=":
+        at += 1
+    return at
+
+
 def _candidates(text: str):
-    for m in _B64.finditer(text):
-        raw = m.group(0)
-        chars = _BREAK.sub("", raw)
-        data = _b64(chars)
-        if data.startswith(b"-----BEGIN "):  # a PEM text, encoded once more
-            inner = [k for k, _, _ in _candidates(data.decode("latin-1"))]
+    at = 0
+    while m := _B64.search(text, at):
+        start, at = m.start(), m.end()  # without a key here the search goes on behind this line's run
+        head = _b64(m.group(0)[:16])
+        n = der_length(head)
+        if n is not None:
+            found = _key_in(_b64(_gathered(text, start, _B64_RUN, -(-n * 4 // 3))[:-(-n * 4 // 3)]))
+        elif head.startswith(b"openssh-key"):
+            found = _key_in(_b64(_gathered(text, start, _B64_RUN, math.inf)))
+        elif head.startswith(b"-----BEGIN "):  # a PEM text, encoded once more
+            chars = _gathered(text, start, _B64_RUN, math.inf)
+            inner = [k for k, _, _ in _candidates(_b64(chars).decode("latin-1"))]
             if inner:
-                yield inner[0], m.start(), m.end()
+                at = _end(text, start, len(chars))
+                yield inner[0], start, at
+            continue
+        else:
             continue
-        found = _key_in(data)
         if found:
-            need, at = -(-found[1] * 4 // 3), m.start()
-            while need:  # back to the text: skip line ends between the characters
-                gap = _BREAK.match(text, at)
-                at = gap.end() if gap else at + 1
-                need -= not gap
-            while at < m.end() and text[at] == "=":
-                at += 1
-            yield found[0], m.start(), at
-    for m in _HEX_ANY.finditer(text):
-        found = _key_in(bytes.fromhex(m.group(0)))
+            at = _end(text, start, -(-found[1] * 4 // 3))
+            yield found[0], start, at
+    at = 0
+    while m := _HEX_ANY.search(text, at):
+        start, at = m.start(), m.end()
+        n = der_length(bytes.fromhex(m.group(0)[:12]))
+        digits = _gathered(text, start, _HEX_RUN, math.inf if n is None else 2 * n)
+        found = _key_in(bytes.fromhex(digits[:2 * n if n is not None else len(digits) // 2 * 2])) if n is None or len(digits) >= 2 * n else None
         if found:
-            yield found[0], m.start(), m.start() + 2 * found[1]
+            at = _end(text, start, 2 * found[1])
+            yield found[0], start, at
 
 
 def _is_token(parts: list[str]) -> bool:
