@@ -107,7 +107,11 @@ def per_class_metrics(df: DataFrame, label: str = "label", pred: str = "pred") -
     so the predictions are computed once. Classes never seen as a label (support
     0) are dropped, as a support-weighted average ignores them.
     """
-    conf = confusion_counts(df, label, pred)
+    return per_class_from_confusion(confusion_counts(df, label, pred), label, pred)
+
+
+def per_class_from_confusion(conf: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
+    """The same from a confusion table (label, pred, n)."""
     hit = F.col(label) == F.col(pred)
     cells = conf.select(F.explode(F.array(
         F.struct(F.col(label).alias("cls"), F.col("n").alias("support"),
@@ -126,7 +130,12 @@ def per_class_metrics(df: DataFrame, label: str = "label", pred: str = "pred") -
 def weighted_metrics(df: DataFrame, label: str = "label", pred: str = "pred",
                      digits: int = 6) -> DataFrame:
     """Support-weighted precision, recall and F1 (classes with support only)."""
-    pc = per_class_metrics(df, label, pred)
+    return weighted_from_confusion(confusion_counts(df, label, pred), label, pred, digits)
+
+
+def weighted_from_confusion(conf: DataFrame, label: str = "label", pred: str = "pred", digits: int = 6) -> DataFrame:
+    """The same from a confusion table (label, pred, n)."""
+    pc = per_class_from_confusion(conf, label, pred)
     w = F.col("support").cast("double")
     return pc.agg(
         F.round(F.sum(w * F.col("precision")) / F.sum(w), digits).alias("precision"),

@@ -56,15 +56,17 @@ def predict_batch_column(model: DataFrame, vec: str = "data", batch_size: int =
 
 
 def score_batches_in_pandas(batched: DataFrame, model: DataFrame, vec: str = "data",
-                            keys: tuple[str, ...] = ("batch_no",)) -> DataFrame:
+                            keys: tuple[str, ...] = ("batch_no",), matrix=None) -> DataFrame:
     """Score each mini-batch with one vectorised call and time that call.
 
     Input rows carry (id, label, vec, *keys); rows of a batch are co-located
     (hash on the keys) and sorted, so one batch is one call even when Arrow cuts
     a partition into several chunks. A batch is bounded by the batch size. Output rows: (id,
     *keys, label, pred, batch_duration, batch_rows). The measured seconds are data about the
-    run, not results to compare exactly.
+    run, not results to compare exactly. ``matrix`` turns a mini-batch's ``vec`` values
+    into the model's input (default: they are vectors).
     """
+    matrix = matrix or (lambda values: np.stack(values.to_numpy()))
     labels, cents, hns = model_matrix(model)
     predict = centroid_scorer(labels, cents, hns)
     key_list = list(keys)
@@ -74,7 +76,7 @@ def score_batches_in_pandas(batched: DataFrame, model: DataFrame, vec: str = "da
                            StructField("batch_duration", DoubleType()), StructField("batch_rows", IntegerType())])
 
     def score(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(g[vec].to_numpy())
+        x = matrix(g[vec])
         t0 = time.perf_counter()
         p = predict(x)
         secs = time.perf_counter() - t0

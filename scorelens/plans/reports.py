@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.functions.text import with_unit
+from scorelens.operators.bootstrap import bootstrap_band
 from scorelens.operators.joins import lookup
 from scorelens.operators.latest import latest_struct
 from scorelens.operators.metrics import consistency_rows, consistency_verdict, mean_by, mean_with_band
@@ -70,6 +71,13 @@ def stream_line_chart(tracker: DataFrame, y: str, digits: int = 6) -> DataFrame:
     return mean_with_band(m.withColumnRenamed("batch_size", "images"), ["images", "model", "env"], y, digits)
 
 
+def stream_line_bootstrap(tracker: DataFrame, replicates: int = 1000, row: str = "batch_id", level: float = 0.95) -> DataFrame:
+    """Both line charts of a stream run with bootstrap bands, from one pass: mean latency and throughput per (images, model, env)."""
+    m = stream_metrics(tracker, digits=12).filter(F.col("completed")).withColumnRenamed("batch_size", "images")
+    return bootstrap_band(m, ["images", "model", "env"], ["latency", "throughput"], F.col(row), replicates, level,
+                          digits={"latency": 3, "throughput": 9})
+
+
 def relabel_env(col: str = "env") -> F.Column:
     return relabel(col, ENV_NAMES)
 
@@ -160,6 +168,13 @@ def batch_size_chart(results: DataFrame, digits: int = 9) -> DataFrame:
     return mean_with_band(r, ["batch_size", "model", "env"], "average_batch_duration", digits)
 
 
+def batch_size_bootstrap(results: DataFrame, replicates: int = 1000, row: str = "row_key", digits: int = 9) -> DataFrame:
+    """The same line with a bootstrap band; ``row`` names a result row."""
+    r = results.select(relabel("model", IMAGE_MODEL_NAMES).alias("model"), relabel_env("env").alias("env"), "batch_size", "average_batch_duration", row
+                       ).filter(F.col("model").isin(list(IMAGE_MODEL_NAMES.values())))
+    return bootstrap_band(r, ["batch_size", "model", "env"], ["average_batch_duration"], F.col(row), replicates, digits=digits)
+
+
 def test_size_chart(results: DataFrame, digits: int = 9) -> DataFrame:
     """Run duration by test size per environment (line + band)."""
     r = results.select(F.col("duration"), F.col("total_images").alias("test_size"), relabel_env("env").alias("env"))

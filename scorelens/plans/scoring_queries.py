@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorelens.functions.arrays import argmax, channel_to_pixel_major, wrap_uint8
-from scorelens.operators import centroid, metrics, rows
+from scorelens.operators import centroid, metrics, rows, softmax, splits
 from scorelens.operators.generators import explode_batches
 from scorelens.operators.scoring import predict_batch_column, score_batches_in_pandas
 from scorelens.plans import testdata
 from scorelens.plans.evaluate import grid_accuracy
 from scorelens.plans.prepare_queries import CONSTANT_BATCH, TRAIN_PCT, bucket_sql
 from scorelens.plans.registry import query, table
+from scorelens.session import scratch_path
 
 
 def predictions(spark, d):
@@ -291,3 +292,51 @@ def consistency_detail(spark, d):
     of environments times the distinct rounded values, not by the rows."""
     return metrics.consistency_sets(testdata.benchmark_rows(spark, d), "model", "env", "balanced_accuracy",
                                     key_name="model_name")
+
+
+# Training by epochs: fixed values of the registered run.
+EPOCHS, RATE, EPOCH_TRAIN_PCT = 4, 8.0, 70
+
+
+def epochs_sql() -> str:
+    """The same epochs as a chain of tables: scores with weights w0, w1, ..., and a step between each and the next."""
+    parts = [f"""
+WITH e AS (SELECT vec_id, label, {bucket_sql('vec_id')} < {EPOCH_TRAIN_PCT} AS train, embedding FROM embeddings),
+x AS (SELECT vec_id, label, train, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM e
+      UNION ALL SELECT vec_id, label, train, 0, 1.0 FROM e),
+w0 AS (SELECT cls, pos, 0.0::DOUBLE AS w FROM (SELECT DISTINCT label AS cls FROM e WHERE train), (SELECT DISTINCT pos FROM x))"""]
+    for k in range(EPOCHS + 1):
+        parts.append(f"""
+z{k} AS (SELECT vec_id, label, train, cls, sum(v * w) AS z FROM x JOIN w{k} USING (pos) GROUP BY vec_id, label, train, cls),
+n{k} AS (SELECT *, max(z) OVER r + ln(sum(exp(z)) OVER r / exp(max(z) OVER r)) AS norm FROM z{k} WINDOW r AS (PARTITION BY vec_id))""")
+        if k < EPOCHS:
+            parts.append(f"""
+w{k + 1} AS (SELECT w.cls, w.pos, w.w - {RATE}::DOUBLE * g.g / (SELECT count(*) FROM e WHERE train) AS w FROM w{k} w JOIN
+       (SELECT n.cls, x.pos, sum((exp(z - norm) - CAST(n.label = n.cls AS DOUBLE)) * x.v) AS g FROM n{k} n JOIN x USING (vec_id) WHERE n.train GROUP BY n.cls, x.pos) g
+       ON g.cls = w.cls AND g.pos = w.pos)""")
+    runs = []
+    for k in range(1, EPOCHS + 1):
+        parts.append(f"""
+p{k} AS (SELECT label, cls AS pred FROM n{k} WHERE NOT train QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(z, 9) DESC, cls) = 1),
+m{k} AS (SELECT t.cls, t.support, t.tp / CAST(t.support AS DOUBLE) AS rc, coalesce(t.tp / nullif(CAST(q.predicted AS DOUBLE), 0), 0.0) AS pr FROM
+  (SELECT label AS cls, count(*) AS support, sum(CAST(label = pred AS INTEGER)) AS tp FROM p{k} GROUP BY label) t
+  LEFT JOIN (SELECT pred AS cls, count(*) AS predicted FROM p{k} GROUP BY pred) q USING (cls)),
+l{k} AS (SELECT {float(k)}::DOUBLE AS step, (SELECT avg(norm - z) FROM n{k - 1} WHERE train AND label = cls) AS loss,
+              (SELECT avg(norm - z) FROM n{k} WHERE NOT train AND label = cls) AS eval_loss,
+              (SELECT avg(CAST(label = pred AS DOUBLE)) FROM p{k}) AS eval_accuracy,
+              sum(support * pr) / sum(support) AS eval_precision, sum(support * rc) / sum(support) AS eval_recall,
+              sum(support * coalesce(2.0 * pr * rc / nullif(pr + rc, 0), 0.0)) / sum(support) AS eval_f1 FROM m{k})""")
+        runs.append(f"SELECT * FROM l{k}")
+    return ",".join(parts) + ", log AS (" + " UNION ALL ".join(runs) + """)
+SELECT step, round(loss, 6) AS loss, round(eval_loss, 6) AS eval_loss, round(eval_accuracy, 6) AS eval_accuracy, round(eval_precision, 6) AS eval_precision,
+       round(eval_recall, 6) AS eval_recall, round(eval_f1, 6) AS eval_f1, row_number() OVER (ORDER BY eval_accuracy DESC, eval_loss, step) = 1 AS best FROM log"""
+
+
+@query("train_softmax_epochs", epochs_sql())
+def train_softmax_epochs(spark, d):
+    """Full-batch epochs with the model and a log row stored after each; the best epoch is marked (seconds differ by run)."""
+    data = splits.hash_split(testdata.labelled_arrays(spark, d), "id", EPOCH_TRAIN_PCT)
+    log = softmax.train_epochs(data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test"), scratch_path(spark, "softmax"), EPOCHS, RATE)
+    best = softmax.best_epoch(log).select("step")
+    figures = ["loss", "eval_loss", "eval_accuracy", "eval_precision", "eval_recall", "eval_f1"]
+    return log.select("step", *[F.round(c, 6).alias(c) for c in figures], (F.col("step") == best.scalar()).alias("best"))

@@ -197,9 +197,9 @@ BENCH_MODELS = [
 BENCH_ENVS = {"A": "cpu", "N": "mac_cpu", "R": "cuda"}
 
 
-def inference_results(spark: SparkSession, d: str) -> DataFrame:
-    """Image benchmark result rows with real model names (model by part key)."""
-    li = table(spark, d, "lineitem", "l_partkey", "l_returnflag", "l_linenumber", "l_quantity", "l_tax",
+def inference_results(spark: SparkSession, d: str, keyed: bool = False) -> DataFrame:
+    """Image benchmark result rows with real model names (model by part key); ``keyed`` adds the row's key."""
+    li = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_returnflag", "l_linenumber", "l_quantity", "l_tax",
                "l_discount")
     names = F.array(*[F.lit(m) for m in BENCH_MODELS])
     env = F.coalesce(*[F.when(F.col("l_returnflag") == k, F.lit(v)) for k, v in BENCH_ENVS.items()])
@@ -211,6 +211,7 @@ def inference_results(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_tax").alias("average_batch_duration"),
         (F.lit(100.0) - F.col("l_discount") * F.lit(100.0)).alias("balanced_accuracy"),
         env.alias("env"),
+        *([F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("row_key")] if keyed else []),
     )
 
 

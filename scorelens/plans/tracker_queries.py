@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorelens.functions.times import epoch_seconds, epoch_to_timestamp, placeholder_zero
+from scorelens.operators.bootstrap import PER_BLOCK, draws_sql
 from scorelens.operators.joins import upsert_by_key
 from scorelens.plans import reports, testdata
 from scorelens.plans.registry import query, table
 
+# Fixed value: the plot library's number of bootstrap replicates.
+REPLICATES = 1000
+
 TRACKER_SQL = """
 WITH ev AS (
   SELECT l_orderkey AS batch_id, CAST(sum(l_quantity) AS BIGINT) AS batch_size,
@@ -74,6 +78,32 @@ def chart_line_mean_ci(spark, d):
     return reports.stream_line_chart(testdata.tracker(spark, d), "latency", digits=2)
 
 
+def bootstrap_sql(keys: list[str], values: dict[str, int], source: str, row: str, replicates: int) -> str:
+    """Bootstrap bands of ``values`` (name: digits) per ``keys``, from the same md5 draws."""
+    k = ", ".join(keys)
+    replicate_sums = ", ".join(f"sum(CASE WHEN {v} IS NOT NULL THEN w END) AS {v}_w, sum(w * {v}) AS {v}_s" for v in values)
+    bands = "\nUNION ALL ".join(f"""
+SELECT {k}, '{v}' AS metric, n_{v} AS n, round(mean_{v}, {d}) AS mean, round(low_{v}, {d}) AS ci_low, round(high_{v}, {d}) AS ci_high
+FROM plain JOIN band USING ({k}) WHERE n_{v} > 0""" for v, d in values.items())
+    ends = ", ".join(f"quantile_cont({v}_s / {v}_w, 0.025) FILTER (WHERE {v}_w > 0) AS low_{v}, quantile_cont({v}_s / {v}_w, 0.975) FILTER (WHERE {v}_w > 0) AS high_{v}"
+                     for v in values)
+    return f"""
+, src AS (SELECT {k}, {', '.join(values)}, CAST({row} AS VARCHAR) AS row_key FROM {source}),
+drawn AS (SELECT *, {draws_sql("md5(':' || row_key || ':' || block)")} AS ws FROM src, range({-(-replicates // PER_BLOCK)}) t(block)),
+weighted AS (SELECT {k}, {', '.join(values)}, block * {PER_BLOCK} + i AS replicate, CAST(ws[i + 1] AS DOUBLE) AS w FROM drawn, range({PER_BLOCK}) u(i)),
+sums AS (SELECT {k}, replicate, {replicate_sums} FROM weighted WHERE replicate < {replicates} GROUP BY {k}, replicate),
+band AS (SELECT {k}, {ends} FROM sums GROUP BY {k}),
+plain AS (SELECT {k}, {', '.join(f'count({v}) AS n_{v}, avg({v}) AS mean_{v}' for v in values)} FROM src GROUP BY {k})
+{bands}"""
+
+
+@query("chart_line_bootstrap", tracker_sql(12) + bootstrap_sql(
+    ["images", "model", "env"], {"latency": 3, "throughput": 9}, "(SELECT *, batch_size AS images FROM metrics WHERE completed)", "batch_id", REPLICATES))
+def chart_line_bootstrap(spark, d):
+    """Latency and throughput lines with the plot's kind of band: percentiles of bootstrapped means."""
+    return reports.stream_line_bootstrap(testdata.tracker(spark, d), REPLICATES)
+
+
 @query("cast_epoch_timestamp", tracker_sql() + """
 SELECT batch_id, make_timestamp(CAST(round(triggered * 1e6) AS BIGINT)) AS triggered_time,
        make_timestamp(CAST(round(start * 1e6) AS BIGINT)) AS start_time

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from scorelens.operators import centroid, metrics, splits
+from scorelens.operators.term_vectors import predict_sparse, train_sparse_centroids
 from scorelens.plans import evaluate, testdata
 from scorelens.plans.prepare_queries import TRAIN_PCT, TRAIN_PCT_TEXT
 from scorelens.plans.workflow_queries import IMAGE_BATCH_SIZES, TEXT_BATCH_SIZES
@@ -60,19 +61,20 @@ def test_text_grid_and_batches(spark):
     n_test = prepared.filter(F.col("split") == "test").count()
     grid = E.queries()["evaluate_texts_grid"](spark, SF).collect()
     assert sorted(r["batch_size"] for r in grid) == TEXT_BATCH_SIZES
+    feats = evaluate.text_features(prepared)
+    model = train_sparse_centroids(feats.filter(F.col("split") == "train"))
+    direct = metrics.overall_accuracy(predict_sparse(feats.filter(F.col("split") == "test"), model)).first()[0]
+    timed = {r["batch_size"]: r for r in evaluate.evaluate_texts(prepared, TEXT_BATCH_SIZES).collect()}
     for r in grid:
-        assert r["total_texts"] == n_test and 0.0 <= r["accuracy"] <= 1.0
+        assert r["total_texts"] == n_test and abs(r["accuracy"] - timed[r["batch_size"]]["accuracy"]) < 1e-9
+        assert timed[r["batch_size"]]["duration"] >= 0 and timed[r["batch_size"]]["average_batch_duration"] >= 0
         if r["batch_size"] == 1:  # batches of one: mean of batch means = row accuracy
-            feats = prepared.select(F.col("doc_id").alias("id"), "label", "split",
-                                    evaluate.hashed_bag_of_words("content").alias("data"))
-            model = centroid.train_centroids(feats.filter(F.col("split") == "train"))
-            test = centroid.predict_centroid(feats.filter(F.col("split") == "test"), model)
-            assert abs(r["accuracy"] - round(metrics.overall_accuracy(test).first()[0], 5)) < 1e-9
+            assert abs(r["accuracy"] - direct) < 1e-9
     batches = E.queries()["score_text_batches"](spark, SF)
     assert batches.agg(F.sum("n")).first()[0] == testdata.labelled_text(spark, SF).count()
 
 
 def test_text_train_eval_metrics_in_range(spark):
-    r = E.queries()["text_train_eval"](spark, SF).first()
+    r = E.queries()["text_train_logistic"](spark, SF).first()
     for k in ("accuracy", "precision", "recall", "f1"):
         assert 0.0 <= r[k] <= 1.0
