@@ -5,7 +5,7 @@ Every writer is a distributed DataFrame write (no pandas on the driver).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelens.sources.files import CSV_TEXT_OPTIONS
@@ -21,25 +21,20 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def write_json_array_files(df: DataFrame, path: str, file_col: str, chunk_col: str | None = None,
-                           order: list[str] | None = None, hidden: list[str] | None = None,
+def write_json_array_files(df: DataFrame, path: str, file_col: str, order: list[str], hidden: list[str] | None = None,
                            mode: str = "errorifexists") -> None:
-    """Write each value of ``file_col`` as JSON-array text under ``file_col=<v>/``.
+    """Write the rows of each value of ``file_col`` as one JSON array in one file under ``file_col=<v>/``.
 
-    Rows of one (file, chunk) are packed into one JSON array (one line); the chunk
-    column bounds how many records one array (one task's group) may hold. The
-    default mode refuses to overwrite, like an exclusive file create. Records
-    are ordered by ``order`` inside an array; ``hidden`` columns are not written.
+    The array is streamed out record by record in the order of ``order``: its first record brings the opening bracket, its last the
+    closing one, and the writer separates records by a blank, so a file of any size is one line and no task holds more than a
+    record. The default mode refuses to overwrite, like an exclusive file create. ``hidden`` columns are not written.
     """
-    payload = [c for c in df.columns if c not in (file_col, chunk_col, *(hidden or []))]
-    record = F.struct(*[F.col(c) for c in payload])
-    keys = [file_col] + ([chunk_col] if chunk_col else [])
-    if order:
-        packed = F.array_sort(F.collect_list(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
-                                                      record.alias("_r"))))
-        arrays = df.groupBy(*keys).agg(F.transform(packed, lambda x: x["_r"]).alias("_a"))
-    else:
-        arrays = df.groupBy(*keys).agg(F.collect_list(record).alias("_a"))
-    # All chunks of a file go to one task, in order: one file per value at any size.
-    lines = arrays.repartition(file_col).sortWithinPartitions(*keys)
-    lines.select(file_col, F.to_json("_a").alias("value")).write.mode(mode).partitionBy(file_col).text(path)
+    payload = [c for c in df.columns if c not in (file_col, *(hidden or []))]
+    in_file = Window.partitionBy(file_col).orderBy(*order)
+    text = F.to_json(F.struct(*[F.col(c) for c in payload]))
+    ends = df.select(file_col, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], text.alias("_t"),
+                     F.lag(F.lit(1)).over(in_file).isNull().alias("_first"), F.lead(F.lit(1)).over(in_file).isNull().alias("_last"))
+    part = F.concat(F.when(F.col("_first"), "[").otherwise(","), "_t", F.when(F.col("_last"), "]").otherwise(""))
+    # All records of a file go to one task, in order: one file per value at any size.
+    lines = ends.repartition(file_col).sortWithinPartitions(file_col, *[f"_o{i}" for i in range(len(order))])
+    lines.select(file_col, part.alias("value")).write.mode(mode).option("lineSep", " ").partitionBy(file_col).text(path)
