@@ -60,6 +60,13 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
 SLICE_BYTES = 4_000_000
 
 
+def sliced(texts: pa.Array) -> Iterator[list]:
+    """A column's values as Python lists, a bounded number of bytes at a time."""
+    step = max(1, int(len(texts) * SLICE_BYTES / max(texts.nbytes, SLICE_BYTES)))
+    for start in range(0, len(texts), step):
+        yield texts.slice(start, step).to_pylist()
+
+
 def crc32_mod(id_col: Column, n: int) -> Column:
     """crc32 of an id written as text, modulo ``n``; null ids give null."""
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(n)

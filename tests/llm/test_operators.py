@@ -216,6 +216,75 @@ def test_quality(spark, docs, none, texts):
     assert quality.judge(none, labels).count() == 0 and quality.judge(docs, labels.limit(0)).count() == len(rows)
 
 
+def brute_forest(rows, trees, sample, seed):
+    """Average path lengths by plain recursion over the same random draws."""
+    rng, total = np.random.default_rng(seed), [0.0] * len(rows)
+    size = min(sample, len(rows))
+    levels = max(1, math.ceil(math.log2(max(size, 2))))
+    usual = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+
+    def grow(part, level):
+        ranges = np.array([max(c) - min(c) for c in zip(*part)]) if part else np.zeros(1)
+        if level == levels or ranges.sum() == 0:
+            return level + usual(len(part))
+        k = int(rng.choice(len(ranges), p=ranges / ranges.sum()))
+        cut = rng.uniform(min(r[k] for r in part), max(r[k] for r in part))
+        return k, cut, grow([r for r in part if r[k] < cut], level + 1), grow([r for r in part if r[k] >= cut], level + 1)
+
+    for _ in range(trees):
+        order = rng.permutation(len(rows))[:size]
+        tree = grow([rows[i] for i in order], 0)
+        for i, row in enumerate(rows):
+            node = tree
+            while isinstance(node, tuple):
+                node = node[2] if row[node[0]] < node[1] else node[3]
+            total[i] += node
+    return [t / trees for t in total]
+
+
+def test_verdicts_equal_a_brute_force_forest(spark):
+    rng = random.Random(8)
+    texts = {k: "\n".join(sentence(rng, rng.randint(6, 30)) for _ in range(rng.randint(2, 5))) for k in range(120)}
+    for k in range(100, 110):
+        texts[k] = " ".join(w.upper() + "!!" if rng.random() < 0.6 else "#" for w in texts[k].split())
+    for k in range(110, 120):
+        texts[k] = " ".join(x for w in texts[k].split() for x in (w, w))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 100)) for k in range(0, 120, 2)], "doc_id long, quality int")
+    figures = {k: quality.rule_statistics(t) for k, t in texts.items()}
+    base = {k for k, f in figures.items() if f[0] < 20 or 100 * f[4] > 30 * f[0]}
+    rows = sorted((f[0], *f[5:]) for k, f in figures.items() if k not in base)
+    good = [(f[0], *f[5:]) for k, f in figures.items() if k not in base and k < 100 and k % 2 == 0]
+    verdicts = []
+    for seed in (7, 8):
+        got = {r["id"]: r for r in quality.judge(docs, labels, trees=20, sample=64, max_good_loss=0.05, seed=seed).collect()}
+        centre = np.median([g[1:] for g in good], axis=0)
+        spread = np.maximum(np.quantile(np.abs(np.array([g[1:] for g in good]) - centre), 0.99, axis=0), 1 / np.median([g[0] for g in good]))
+        standard = lambda f: tuple((np.array(f) - centre) / spread)
+        depth = dict(zip(map(standard, (r[1:] for r in rows)), brute_forest([standard(r[1:]) for r in rows], 20, 64, seed)))
+        own = {k: depth[standard(f[5:])] for k, f in figures.items() if k not in base}
+        kind = {q: sorted(own[k] for k in own if k % 2 == 0 and (k < 100) == q) for q in (True, False)}
+        most = kind[True][int(0.05 * len(kind[True]))]
+        cuts = [d for d in kind[True] if d <= most]
+        cut = max(cuts, key=lambda c: (sum(b < c for b in kind[False]), -c))
+        assert all(abs(got[k]["path_length"] - own[k]) < 1e-9 for k in own)
+        assert {k for k, r in got.items() if r["kept"]} == {k for k in own if own[k] >= cut}
+        verdicts.append({k for k, r in got.items() if r["kept"]})
+        missed = [k for k in range(101, 120, 2) if got[k]["kept"]]
+        lost = [k for k in range(1, 100, 2) if k not in base and not got[k]["kept"]]
+        assert len(missed) <= 2 and len(lost) <= 5  # held-out rows
+    assert set(quality.FEATURES) <= set(quality.statistics(docs).columns)
+
+
+def test_quality_of_a_long_text_and_clashing_columns(spark):
+    text = "\n".join(sentence(random.Random(k), 12) + f" {k}" for k in range(20_000))
+    docs = spark.createDataFrame([(1, text, 2, "x", True), (2, None, 3, "y", False)], "doc_id long, text string, n_words int, path_length string, kept boolean")
+    rows = {r["id"]: r for r in quality.judge(docs, None).collect()}
+    assert rows[1]["n_words"] == len(words(text)) and rows[1]["kept"] and rows[2]["base_failed"] and not rows[2]["kept"]
+    left = quality.keep_good(docs, None).collect()
+    assert [(r["doc_id"], r["n_words"], r["path_length"], r["kept"]) for r in left] == [(1, 2, "x", True)]
+
+
 def test_path_lengths_isolate_outliers():
     rng = np.random.default_rng(0)
     rows = np.concatenate([rng.normal(size=(500, 2)), [[9, 9]]])
