@@ -11,6 +11,10 @@ only if what they hold parses:
 - ``jwt``: header.payload.signature (or the five parts of an encrypted token) with a JSON header naming
   an algorithm.
 
+Coded characters are gathered and decoded once a chain of lines (at each of the four alignments that occur), and a candidate
+inside the chain is parsed in place, its declared length checked against what is left; so time is linear in the length of a text, whatever
+its lines look like. A key has at most ``MAX_ITEMS`` top-level fields.
+
 Defined results: null text counts as empty and has no findings; repeated rows come back as
 given; other columns are ignored; an empty table gives no rows. Offsets are code points, end exclusive.
 """
@@ -19,14 +23,15 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
-import math
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelens.llm.common import id_text, map_batches
+from scorelens.llm.common import id_text, map_batches, sliced
 
 #: Kinds in their order at equal starts. The first three are the base kinds.
 KINDS = ("assign", "access", "hex", "der", "ssh", "jwt")
@@ -45,11 +50,14 @@ _SSH_MAGIC = b"openssh-key-v1\0"
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 
 
+MAX_ITEMS = 64
+
+
 def der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end) of the items that fill data[start:end] exactly, or None."""
+    """(tag, start, end) of the items that fill data[start:end] exactly, or None; also None for more than MAX_ITEMS."""
     items = []
     while start < end:
-        if start + 2 > end:
+        if start + 2 > end or len(items) == MAX_ITEMS:
             return None
         tag, length, at = data[start], data[start + 1], start + 2
         if length & 0x80:
@@ -64,19 +72,19 @@ def der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
     return items
 
 
-def der_length(data: bytes) -> int | None:
-    """Length in bytes of the SEQUENCE at the start of ``data``, header included."""
-    if len(data) < 6 or data[0] != SEQUENCE:
+def der_length(data: bytes, at: int = 0) -> int | None:
+    """Length in bytes of the SEQUENCE at ``at``, header included."""
+    if len(data) < at + 6 or data[at] != SEQUENCE:
         return None
-    if data[1] < 0x80:
-        return 2 + data[1]
-    n = data[1] & 0x7F
-    return 2 + n + int.from_bytes(data[2:2 + n], "big") if 1 <= n <= 4 else None
+    if data[at + 1] < 0x80:
+        return 2 + data[at + 1]
+    n = data[at + 1] & 0x7F
+    return 2 + n + int.from_bytes(data[at + 2:at + 2 + n], "big") if 1 <= n <= 4 else None
 
 
-def is_private_key(data: bytes) -> bool:
-    """True if ``data`` is one ASN.1 private key, all nested lengths in agreement."""
-    outer = der_items(data, 0, len(data))
+def is_private_key(data: bytes, start: int = 0, end: int | None = None) -> bool:
+    """True if data[start:end] is one ASN.1 private key, all nested lengths in agreement."""
+    outer = der_items(data, start, len(data) if end is None else end)
     if outer is None or len(outer) != 1 or outer[0][0] != SEQUENCE:
         return False
     items = der_items(data, *outer[0][1:])
@@ -99,11 +107,11 @@ def is_private_key(data: bytes) -> bool:
     return set(tags[:6]) == {INTEGER} and (len(items) == 6 or len(items) >= 9 and set(tags[:9]) == {INTEGER})  # DSA, RSA
 
 
-def ssh_key_length(data: bytes) -> int | None:
-    """Length of the OpenSSH private key at the start of ``data``, if all its fields lie inside."""
-    if not data.startswith(_SSH_MAGIC):
+def ssh_key_length(data: bytes, start: int = 0) -> int | None:
+    """Length of the OpenSSH private key at ``start``, if all its fields lie inside ``data``."""
+    if not data.startswith(_SSH_MAGIC, start):
         return None
-    at = len(_SSH_MAGIC)
+    at = start + len(_SSH_MAGIC)
 
     def skip(at: int) -> int | None:
         if at is None or at + 4 > len(data):
@@ -120,7 +128,7 @@ def ssh_key_length(data: bytes) -> int | None:
         return None
     for _ in range(keys + 1):  # public keys, private part
         at = skip(at)
-    return at
+    return None if at is None else at - start
 
 
 def _b64(chars: str) -> bytes:
@@ -132,70 +140,96 @@ def _b64(chars: str) -> bytes:
         return b""
 
 
-def _key_in(data: bytes) -> tuple[str, int] | None:
-    """Kind and length of the private key at the start of ``data``."""
-    n = der_length(data)
-    if n is not None and n <= len(data) and is_private_key(data[:n]):
+def _key_in(data: bytes, at: int) -> tuple[str, int] | None:
+    """Kind and length of the private key at ``at``."""
+    n = der_length(data, at)
+    if n is not None and at + n <= len(data) and is_private_key(data, at, at + n):
         return "der", n
-    n = ssh_key_length(data)
+    n = ssh_key_length(data, at)
     return ("ssh", n) if n is not None else None
 
 
-def _gathered(text: str, at: int, run: re.Pattern, need: float) -> str:
-    """The coded characters from ``at`` on, over line ends and indents, until there are ``need`` of them."""
-    parts, size = [], 0
-    while size < need and (m := run.match(text, at)):
-        parts.append(m.group(0))
-        size += len(parts[-1])
-        gap = _BREAK.match(text, m.end())
-        if not gap:
-            break
-        at = gap.end()
-    return "".join(parts)
+class _Chain:
+    """Runs of coded characters over line ends and indents, from ``start`` on, and what they decode to.
 
+    ``group`` characters stand for ``group * bits / 8`` bytes: 4 of base64 for 3, 2 of hex for 1.
+    """
 
-def _end(text: str, at: int, need: int) -> int:
-    """Where ``need`` coded characters from ``at`` end, line ends between them skipped."""
-    while need:
-        gap = _BREAK.match(text, at)
-        at = gap.end() if gap else at + 1
-        need -= not gap
-    while text[at:at + 1] == "=":
-        at += 1
-    return at
-
+    def __init__(self, text: str, start: int, run: re.Pattern, decode, group: int, size: int):
+        self.runs, self.before, parts, total, at = [], [], [], 0, start
+        while m := run.match(text, at):
+            self.runs.append(m.start())
+            self.before.append(total)
+            parts.append(m.group(0))
+            total += len(parts[-1])
+            self.end = m.end()
+            gap = _BREAK.match(text, self.end)
+            if not gap:
+                break
+            at = gap.end()
+        self.text, self.chars, self.decode, self.group, self.size, self.data, self.inner = text, "".join(parts), decode, group, size, {}, {}
 
-def _candidates(text: str):
-    at = 0
-    while m := _B64.search(text, at):
+    def offset(self, at: int) -> int | None:
+        """Coded characters before the text's place ``at``; None if it is not in a run."""
+        k = bisect.bisect_right(self.runs, at) - 1
+        if k < 0:
+            return None
+        end = self.before[k + 1] if k + 1 < len(self.runs) else len(self.chars)
+        n = self.before[k] + at - self.runs[k]
+        return n if n < end else None
+
+    def bytes_at(self, offset: int) -> tuple[bytes, int]:
+        """What the chain decodes to in the alignment of a coded offset, and the place of the offset in it."""
+        shift = offset % self.group
+        if shift not in self.data:
+            self.data[shift] = self.decode(self.chars[shift:])
+        return self.data[shift], (offset - shift) // self.group * self.size
+
+    def end_of(self, offset: int, n_bytes: int) -> int:
+        """Where in the text the key of ``n_bytes`` from a coded offset ends, padding included."""
+        last = offset + -(-n_bytes * self.group // self.size) - 1
+        k = bisect.bisect_right(self.before, last) - 1
+        at = self.runs[k] + last - self.before[k] + 1
+        while self.text[at:at + 1] == "=":
+            at += 1
+        return at
+
+    def keys_inside(self, offset: int) -> str | None:
+        """Kind of the first key in the texts that follow from a coded offset, which are decoded once more."""
+        data, place = self.bytes_at(offset)
+        shift = offset % self.group
+        if shift not in self.inner:
+            self.inner[shift] = sorted((s, k) for k, s, _ in _candidates(data.decode("latin-1")))
+        k = bisect.bisect_left(self.inner[shift], (place, ""))
+        return self.inner[shift][k][1] if k < len(self.inner[shift]) else None
+
+
+def _unhex(digits: str) -> bytes:
+    return bytes.fromhex(digits[:len(digits) // 2 * 2])
+
+
+def _in_chains(text: str, first: re.Pattern, run: re.Pattern, decode, group: int, size: int):
+    """(kind, start, end) of the keys at the places where ``first`` matches."""
+    at, chain = 0, None
+    while m := first.search(text, at):
         start, at = m.start(), m.end()  # without a key here the search goes on behind this line's run
-        head = _b64(m.group(0)[:16])
-        n = der_length(head)
-        if n is not None:
-            found = _key_in(_b64(_gathered(text, start, _B64_RUN, -(-n * 4 // 3))[:-(-n * 4 // 3)]))
-        elif head.startswith(b"openssh-key"):
-            found = _key_in(_b64(_gathered(text, start, _B64_RUN, math.inf)))
-        elif head.startswith(b"-----BEGIN "):  # a PEM text, encoded once more
-            chars = _gathered(text, start, _B64_RUN, math.inf)
-            inner = [k for k, _, _ in _candidates(_b64(chars).decode("latin-1"))]
-            if inner:
-                at = _end(text, start, len(chars))
-                yield inner[0], start, at
-            continue
-        else:
-            continue
-        if found:
-            at = _end(text, start, -(-found[1] * 4 // 3))
-            yield found[0], start, at
-    at = 0
-    while m := _HEX_ANY.search(text, at):
-        start, at = m.start(), m.end()
-        n = der_length(bytes.fromhex(m.group(0)[:12]))
-        digits = _gathered(text, start, _HEX_RUN, math.inf if n is None else 2 * n)
-        found = _key_in(bytes.fromhex(digits[:2 * n if n is not None else len(digits) // 2 * 2])) if n is None or len(digits) >= 2 * n else None
-        if found:
-            at = _end(text, start, 2 * found[1])
+        if chain is None or (offset := chain.offset(start)) is None:
+            chain, offset = _Chain(text, start, run, decode, group, size), 0
+        data, place = chain.bytes_at(offset)
+        if found := _key_in(data, place):
+            at = chain.end_of(offset, found[1])
             yield found[0], start, at
+        elif data.startswith(b"-----BEGIN ", place):  # a PEM text, encoded once more
+            if kind := chain.keys_inside(offset):
+                at = chain.end
+                while text[at:at + 1] == "=":
+                    at += 1
+                yield kind, start, at
+
+
+def _candidates(text: str):
+    yield from _in_chains(text, _B64, _B64_RUN, _b64, 4, 3)
+    yield from _in_chains(text, _HEX_ANY, _HEX_RUN, _unhex, 2, 1)
 
 
 def _is_token(parts: list[str]) -> bool:
@@ -264,8 +298,8 @@ def redacted(text: str, mark: str = "[SECRET]") -> str:
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``df`` with its secrets replaced; null texts stay null, all other columns and rows as they are."""
-    @F.pandas_udf("string")
+    @F.arrow_udf("string")
     def clean(texts):
-        return texts.map(lambda t: redacted(t, mark), na_action="ignore")
+        return pa.array([None if t is None else redacted(t, mark) for part in sliced(texts) for t in part], pa.string())
 
     return df.withColumn(text_col, clean(F.col(f"`{text_col}`")))

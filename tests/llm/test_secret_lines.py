@@ -50,3 +50,35 @@ def test_indented_pem_and_wrapped_hex():
     assert find_secrets(f"x {lines}\nend") == [("der", 2, 2 + len(lines))]
     assert ("der", 0, len(dump)) in find_secrets(dump)
     assert [x for x in find_secrets(dump[:60] + "\n" + dump[:-2]) if x[0] == "der"] == []
+
+
+def test_coded_characters_are_decoded_a_few_times_at_most(monkeypatch):
+    """Lines that each look like the start of a key, a PEM or an OpenSSH text, in one long chain: nothing is gathered again and again."""
+    import scorelens.llm.secret_scan as module
+    count = [0]
+    plain = base64.b64decode
+
+    def counted(chars, *more):
+        count[0] += len(chars)
+        return plain(chars, *more)
+    monkeypatch.setattr(module.base64, "b64decode", counted)
+    heads = [coded(b"\x30\x82\x30\x00\x02\x01\x00\x30" + bytes(40)), coded(b"-----BEGIN CERTIFICATE-----\nMII" + b"A" * 18), coded(b"openssh-key-v1\0" + b"\0" * 33)]
+    for k, head in enumerate([*heads, None]):
+        lines = [(head or heads[j % 3])[:64 - (j % 4)] for j in range(3000)]
+        text = "\n".join(lines)
+        count[0] = 0
+        assert find_secrets(text) == []
+        assert count[0] <= 5 * len(text) + 4 * len(text) * 3, k  # four alignments, and what certificates decode to once more
+    hidden = "\n".join(["M" + "I" * 63] * 500 + [coded(RSA)] + ["M" + "I" * 63] * 500)
+    assert spans(hidden, coded(RSA))[0] in find_secrets(hidden)
+
+
+def test_pem_coded_once_more():
+    pem = "-----BEGIN PRIVATE KEY-----\n" + coded(RSA) + "\n-----END PRIVATE KEY-----\n"
+    twice = coded(pem.encode())
+    lines = "\n".join(twice[k:k + 76] for k in range(0, len(twice), 76))
+    for text in (twice, lines, f"x: {lines}\nend here"):
+        got = find_secrets(text)
+        assert [k for k, _, _ in got] == ["der"] and got[0][1] == text.index(twice[:20])
+    public = coded(f"-----BEGIN PUBLIC KEY-----\n{coded(PUBLIC)}\n-----END".encode())
+    assert find_secrets(public) == []
