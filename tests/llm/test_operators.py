@@ -386,6 +386,34 @@ def test_licenses(spark, none, texts):
     assert license_scan.scan(none).count() == 0
 
 
+def wrapped(text, width, mark):
+    lines, line = [], ""
+    for w in text.split():
+        if len(line) + len(w) >= width:
+            lines, line = [*lines, line], ""
+        line = f"{line} {w}".strip()
+    return "\n".join(mark + x for x in [*lines, line])
+
+
+def test_wrapped_notices_and_identifiers_name_one_family(spark, texts):
+    notice = {}
+    for family, text in license_scan.NOTICES:
+        notice.setdefault(family, text)
+    rows, want = [(k, t) for k, t in texts.items()], {}
+    for n, family in enumerate(("agpl", "gpl", "lgpl", "apache", "mit", "bsd", "isc", "mpl")):
+        for m, mark in enumerate(("", "# ", " * ")):
+            want[300 + 10 * n + m] = [family]
+            rows.append((300 + 10 * n + m, f"{texts[n]}\n\n{wrapped(notice[family], 60, mark)}\n\n{texts[n + 8]}"))
+    for n, (family, names) in enumerate(license_scan.IDENTIFIERS.items()):
+        want[500 + n] = [family]
+        rows.append((500 + n, f"// SPDX-License-Identifier: {names[-1]}\nriver stone of the quiet lamp"))
+    rows += [(600, "This program is free software: you can redistribute it and/or modify\nriver lamp"), (601, notice["gpl"].replace("version 3", "version 2"))]
+    want |= {600: [], 601: ["gpl"]}  # a part of a notice names nothing
+    got = {r["id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k]["families"] for k in want} == want
+    assert got[600]["n_unknown"] >= 1 and not any(got[k]["families"] for k in texts)
+
+
 # --- 8 SentencePiece
 
 def test_pieces(docs, none, texts):
