@@ -55,10 +55,28 @@ class Codec:
                 lowest = min(lowest, pieces.get_score(k))
         self.automaton.make_automaton()
         self.penalty = lowest - UNKNOWN_PENALTY
-        self.known: dict[str, tuple[bytes, float, int]] = {}
+        self.alphabet = {text for text in self.automaton.keys() if len(text) == 1}
+        self.known: dict[str, tuple[bytes, float, int, bytes]] = {}
+
+    def segment(self, unit: str) -> tuple[bytes, float, int, bytes]:
+        """(ids as 4-byte numbers, score, characters spelt as bytes, what the ids decode to) of one unit, in one pass."""
+        ids, score, spelt = self._covered(unit) if self.alphabet.issuperset(unit) else self._spelt(unit)
+        return array("I", ids).tobytes(), score, spelt, b"".join(map(self.spelling.__getitem__, ids))
+
+    def _covered(self, unit: str) -> tuple[list[int], float, int]:
+        """A unit whose every character is a piece: each position is reached, none is spelt."""
+        best, start, piece = [0.0] + [-np.inf] * len(unit), [0] * (len(unit) + 1), [0] * (len(unit) + 1)
+        for last, (length, score, k) in self.automaton.iter(unit):
+            reach = best[last + 1 - length] + score
+            if reach > best[last + 1]:
+                best[last + 1], start[last + 1], piece[last + 1] = reach, last + 1 - length, k
+        ids, at = [], len(unit)
+        while at:
+            ids.append(piece[at])
+            at = start[at]
+        return ids[::-1], best[-1], 0
 
-    def segment(self, unit: str) -> tuple[bytes, float, int]:
-        """(ids as 4-byte numbers, score, characters spelt as bytes) of one unit, in one pass."""
+    def _spelt(self, unit: str) -> tuple[list[int], float, int]:
         best, back = [0.0] + [-np.inf] * len(unit), [None] * (len(unit) + 1)
         done = 0  # positions up to here have their final score
 
@@ -89,24 +107,33 @@ class Codec:
             else:
                 ids.append(piece)
             at = start
-        return array("I", reversed(ids)).tobytes(), best[-1], spelt
+        return ids[::-1], best[-1], spelt
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, float, int]]:
+        """(ids, score, characters spelt) of each text."""
+        return [coded[:3] for coded in self.encode_and_spell(texts)]
+
+    def encode_and_spell(self, texts: list[str]) -> list[tuple[np.ndarray, float, int, bytes]]:
+        """The same with what the ids decode to, unit by unit."""
         marked = [(MARK + t.replace(" ", MARK)) if t else "" for t in texts]
         units = [([t] if t else []) if self.whole else _UNITS.findall(t) for t in marked]
         for unit in set(chain.from_iterable(units)) - self.known.keys():
             self.known[unit] = self.segment(unit)
         out = []
         for own in units:
-            parts = [self.known[u] for u in own]
-            out.append((np.frombuffer(b"".join([p[0] for p in parts]), dtype="<u4"), sum([p[1] for p in parts]), sum([p[2] for p in parts])))
+            ids, scores, spelt, spelling = zip(*map(self.known.__getitem__, own)) if own else ((), (), (), ())
+            out.append((np.frombuffer(b"".join(ids), dtype="<u4"), sum(scores), sum(spelt), b"".join(spelling)))
         if len(self.known) > CACHED_UNITS:  # go on with the units of these texts
             self.known = {unit: self.known[unit] for unit in set(chain.from_iterable(units))}
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        data = b"".join(map(self.spelling.__getitem__, ids.tolist()))
-        return data.removeprefix(b" ").decode(errors="replace")
+        return self.read(b"".join(map(self.spelling.__getitem__, ids.tolist())))
+
+    @staticmethod
+    def read(spelling: bytes) -> str:
+        """The text that joined spellings stand for."""
+        return spelling.removeprefix(b" ").decode(errors="replace")
 
 
 @lru_cache(maxsize=1)
@@ -139,11 +166,11 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, model: str | None, keep_
         own = codec(content)
 
         def apply(c):
-            coded = own.encode(c["text"])
-            return {"id": c["id"], "n_pieces": [len(i) for i, _, _ in coded], "n_spelt": [n for _, _, n in coded],
-                    "score": [float(s) for _, s, _ in coded], "ids_crc32": [zlib.crc32(i.tobytes()) for i, _, _ in coded],
-                    "round_trip": [None if keep_ids else own.decode(i) == t for (i, _, _), t in zip(coded, c["text"])],
-                    "ids": [i.astype(np.int32) for i, _, _ in coded] if keep_ids else None}
+            coded = own.encode_and_spell(c["text"])
+            ids, scores, spelt, spelling = zip(*coded) if coded else ((), (), (), ())
+            return {"id": c["id"], "n_pieces": list(map(len, ids)), "n_spelt": spelt, "score": list(map(float, scores)), "ids_crc32": [zlib.crc32(i.tobytes()) for i in ids],
+                    "round_trip": [None if keep_ids else own.read(b) == t for b, t in zip(spelling, c["text"])],
+                    "ids": [i.astype(np.int32) for i in ids] if keep_ids else None}
         return apply
 
     schema = (f"id {rows.schema['id'].dataType.simpleString()}, n_pieces long, n_spelt long, score double, ids_crc32 long, round_trip boolean")
