@@ -8,6 +8,9 @@ No piece of the vocabulary has a space after another character, so a best segmen
 sides of such a place: units cut there are segmented apart, and each distinct one once (a bounded
 memory in each worker). A vocabulary with such pieces is segmented text by text.
 
+The scores are taken as they are: with a unigram model this is the public segmentation; with a BPE model, whose scores are
+merge ranks, it is the best sum of ranks, not BPE's merges, and the ids differ from that library's.
+
 Defined results: null text counts as empty; an empty text has no pieces; the space mark U+2581 in a text reads as a
 space, as in the public format, and does not come back as itself (``round_trip`` false); repeated rows
 come back as given; an empty table gives no rows; other columns are ignored.
