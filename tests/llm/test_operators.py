@@ -360,16 +360,72 @@ def test_lm(docs, none, texts):
     assert lm.score(none, lm.train(none, learn)).count() == 0
 
 
-def test_mixing_is_a_code_and_learns():
-    pairs = np.zeros((256, 256), np.int64)
-    code = lm.Code(pairs)
-    model = lm.Model(code, [np.zeros(n, np.int16) for n in lm.table_sizes()])
-    nats, sizes = model.cost([[b"abc", b"de"], []])
-    assert sizes.tolist() == [7, 1] and nats.tolist() == pytest.approx([7 * 8 * math.log(2), 8 * math.log(2)])
-    alone = model.cost([[b"abc"]])[0][0]
-    assert model.cost([[b"x"] * 900, [b"abc"]])[0][1] == pytest.approx(alone)  # texts do not touch each other
+def fresh_model(words=(), table=12):
+    code = lm.Code(np.zeros((256, 256), np.int64), {**{w: 8 for w in words}, b"\n": 8}, 8, table)
+    return lm.Model(code, [np.zeros(n, np.int16) for n in lm.table_sizes(code, table)], table)
+
+
+def test_mixing_is_a_code(monkeypatch):
+    monkeypatch.setattr(lm, "FIX_RATE", 0)
+    model = fresh_model([b"ab", b"cd"])
+    code = model.code
+    assert {w: code.sizes[lm.WORDS + k] for w, k in code.index.items()} == {b"\n": 2, b"ab": 2, b"cd": 2}
+    model.fixes[:] = 0  # every decision is even: a known word takes 2 bits, another 2 and 8 a byte
+    nats = model.cost([[b"ab", b"xyz"], [], [b"cd"] * 700 + [b"q" * 700]])
+    assert nats.tolist() == pytest.approx([n * math.log(2) for n in (2 + 2 + 4 * 8 + 2, 2, 1400 + 2 + 701 * 8 + 2)], rel=1e-4)
     for before in (0, 10, 97):  # the code of each context is complete
         assert sum(2.0 ** -code.sizes[before << 8 | s] for s in range(256)) == pytest.approx(1)
+    assert sum(2.0 ** -code.sizes[lm.WORDS:]) == pytest.approx(1)
+
+
+def test_mixing_keeps_texts_apart_and_refines(monkeypatch):
+    model = fresh_model([b"ab", b"cd"])
+    alone = model.cost([[b"ab", b"zz"]])[0]
+    assert model.cost([[b"cd"] * 900, [b"ab", b"zz"]])[1] == pytest.approx(alone, rel=1e-5)
+    model.tables[0][lm.WORDS:] = 512  # sure of ones
+    texts = [[b"ab", b"cd"] * 4000]
+    refined = model.cost(texts)[0]
+    monkeypatch.setattr(lm, "RATE", 0)
+    monkeypatch.setattr(lm, "FIX_RATE", 0)
+    assert refined < model.cost(texts)[0]
+
+
+def test_steps_of_symbols():
+    steps = lm.steps_of(np.arange(5000))
+    assert (np.diff(steps) >= 0).all() and np.diff(steps).max() == 1
+    assert [np.flatnonzero(steps == s).size for s in (0, 15, 16, 16 + 28)] == [16, 16, 64, 512]
+
+
+def test_word_contexts_by_hand():
+    """The places of symbols: escaped words push what follows by their bytes and a space."""
+    code = fresh_model([b"ab"]).code
+    keys, text, place, rows = lm.contexts(code, [[b"ab", b"xy", b"ab"], [b"ab"]])
+    order = np.lexsort([place, text])
+    assert place[order].tolist() == [*range(7), 0, 1] and rows.shape == (4, 9)
+    w, space, x, y = lm.WORDS, 32, ord("x"), ord("y")
+    ab = code.index[b"ab"]
+    assert keys[order].tolist() == [w + ab, w + lm.ESCAPE, space << 8 | x, x << 8 | y, y << 8 | space, w + ab, w + lm.CLOSE,
+                                    w + ab, w + lm.CLOSE]
+
+
+def test_fitted_weights_beat_the_start(spark):
+    """On texts of a rule (each word fixes the next) the score of unseen texts beats the unigram score."""
+    import random
+
+    rng, words_ = random.Random(5), [f"w{k}" for k in range(40)]
+    follows = {w: rng.sample(words_, 2) for w in words_}
+
+    def text():
+        out = [rng.choice(words_)]
+        for _ in range(60):
+            out.append(rng.choice(follows[out[-1]]))
+        return " ".join(out)
+
+    df = spark.createDataFrame([(k, text()) for k in range(600)], "doc_id long, text string")
+    trained = lm.train(df, F.col("doc_id") < 500)
+    assert not (trained.model.weights == lm.START_WEIGHT).all()
+    rows = lm.score(df.where("doc_id >= 500"), trained).collect()
+    assert len(rows) == 100 and all(r["score"] > 0.5 * r["base_score"] for r in rows)
 
 
 # --- 7 license scan
