@@ -21,15 +21,33 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write ``df`` to the cluster's shared folder and read it back.
 
     Cuts the lineage, so a lost executor never repeats what lies before, and a
-    table that is used several times is computed once.
+    table that is used several times is computed once. ``release``: the write's shuffle files
+    go when it ends, not when the driver's collector gets to them.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, str(release or before == "true").lower())
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Spark removes a query's shuffle files as soon as it has ended.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it while a column is called so (in either case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -41,7 +41,7 @@ def _shared(nodes: DataFrame, blocks: int, distance: int) -> DataFrame:
     keys = F.array(*[(F.col("fp").bitwiseAND(F.lit(m).cast("long"))).bitwiseXOR(F.lit(k * CHOICE).cast("long"))
                      for k, m in enumerate(masks(blocks, distance))])
     keyed = nodes.select("node", F.explode(keys).alias("key"))
-    return stored(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "buckets")
+    return stored(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "buckets", release=True)
 
 
 def buckets(nodes: DataFrame, distance: int = 3, limit: int = 2048) -> DataFrame:
