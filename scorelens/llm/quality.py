@@ -1,20 +1,20 @@
 """Quality rules: an isolation forest over rule statistics.
 
 ``statistics`` counts the rules' figures of each whole text: shares of words and lines, unbounded and as they are. They are
-standardised by what is usual: the median and the 99 % quantile of the distance from it, both among labelled good rows (without
-those, among the sampled rows), the quantile being one word of a usual text at least. A forest of random splits is grown from
-a bounded sample of all rows the base rule leaves; a split takes a figure with a probability in proportion to the range it still has,
+standardised by what is usual: the median and the 99 % quantile of the distance from it, both among all labelled good rows (without
+those, among all rows the base rule leaves), the quantile being one word of a usual text at least. A forest of random splits is grown from
+rows the base rule leaves, ``sample`` a tree, as an isolation forest is defined; a split takes a figure with a probability in proportion to the range it still has,
 so a figure that is rarely unusual counts when it is. Each document gets an average path length: the fewer splits isolate it, the
-more anomalous it is. The threshold alone decides, calibrated on labelled rows: of all cuts
+more anomalous it is. The threshold alone decides, calibrated on all labelled rows: of all cuts
 that lose at most ``max_good_loss`` of the good ones, the one that catches most bad ones.
 
-Bounds (fit only): ``trees * sample`` rows are expected to grow the forest, ``labelled`` rows to calibrate it, both chosen by
-a hash of the id (a share of the counted rows). They keep the fit on the driver small at every input size; all rows
-are scored.
+The figures of all texts are counted once and stored; medians, quantiles and the threshold are exact order statistics of
+all their rows, found by counts. The trees' rows, ``trees * sample`` as expected, are chosen by a hash of the id (a
+share of the counted rows), so what the driver grows stays small at every input size.
 
 Defined results: null text has no words and fails the base rule; without labelled good rows
 nothing is rejected beyond the base rule; without labelled bad rows the cut loses none of
-the sampled good ones, and rejects nothing if these are too few (under 1 / max_good_loss) to tell; label rows with nulls are ignored; an id labelled both ways counts as
+the good ones, and rejects nothing if these are too few (under 1 / max_good_loss) to tell; label rows with nulls are ignored; an id labelled both ways counts as
 good. Repeated rows come back as given; an empty table gives no rows; other columns are ignored.
 """
 
@@ -22,14 +22,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelens.llm.common import SPACES, id_text, map_batches, sliced
+from scorelens.llm.common import SPACES, id_text, map_batches, sliced, stored
+from scorelens.llm.ranks import order_statistics
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
-TREES, SAMPLE, LABELLED, MAX_GOOD_LOSS, SEED = 100, 256, 20_000, 0.002, 7
+TREES, SAMPLE, MAX_GOOD_LOSS, SEED = 100, 256, 0.002, 7
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Shares of the words: all capitals, two marks in a row, marks alone, symbols, equal to the one before; code points a word;
 #: shares of the lines that repeat one, and of the words that lie in repeated windows.
@@ -155,7 +156,7 @@ class IsolationForest:
 
 
 def calibrated(good: np.ndarray, bad: np.ndarray, max_good_loss: float) -> float:
-    """The path length below which rows are rejected; -inf rejects none."""
+    """The path length below which rows are rejected; -inf rejects none. ``threshold`` finds the same in tables of any size."""
     if not len(good):
         return -np.inf
     good = np.sort(good)
@@ -167,60 +168,85 @@ def calibrated(good: np.ndarray, bad: np.ndarray, max_good_loss: float) -> float
     return float(cuts[np.flatnonzero(caught == caught.max())[0]])
 
 
-def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", forest: IsolationForest | None = None) -> DataFrame:
-    """(id, COUNTS, FEATURES, path_length, base_failed) for each row; path_length is 0 without a forest."""
+def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, COUNTS, FEATURES, base_failed) for each row."""
     rows = id_text(df, id_col, text_col)
 
     def apply(c):
         figures = list(zip(*map(rule_statistics, c["text"]))) or [[]] * (len(COUNTS) + len(FEATURES))
-        features = np.array(figures[len(COUNTS):], dtype=float).T
-        return {"id": c["id"], **dict(zip(COUNTS + FEATURES, figures)),
-                "path_length": forest.depth(features) if forest else np.zeros(len(c["id"]))}
+        return {"id": c["id"], **dict(zip(COUNTS + FEATURES, figures))}
 
     schema = ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", *(f"{c} long" for c in COUNTS),
-                        *(f"{c} double" for c in (*FEATURES, "path_length"))])
+                        *(f"{c} double" for c in FEATURES)])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return map_batches(rows, lambda: apply, schema).withColumn("base_failed", failed)
 
 
-def fit(df: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES,
-        sample: int = SAMPLE, labelled: int = LABELLED, max_good_loss: float = MAX_GOOD_LOSS,
-        seed: int = SEED) -> tuple[IsolationForest | None, float]:
-    """The forest, grown from a sample of all rows that the base rule leaves, and its threshold from labelled ones.
+def path_length(forest: IsolationForest | None) -> Column:
+    """The path length of a row with FEATURES; 0 without a forest."""
+    @F.arrow_udf("double")
+    def depth(*columns):
+        return pa.array(forest.depth(np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1)), pa.float64())
+
+    return depth(*map(F.col, FEATURES)) if forest else F.lit(0.0)
 
-    A sample is the rows whose hashed id lies in the wanted share of all hashes: ids are counted first, then only
-    the sampled texts are read.
-    """
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11).cast("double") / float(1 << 53)
 
-    def sampled(keyed: DataFrame, texts: DataFrame, n: int, *more: str) -> list:
-        share = n / max(1, keyed.count())
-        chosen = statistics(texts.where(order < share), "id", "text").where(~F.col("base_failed"))
-        if more:
-            chosen = chosen.join(marks, "id")
-        columns = ["n_words", *FEATURES, *more]
-        return chosen.select(*columns).orderBy(*columns).limit(2 * n).collect()  # as many only if an id repeats very often
+def fit(figures: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", trees: int = TREES, sample: int = SAMPLE,
+        max_good_loss: float = MAX_GOOD_LOSS, seed: int = SEED) -> tuple[IsolationForest | None, float]:
+    """The forest, grown from ``sample`` rows a tree of those that the base rule leaves, and its threshold from all labelled ones.
 
-    array = lambda part: np.array([[r[f] for f in FEATURES] for r in part], dtype=float).reshape(-1, len(FEATURES))
-    grown_from, marked = sampled(rows, rows, trees * sample), []
+    ``figures``: the stored ``statistics`` of all rows.
+    """
+    left = figures.where(~F.col("base_failed")).select("id", "n_words", *FEATURES)
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11).cast("double") / float(1 << 53)
+    n, columns = trees * sample, ["n_words", *FEATURES]
+    chosen = left.where(order < n / max(1, figures.count())).select(*columns)
+    grown_from = chosen.orderBy(*columns).limit(2 * n).collect()  # as many only if an id repeats very often
     if not grown_from:
         return None, -np.inf
+    usual = marked = None
     if labels is not None:
         marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col("quality").cast("int").alias("good")).dropna().groupBy("id").agg(F.max("good").alias("good"))
-        marked = sampled(marks, rows, labelled, "good")
-    usual = [r for r in marked if r["good"] == 1]
-    forest = IsolationForest(array(grown_from), trees, sample, seed, *standard(array(usual or grown_from), [r["n_words"] for r in usual or grown_from]))
-    if labels is None:
+        marked = stored(left.join(marks, "id"), "quality_marked")
+        usual = marked.where("good = 1")
+    if usual is None or usual.isEmpty():
+        usual = left
+    rows = np.array([[r[f] for f in FEATURES] for r in grown_from], dtype=float).reshape(-1, len(FEATURES))
+    forest = IsolationForest(rows, trees, sample, seed, *standard(usual))
+    if marked is None:
         return forest, -np.inf
-    bad = array([r for r in marked if r["good"] != 1])
-    return forest, calibrated(forest.depth(array(usual)), forest.depth(bad), max_good_loss)
+    return forest, threshold(stored(marked.select("good", path_length(forest).alias("path_length")), "quality_paths"), max_good_loss)
 
 
-def standard(rows: np.ndarray, n_words: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def standard(usual: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """What is usual: the rows' median, and how far from it USUAL of them lie (one word of a usual text at least)."""
-    centre = np.median(rows, axis=0)
-    return centre, np.maximum(np.quantile(np.abs(rows - centre), USUAL, axis=0), 1.0 / max(1.0, float(np.median(n_words))))
+    n, names = usual.count(), [*FEATURES, "n_words"]
+
+    def ranked(columns: list[Column], low: int, high: int) -> np.ndarray:
+        """The values at two ranks, a row each."""
+        found = order_statistics(usual.select(F.posexplode(F.array(*columns)).alias("name", "value")), {k: [low, high] for k in range(len(columns))})
+        return np.array([[found[k, rank] for k in range(len(columns))] for rank in (low, high)])
+
+    middle = np.median(ranked([F.col(c).cast("double") for c in names], (n - 1) // 2, n // 2), axis=0)
+    centre, at = middle[:-1], (n - 1) * USUAL
+    low = int(at)
+    ends = ranked([F.abs(F.col(c) - F.lit(float(m))) for c, m in zip(FEATURES, centre)], low, min(low + 1, n - 1))
+    return centre, np.maximum(np.quantile(ends, at - low, axis=0), 1.0 / max(1.0, float(middle[-1])))
+
+
+def threshold(paths: DataFrame, max_good_loss: float) -> float:
+    """``calibrated`` of the path lengths of all labelled rows (good int, path_length)."""
+    good, bad = (paths.where(F.col("good") == 1).select(F.lit(0).alias("name"), F.col("path_length").alias("value")),
+                 paths.where(F.col("good") != 1).select(F.col("path_length").alias("value")))
+    n, least = good.agg(F.count("*"), F.min("value")).first()
+    if not n:
+        return -np.inf
+    if bad.isEmpty():  # below the least of n good rows 1 / (n + 1) of all good ones are expected
+        return float(least) if (n + 1) * max_good_loss >= 1 else -np.inf
+    rank = min(n - 1, int(max_good_loss * n))  # rows strictly below it: the loss allowed
+    most = order_statistics(good, {0: [rank]})[0, rank]
+    last = bad.where(F.col("value") < most).agg(F.max("value")).first()[0]  # the last bad row that any cut allowed catches
+    return float(least if last is None else good.where(F.col("value") > last).agg(F.min("value")).first()[0])
 
 
 def judge(df: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
@@ -228,14 +254,15 @@ def judge(df: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
 
     ``labels``: (id_col, quality 0 or 1), or None.
     """
-    forest, threshold = fit(df, labels, id_col, text_col, **bounds)
-    return statistics(df, id_col, text_col, forest).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("path_length") >= F.lit(float(threshold))))
+    figures = stored(statistics(df, id_col, text_col), "quality_figures")
+    forest, cut = fit(figures, labels, id_col, **bounds)
+    return (figures.select("id", *COUNTS, *FEATURES, path_length(forest).alias("path_length"), "base_failed")
+            .withColumn("kept", ~F.col("base_failed") & (F.col("path_length") >= F.lit(float(cut)))))
 
 
 def keep_good(df: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """The rows of ``df`` that ``judge`` keeps, whole."""
-    forest, threshold = fit(df, labels, id_col, text_col, **bounds)
+    forest, cut = fit(stored(statistics(df, id_col, text_col), "quality_figures"), labels, id_col, **bounds)
 
     @F.arrow_udf("boolean")
     def kept(texts):
@@ -243,7 +270,7 @@ def keep_good(df: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", t
         for part in sliced(texts):
             figures = np.array([rule_statistics(t or "") for t in part], dtype=float).reshape(-1, len(COUNTS) + len(FEATURES))
             failed = (figures[:, 0] < MIN_WORDS) | (100 * figures[:, COUNTS.index("n_repeat_words")] > MAX_REPEAT_PERCENT * figures[:, 0])
-            out.append(~failed & (forest.depth(figures[:, len(COUNTS):]) >= threshold if forest else True))
+            out.append(~failed & (forest.depth(figures[:, len(COUNTS):]) >= cut if forest else True))
         return pa.array(np.concatenate([*out, np.zeros(0, bool)]), pa.bool_())
 
     return df.where(kept(F.col(f"`{text_col}`")))
