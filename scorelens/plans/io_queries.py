@@ -50,7 +50,7 @@ def _trainer_state_files(spark, d) -> str:
     doc_key = F.concat_ws("/", F.col("run_id").cast("string"), F.col("segment").cast("string"))
     path = scratch_path(spark, "trainer-state")
     sinks.write_json_array_files(states.withColumn("file", md5_bucket(doc_key, n_files, "file")),
-                                 path, "file", order=["run_id", "segment"])
+                                 path, "file", order=["run_id", "segment"], compression="gzip")
     return path
 
 

@@ -17,7 +17,7 @@ Every mapping aggregates before joining, so the join inputs are one row per key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelens.functions.times import epoch_seconds
@@ -145,26 +145,27 @@ def trainer_log_entries(spark: SparkSession, d: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("run_id"), "l_partkey", "l_suppkey", *log_fields())
 
 
-def log_fields() -> list:
-    """The fifteen fields of a log entry, from a line item."""
-    train = F.col("l_returnflag") == "R"
+def log_fields(line: Column | None = None) -> list:
+    """The fifteen fields of a log entry, from a line item (the columns at hand, or a struct of them)."""
+    of = F.col if line is None else line.getField
+    train = of("l_returnflag") == "R"
     ev = ~train
     return [
-        F.col("l_tax").alias("loss"),
-        F.col("l_linenumber").cast("double").alias("step"),
-        F.when(ev, F.col("l_tax")).alias("eval_loss"),
-        F.when(ev, F.lit(1.0) - F.col("l_tax")).alias("eval_accuracy"),
-        F.when(ev, F.lit(1.0) - F.col("l_discount")).alias("eval_f1"),
-        F.when(ev, F.lit(1.0) - F.col("l_discount") * 0.5).alias("eval_precision"),
-        F.when(ev, F.lit(1.0) - F.col("l_tax") * 0.5).alias("eval_recall"),
-        F.when(ev, F.col("l_quantity")).alias("eval_runtime"),
-        F.when(ev, F.col("l_extendedprice")).alias("eval_samples_per_second"),
-        F.when(ev, F.col("l_discount")).alias("eval_steps_per_second"),
-        F.when(train, F.col("l_extendedprice") * 2.0).alias("total_flos"),
-        F.when(train, F.col("l_tax") * 0.5).alias("train_loss"),
-        F.when(train, F.col("l_quantity")).alias("train_runtime"),
-        F.when(train, F.col("l_extendedprice")).alias("train_samples_per_second"),
-        F.when(train, F.col("l_discount")).alias("train_steps_per_second"),
+        of("l_tax").alias("loss"),
+        of("l_linenumber").cast("double").alias("step"),
+        F.when(ev, of("l_tax")).alias("eval_loss"),
+        F.when(ev, F.lit(1.0) - of("l_tax")).alias("eval_accuracy"),
+        F.when(ev, F.lit(1.0) - of("l_discount")).alias("eval_f1"),
+        F.when(ev, F.lit(1.0) - of("l_discount") * 0.5).alias("eval_precision"),
+        F.when(ev, F.lit(1.0) - of("l_tax") * 0.5).alias("eval_recall"),
+        F.when(ev, of("l_quantity")).alias("eval_runtime"),
+        F.when(ev, of("l_extendedprice")).alias("eval_samples_per_second"),
+        F.when(ev, of("l_discount")).alias("eval_steps_per_second"),
+        F.when(train, of("l_extendedprice") * 2.0).alias("total_flos"),
+        F.when(train, of("l_tax") * 0.5).alias("train_loss"),
+        F.when(train, of("l_quantity")).alias("train_runtime"),
+        F.when(train, of("l_extendedprice")).alias("train_samples_per_second"),
+        F.when(train, of("l_discount")).alias("train_steps_per_second"),
     ]
 
 
@@ -233,9 +234,10 @@ def trainer_states(spark: SparkSession, d: str, segment: int = LOG_SEGMENT) -> D
                "l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
              "l_discount", "l_tax", "l_returnflag"]
-    numbered = with_row_number(li.select(*order, F.struct(*log_fields()).alias("log")), [F.col(c) for c in order])
-    docs = pack_segments(numbered.withColumnRenamed("l_orderkey", "run_id"), "run_id", "rn", F.col("log"),
-                         segment, "log_history")
+    # Lines travel as they are read; an entry's fields are made when its document is there.
+    numbered = with_row_number(li.select(*order), [F.col(c) for c in order])
+    docs = pack_segments(numbered.withColumnRenamed("l_orderkey", "run_id"), "run_id", "rn", F.struct(*order[1:]), segment, "lines")
+    docs = docs.select("run_id", "segment", "offset", F.transform("lines", lambda line: F.struct(*log_fields(line))).alias("log_history"))
     runs = trainer_runs(spark, d).select("run_id", "total_flos", "train_batch_size", "global_step")
     return runs.join(docs, "run_id")
 
