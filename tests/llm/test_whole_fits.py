@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from scorelens.llm import quality
+from scorelens.llm import line_dedup, quality
 from scorelens.llm.ranks import order_statistics
 
 
@@ -40,3 +40,14 @@ def test_thresholds_of_tables_equal_those_of_arrays(spark):
         good, bad = [float(rng.randint(0, 60)) for _ in range(n_good)], [float(rng.randint(-20, 40)) for _ in range(n_bad)]
         paths = spark.createDataFrame([(1, v) for v in good] + [(0, v) for v in bad], "good int, path_length double")
         assert quality.threshold(paths, loss) == quality.calibrated(np.array(good), np.array(bad), loss)
+
+
+def test_all_nodes_of_a_large_key_meet(spark):
+    rng = random.Random(5)
+    sizes = {k: rng.randint(40, 400) for k in range(300)}
+    rows = [(k, size, [7, rng.randint(1, 1 << 30), 0, 0]) for k, size in sizes.items()]
+    nodes = spark.createDataFrame(rows + rows[:50], "node long, size int, keys array<int>")
+    found = [r["nodes"] for r in line_dedup.key_buckets(nodes, 2, 16).collect()]
+    met = {(a, b) for part in found for a in part for b in part if a < b}
+    assert all((a, b) in met for a in sizes for b in sizes if a < b and min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]))
+    assert max(map(len, found)) <= 32
