@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from scorelens.llm import line_dedup, quality
+from scorelens.llm import license_scan, line_dedup, quality
 from scorelens.llm.ranks import order_statistics
 
 
@@ -51,3 +51,27 @@ def test_all_nodes_of_a_large_key_meet(spark):
     met = {(a, b) for part in found for a in part for b in part if a < b}
     assert all((a, b) in met for a in sizes for b in sizes if a < b and min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]))
     assert max(map(len, found)) <= 32
+
+
+def test_licence_model_and_thresholds_take_in_all_segments(spark, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(300)]
+    odd = "software licence copyright holder warranty permission"  # licence-like; shares no three words in a row with a notice
+    lines = [f"{odd if k % 200 == 0 else ''} {' '.join(rng.choices(vocabulary, k=6))}" for k in range(9000)]  # earlier about 4,000 were drawn
+    docs = spark.createDataFrame([(k, "\n".join(lines[k:k + 3])) for k in range(0, 9000, 3)] + [(-1, lines[5])], "doc_id long, text string")
+    seen = {}
+
+    class Counted(license_scan.LogisticRegression):
+        def _fit(self, rows):
+            seen["prose"] = rows.where("label = 0").count()
+            return super()._fit(rows)
+
+    monkeypatch.setattr(license_scan, "LogisticRegression", Counted)
+    found = license_scan.segments(docs, "doc_id", "text")
+    classifier = license_scan.fit(found)
+    marked = found.select("tokens").distinct().withColumn("out", F.pmod(F.xxhash64("tokens", F.lit("none")), F.lit(license_scan.HELD_OUT)) == 0)
+    held_out = marked.where("out").cache()
+    assert seen["prose"] == marked.where("not out").count() > 8000
+    above = classifier.predict(held_out).where((F.col("family") != "none") & F.col("passes")).groupBy("family").count().collect()
+    assert all(r["count"] <= license_scan.RATE * held_out.count() for r in above), above
+    assert {r["id"]: r["families"] for r in license_scan.scan(docs).where("id < 6").collect()} == {-1: [], 0: [], 3: []}
