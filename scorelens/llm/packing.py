@@ -35,17 +35,31 @@ from pyspark.sql.window import Window
 from scorelens.llm.common import id_text, map_batches, stored
 
 CAPACITY, END_ID, GROUPS, SMALL, MAX_COLUMNS = 2048, 0, 128, 8, 3000
-CACHED_UNITS = 400_000  # a memory bound; forgotten units are encoded anew
+CACHED_UNITS = 600_000  # a memory bound; forgotten units are encoded anew
 JOINED = 256  # new units encoded as one string
 RANK_ROWS = 50_000  # pieces of one length that one task ranks
 
 # Tokens never reach over a space or line feed that follows a character other than white space, so a text may be
 # encoded in units cut there, and each distinct unit once.
 _UNITS, _ODD_SPACE, _STRICT = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(r"[^\S \n]"), re.compile(r"(?<=\S)(?=[ \n])")
+_ASCII_ODD = [c for c in map(chr, range(128)) if _ODD_SPACE.match(c)]
 
 _JOINT = frozenset(" \n")
 
 
+def _odd(text: str) -> bool:
+    """Whether there is white space other than spaces and line feeds."""
+    return any(map(text.__contains__, _ASCII_ODD)) if text.isascii() else _ODD_SPACE.search(text) is not None
+
+
+def _single(text: str) -> list[str] | None:
+    """The units of a text whose white space is single spaces and line feeds between words, all but the first without their space; else None."""
+    if text[:1].isspace() or text[-1:].isspace() or not text or _odd(text):
+        return None
+    apart = text.replace("\n", " \n")
+    return None if "  " in apart or "\n " in apart else apart.split(" ")
+
+
 class UnitEncoder:
     """A byte-level tokenizer with a bounded memory of units it has seen."""
 
@@ -56,41 +70,59 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # units in texts with single spaces and line feeds, without their space
         vocabulary = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)  # bytes of each token, a character each in its spelling
         self.sizes[list(vocabulary.values())] = [len(token) for token in vocabulary]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        units = [(_STRICT.split(t) if _ODD_SPACE.search(t) else _UNITS.findall(t)) for t in texts]
-        self._learn(list(set(chain.from_iterable(units)) - self.known.keys()))
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, u)), dtype="<u4") for u in units]
-        if len(self.known) > CACHED_UNITS:  # go on with the units of these texts
+        rest = [_single(t) for t in texts]  # None: no such text
+        units = [(_STRICT.split(t) if _odd(t) else _UNITS.findall(t)) if r is None else r[:1] for t, r in zip(texts, rest)]
+        self._learn(list(set(chain.from_iterable(units)) - self.known.keys()), self.known)
+        for r in rest:
+            if r is not None:
+                del r[0]
+        words = [r for r in rest if r is not None]
+        found = [list(map(self.spaced.get, r)) for r in words]
+        gaps = [[k for k, ids in enumerate(row) if ids is None] for row in found]
+        new = {r[k] for r, row in zip(words, gaps) for k in row}
+        self._learn([w for w in new if w[0] != "\n"], self.spaced, " ")
+        self._learn([w for w in new if w[0] == "\n"], self.spaced)
+        for r, row, missing in zip(words, found, gaps):
+            for k in missing:
+                row[k] = self.spaced[r[k]]
+        known, following = self.known.__getitem__, iter(found)
+        out = [np.frombuffer(b"".join(chain(map(known, u), () if r is None else next(following))), dtype="<u4") for u, r in zip(units, rest)]
+        if len(self.known) + len(self.spaced) > CACHED_UNITS:  # go on with the units of these texts
             self.known = {unit: self.known[unit] for unit in set(chain.from_iterable(units))}
+            self.spaced = {word: self.spaced[word] for word in set(chain.from_iterable(words))}
         return out
 
-    def _learn(self, units: list[str]) -> None:
-        """Encode new units: in strings of JOINED ones where no token can reach from one into the next, which cost less than as many calls."""
-        strung = [u for u in units if u[:1] in _JOINT and not u[-1:].isspace()]
-        apart = list(set(units).difference(strung))
+    def _learn(self, names: list[str], known: dict[str, bytes], lead: str = "") -> None:
+        """Encode new units, each one ``lead`` and a name: in strings of JOINED ones where no token can reach from one into the next, which cost less than as many calls."""
+        strung = names if lead else [u for u in names if u[:1] in _JOINT and not u[-1:].isspace()]
+        apart = [] if lead else list(set(names).difference(strung))
         rows = [strung[at:at + JOINED] for at in range(0, len(strung), JOINED)]
         for at in range(0, len(rows), 16):
             part = rows[at:at + 16]
-            for row, coded in zip(part, self.tokenizer.encode_batch_fast(["".join(row) for row in part], add_special_tokens=False)):
+            texts = [lead + lead.join(row) for row in part]
+            for row, text, coded in zip(part, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(coded.ids, dtype="<u4")
                 ends = np.cumsum(self.sizes[ids])
-                of = np.cumsum(list(map(len, map(str.encode, row))))  # where each unit ends, in bytes
+                sizes = map(len, row if text.isascii() else map(str.encode, row))
+                of = np.cumsum(np.fromiter(sizes, np.int64, len(row)) + len(lead))  # where each unit ends, in bytes
                 cut = np.searchsorted(ends, of)
                 if not len(ends) or cut[-1] >= len(ends) or (ends[cut] != of).any():
                     apart += row  # not a byte-level vocabulary
                     continue
                 data, start = ids.tobytes(), 0
-                for unit, end in zip(row, ((cut + 1) * 4).tolist()):
-                    self.known[unit] = data[start:end]
+                for name, end in zip(row, ((cut + 1) * 4).tolist()):
+                    known[name] = data[start:end]
                     start = end
         for at in range(0, len(apart), 1000):
             part = apart[at:at + 1000]
-            for unit, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[unit] = array("I", coded.ids).tobytes()
+            for name, coded in zip(part, self.tokenizer.encode_batch_fast([lead + name for name in part], add_special_tokens=False)):
+                known[name] = array("I", coded.ids).tobytes()
 
 
 @lru_cache(maxsize=1)
