@@ -23,7 +23,6 @@ import os
 import re
 import zlib
 from array import array
-from functools import lru_cache
 from itertools import chain
 from pathlib import Path
 
@@ -32,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorelens.llm.common import id_text, map_batches, stored
+from scorelens.llm.common import id_text, kept, map_batches, stored
 
 CAPACITY, END_ID, GROUPS, SMALL, MAX_COLUMNS = 2048, 0, 128, 8, 3000
+PACKING = "packing"
 CACHED_UNITS = 600_000  # a memory bound; forgotten units are encoded anew
 JOINED = 256  # new units encoded as one string
 RANK_ROWS = 50_000  # pieces of one length that one task ranks
@@ -125,10 +125,9 @@ class UnitEncoder:
                 known[name] = array("I", coded.ids).tobytes()
 
 
-@lru_cache(maxsize=1)
 def unit_encoder(definition: str) -> UnitEncoder:
-    """One encoder for each Python worker."""
-    return UnitEncoder(definition)
+    """One encoder for each Python worker, while it packs."""
+    return kept(PACKING, definition, UnitEncoder)
 
 
 def default_tokenizer() -> str:
@@ -161,7 +160,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         return apply
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
-    return map_batches(rows, make, schema + (", ids array<int>" if keep_ids else ""))
+    return map_batches(rows, make, schema + (", ids array<int>" if keep_ids else ""), PACKING)
 
 
 def grouped(counts: np.ndarray, groups: int, above: int) -> list[tuple[int, dict[int, int]]]:
