@@ -85,3 +85,13 @@ def test_workers_keep_nothing_of_another_operator(spark):
     assert common.kept("two", "abc", len) == 3 and list(common._KEPT) == [("two", "abc")]
     common.forget_others("one")
     assert not common._KEPT
+
+
+def test_batches_are_handed_on_in_slices_of_the_size_asked_for(spark):
+    docs = spark.createDataFrame([(k, "x" * 1000) for k in range(100)], "doc_id long, text string").repartition(1)
+
+    def sizes(**bound):
+        return {r["n"] for r in common.map_batches(docs, lambda: lambda c: {"n": [len(c["text"])] * len(c["text"])}, "n int", **bound).collect()}
+
+    assert sizes() == {100}
+    assert max(sizes(slice_bytes=10_000)) <= 10
